@@ -4,16 +4,31 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality
+from . import quality, warc_zip
 from .common import documents
 
 
+def op1_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_zip.round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"), spark).drop("url")
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(documents(spark, sf_dir), keep_text=False)
 
 
 QUERIES = {
+    "op1_warc_zip": op1_warc_zip,
     "op3_quality_rules": op3_quality_rules,
 }
 
-ORACLES: dict[str, str] = {}
+#: op1: DuckDB's sha1 is of the UTF-8 bytes.
+OP1_SQL = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+m AS (SELECT payload_digest, max(page_id) AS top FROM p WHERE payload_bytes >= 1000 GROUP BY 1)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+       CASE WHEN top > page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN top > page_id THEN top END AS refers_to
+FROM p LEFT JOIN m USING (payload_digest)
+"""
+
+ORACLES: dict[str, str] = {"op1_warc_zip": OP1_SQL}
