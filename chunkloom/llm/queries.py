@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality, warc_zip
+from . import mixing, quality, warc_zip
 from .common import documents
 
 
@@ -12,12 +12,17 @@ def op1_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_zip.round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"), spark).drop("url")
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(documents(spark, sf_dir)).documents.drop("source")
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(documents(spark, sf_dir), keep_text=False)
 
 
 QUERIES = {
     "op1_warc_zip": op1_warc_zip,
+    "op2_mixing": op2_mixing,
     "op3_quality_rules": op3_quality_rules,
 }
 
