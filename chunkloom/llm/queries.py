@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, quality, warc_zip
+from . import minhash, mixing, quality, warc_zip
 from .common import documents
 
 
@@ -20,10 +20,15 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(documents(spark, sf_dir), keep_text=False)
 
 
+def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_warc_zip": op1_warc_zip,
     "op2_mixing": op2_mixing,
     "op3_quality_rules": op3_quality_rules,
+    "op9_minhash": op9_minhash,
 }
 
 #: op1: DuckDB's sha1 is of the UTF-8 bytes.
@@ -36,4 +41,19 @@ SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
 FROM p LEFT JOIN m USING (payload_digest)
 """
 
-ORACLES: dict[str, str] = {"op1_warc_zip": OP1_SQL}
+#: op9: every pair of documents that share a shingle, counted in full; components by recursion to the smallest id.
+OP9_SQL = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+        ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) END AS s FROM w),
+e AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id
+      GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+l AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+r(id, c) AS (SELECT doc_id, doc_id FROM s UNION SELECT l.b, r.c FROM r JOIN l ON l.a = r.id AND r.c < l.b),
+m AS (SELECT id, min(c) AS c FROM r GROUP BY id)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, c AS component_id, doc_id = c AS kept FROM s JOIN m ON id = doc_id
+"""
+
+ORACLES: dict[str, str] = {"op1_warc_zip": OP1_SQL, "op9_minhash": OP9_SQL}
