@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash, mixing, quality, warc_zip
+from . import decontam, minhash, mixing, quality, warc_zip
 from .common import documents
 
 
@@ -24,11 +24,16 @@ def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(documents(spark, sf_dir))
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find_leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 QUERIES = {
     "op1_warc_zip": op1_warc_zip,
     "op2_mixing": op2_mixing,
     "op3_quality_rules": op3_quality_rules,
     "op9_minhash": op9_minhash,
+    "op10_decontamination": op10_decontamination,
 }
 
 #: op1: DuckDB's sha1 is of the UTF-8 bytes.
@@ -56,4 +61,15 @@ m AS (SELECT id, min(c) AS c FROM r GROUP BY id)
 SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, c AS component_id, doc_id = c AS kept FROM s JOIN m ON id = doc_id
 """
 
-ORACLES: dict[str, str] = {"op1_warc_zip": OP1_SQL, "op9_minhash": OP9_SQL}
+#: op10: exact containment of each item's shingle set in each document's.
+OP10_SQL = """
+WITH t AS (SELECT 0 AS k, doc_id AS id, text FROM documents UNION ALL SELECT 1, item_id, text FROM benchmark),
+w AS (SELECT k, id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM t),
+s AS (SELECT k, id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+        ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) END AS s FROM w),
+e AS (SELECT k, id, len(s) AS n, unnest(s) AS x FROM s)
+SELECT d.id AS doc_id, i.id AS item_id, i.n AS n_item, count(*) AS n_common
+FROM e i JOIN e d ON i.k = 1 AND d.k = 0 AND i.x = d.x GROUP BY d.id, i.id, i.n HAVING 100 * count(*) >= 75 * i.n
+"""
+
+ORACLES: dict[str, str] = {"op1_warc_zip": OP1_SQL, "op9_minhash": OP9_SQL, "op10_decontamination": OP10_SQL}
