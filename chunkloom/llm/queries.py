@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontam, minhash, mixing, quality, warc_zip
+from . import decontam, langid, minhash, mixing, quality, warc_zip
 from .common import documents
 
 
@@ -20,6 +21,17 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(documents(spark, sf_dir), keep_text=False)
 
 
+def id_remainder(n: int) -> Column:
+    """crc32 of the doc_id as text, modulo n; -1 for a null id."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % n, F.lit(-1))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = langid.learn(docs.filter(id_remainder(4) != 2))
+    return langid.identify(docs, model).select("doc_id", (id_remainder(4) == 2).alias("held_out"), "lang_pred", "score", "accepted")
+
+
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(documents(spark, sf_dir))
 
@@ -32,6 +44,7 @@ QUERIES = {
     "op1_warc_zip": op1_warc_zip,
     "op2_mixing": op2_mixing,
     "op3_quality_rules": op3_quality_rules,
+    "op7_language_id": op7_language_id,
     "op9_minhash": op9_minhash,
     "op10_decontamination": op10_decontamination,
 }
