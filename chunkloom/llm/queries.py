@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, minhash, mixing, quality, toxicity, warc_zip
+from . import decontam, langid, minhash, mixing, quality, suffix_array, toxicity, warc_zip
 from .common import documents
 
 
@@ -26,6 +26,10 @@ def id_remainder(n: int) -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % n, F.lit(-1))
 
 
+def op4_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_array.removal_report(documents(spark, sf_dir))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = toxicity.learn(docs.filter(id_remainder(5) != 0), spark.read.parquet(f"{sf_dir}/labels.parquet"), docs)
@@ -50,6 +54,7 @@ QUERIES = {
     "op1_warc_zip": op1_warc_zip,
     "op2_mixing": op2_mixing,
     "op3_quality_rules": op3_quality_rules,
+    "op4_suffix_array": op4_suffix_array,
     "op6_toxicity": op6_toxicity,
     "op7_language_id": op7_language_id,
     "op9_minhash": op9_minhash,
