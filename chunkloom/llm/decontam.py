@@ -105,6 +105,17 @@ def candidates(hashes: np.ndarray, sketches: ItemSketches, params: tuple[np.ndar
     return found
 
 
+def confirmed(hashes: np.ndarray, sketches: ItemSketches, params: tuple[np.ndarray, np.ndarray], rules: LeakRules) -> list[tuple[int, int]]:
+    """(item's number, shingles in common) of the candidates of which this document holds enough."""
+    maybe, out = candidates(hashes, sketches, params, rules), []
+    whole = np.unique(hashes) if maybe else hashes
+    for n in sorted(maybe):
+        common = int(np.isin(sketches.sets[n], whole, assume_unique=True).sum())
+        if 100 * common >= rules.containment * len(sketches.sets[n]):
+            out.append((n, common))
+    return out
+
+
 def find_leaks(docs: DataFrame, items: DataFrame, rules: LeakRules = LeakRules()) -> DataFrame:
     """(doc_id, item_id, n_item, n_common): documents that contain enough of a test item's shingles.
 
@@ -137,16 +148,8 @@ def search(docs: DataFrame, sketches: ItemSketches, rules: LeakRules) -> DataFra
             for i, j, hashes, first in shingle_sets(batch.column(1), rules.words):
                 for d in range(j - i):
                     own = hashes[first[d] : first[d + 1]]
-                    if len(own) == 0:
-                        continue
-                    maybe = candidates(own, sketches, params, rules)
-                    if maybe:
-                        whole = np.unique(own)
-                        for n in sorted(maybe):
-                            item = sketches.sets[n]
-                            common = int(np.isin(item, whole, assume_unique=True).sum())
-                            if 100 * common >= rules.containment * len(item):
-                                rows.append((ids[i + d], sketches.ids[n], len(item), common))
+                    if len(own):
+                        rows += [(ids[i + d], sketches.ids[n], len(sketches.sets[n]), common) for n, common in confirmed(own, sketches, params, rules)]
             if rows:
                 cols = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "item_id", "n_item", "n_common"])
@@ -155,6 +158,21 @@ def search(docs: DataFrame, sketches: ItemSketches, rules: LeakRules) -> DataFra
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, rules: LeakRules = LeakRules()) -> DataFrame:
-    """The documents, all their columns, that hold no test item."""
-    bad = find_leaks(docs, items, rules).select(F.col("doc_id").alias("__leak")).distinct()
-    return docs.join(bad, docs["doc_id"] == bad["__leak"], "left_anti")
+    """The documents, all their columns, that hold no test item; a pass for each part of the items, no shuffle."""
+    items = items.select("item_id", "text")
+    parts = max(1, -(-items.count() // rules.part))
+    for p in range(parts):
+        rows = (items if parts == 1 else items.filter(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == p)).collect()
+        shared = docs.sparkSession.sparkContext.broadcast(sketch_items([r["item_id"] for r in rows], [r["text"] for r in rows], rules))
+
+        def keep(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            sketches, params = shared.value, hash_parameters(rules)
+            for batch in batches:
+                clean = np.ones(batch.num_rows, bool)
+                for i, _, hashes, first in shingle_sets(batch.column("text"), rules.words):
+                    for d in np.flatnonzero(np.diff(first)):
+                        clean[i + d] = not confirmed(hashes[first[d] : first[d + 1]], sketches, params, rules)
+                yield batch.filter(pa.array(clean))
+
+        docs = docs.mapInArrow(keep, docs.schema)
+    return docs

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, minhash, mixing, quality, suffix_array, toxicity, warc_zip
+from . import decontam, langid, minhash, mixing, quality, substring, suffix_array, toxicity, warc_zip
 from .common import documents
 
 
@@ -30,6 +30,10 @@ def op4_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_array.removal_report(documents(spark, sf_dir))
 
 
+def op5_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.removal_report(documents(spark, sf_dir))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = toxicity.learn(docs.filter(id_remainder(5) != 0), spark.read.parquet(f"{sf_dir}/labels.parquet"), docs)
@@ -55,6 +59,7 @@ QUERIES = {
     "op2_mixing": op2_mixing,
     "op3_quality_rules": op3_quality_rules,
     "op4_suffix_array": op4_suffix_array,
+    "op5_substring": op5_substring,
     "op6_toxicity": op6_toxicity,
     "op7_language_id": op7_language_id,
     "op9_minhash": op9_minhash,

@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from .textcore import BASE, chunks, column_bytes, mix, powers, word_hashes, word_spans
 
@@ -133,7 +134,7 @@ def joined(col: pa.ChunkedArray, dtype: type) -> np.ndarray:
 
 def texts_in_order(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Table]:
     """(ids, bytes, offsets, table) of a bucket's texts, ordered by id and text hash so that row numbers agree in every pass."""
-    table = table.sort_by([("doc_id", "ascending"), ("hash", "ascending")])
+    table = table.sort_by([("doc_id", "ascending"), ("__hash", "ascending")])
     ids = table.column("doc_id").combine_chunks()
     data, offsets = column_bytes(table.column("text").combine_chunks() if table.num_rows else pa.array([], pa.string()))
     return ids.fill_null(NO_ID).to_numpy(zero_copy_only=False).astype(np.int64), data, offsets, table
@@ -191,7 +192,7 @@ def run_rows(texts: DataFrame, hits: DataFrame, rules: Windows, parts: int) -> D
     def send(left: pa.Table, right: pa.Table) -> pa.Table:
         if left.num_rows == 0 or right.num_rows == 0:
             return packed([], schema)
-        bucket = left.column("bucket")[0].as_py()
+        bucket = left.column("__bucket")[0].as_py()
         ids, data, offsets, _ = texts_in_order(left)
         wanted_ids, wanted = joined(right.column("ids"), np.int64), joined(right.column("keys"), np.int64)
         order = np.lexsort([wanted, wanted_ids])
@@ -236,7 +237,7 @@ def run_rows(texts: DataFrame, hits: DataFrame, rules: Windows, parts: int) -> D
             rows.append((int(p[lo]), bucket, travel[at], sizes.astype(np.uint32), n_places[a:z].astype(np.uint32), ids[text[lo:hi]], text[lo:hi].astype(np.uint32), place[lo:hi].astype(np.uint32)))
         return packed(rows, schema)
 
-    return texts.groupBy("bucket").cogroup(hits.groupBy("bucket")).applyInArrow(send, RUN_SCHEMA)
+    return texts.select("doc_id", "text", "__hash", "__bucket").groupBy("__bucket").cogroup(hits.groupBy("bucket")).applyInArrow(send, RUN_SCHEMA)
 
 
 def run_digest(symbols: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
@@ -311,16 +312,17 @@ def union_spans(rows: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple
 
 
 def routed_runs(docs: DataFrame, rules: Windows) -> tuple[DataFrame, DataFrame]:
-    """(texts by bucket, runs by part) of docs (doc_id, text)."""
+    """(texts by bucket, with all columns of docs, and runs by part)."""
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
     parts, buckets = max(32, total // rules.part_bytes), max(32, total // rules.bucket_bytes)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).fill_null(NO_ID).to_numpy(zero_copy_only=False).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(bucket_of(ids, buckets))], ["doc_id", "text", "hash", "bucket"])
+            ids = batch.column("doc_id").fill_null(NO_ID).to_numpy(zero_copy_only=False).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(bucket_of(ids, buckets))], [*batch.schema.names, "__bucket"])
 
-    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("hash")).mapInArrow(place, "doc_id long, text string, hash long, bucket int")
+    with_hash = docs.withColumn("__hash", F.xxhash64("text"))
+    texts = with_hash.mapInArrow(place, StructType([*with_hash.schema.fields, StructField("__bucket", IntegerType())]))
     hits = repeated_keys(key_rows(docs, rules, parts), rules, buckets)
     return texts, run_rows(texts, hits, rules, parts)
 
@@ -339,4 +341,4 @@ def report(texts: DataFrame, spans: DataFrame, tell: Callable, schema: str) -> D
         got = union_spans(joined(right.column("rows"), np.uint32), joined(right.column("starts"), np.uint32), joined(right.column("ends"), np.uint32))
         return tell(table, data, offsets, *got)
 
-    return texts.groupBy("bucket").cogroup(spans.groupBy("bucket")).applyInArrow(both, schema)
+    return texts.groupBy("__bucket").cogroup(spans.groupBy("bucket")).applyInArrow(both, schema)

@@ -20,6 +20,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .repeats import Part, Windows, limit_runs, load_part, repeated_spans, report, routed_runs, spans_of
 
@@ -192,17 +193,23 @@ def removal_report(docs: DataFrame, rules: Windows = BYTES) -> DataFrame:
         rows = [(ids[r], int(offsets[r + 1] - offsets[r]), n, len(s), hashlib.sha256(kept).hexdigest()) for r, n, s, kept in kept_bytes(data, offsets, *spans)]
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)] if rows else [pa.array([], f.type) for f in schema], schema=schema)
 
-    texts, spans = repeated_spans(docs, rules, match)
+    texts, spans = repeated_spans(docs.select("doc_id", "text"), rules, match)
     return report(texts, spans, tell, RESULT)
 
 
-def removed_texts(docs: DataFrame, rules: Windows = BYTES) -> DataFrame:
-    """(doc_id, hash, kept): what stays of each text; bytes of a character that is cut in two are dropped. A null text stays null."""
+def remove_repeats(docs: DataFrame, rules: Windows = BYTES) -> DataFrame:
+    """The documents with what ``removal_report`` counts taken out of their texts; n_chars, if there, is counted anew.
+
+    All rows and columns stay, also of texts that lose everything. A character that is
+    cut in two is dropped. A null text stays null.
+    """
+    columns = docs.columns
 
     def tell(table: pa.Table, data: np.ndarray, offsets: np.ndarray, *spans: np.ndarray) -> pa.Table:
         null = table.column("text").combine_chunks().is_null().to_pylist() if table.num_rows else []
         kept = [None if null[r] else text.decode("utf-8", "ignore") for r, _, _, text in kept_bytes(data, offsets, *spans)]
-        return pa.Table.from_arrays([table.column("doc_id"), table.column("hash"), pa.array(kept, pa.string())], ["doc_id", "hash", "kept"])
+        new = {"text": pa.array(kept, pa.string()), "n_chars": pa.array([None if k is None else len(k) for k in kept], pa.int64())}
+        return pa.Table.from_arrays([new[c] if c in new else table.column(c) for c in columns], columns)
 
     texts, spans = repeated_spans(docs, rules, match)
-    return report(texts, spans, tell, "doc_id long, hash long, kept string")
+    return report(texts, spans, tell, docs.withColumn("n_chars", F.col("n_chars").cast("long")).schema if "n_chars" in columns else docs.schema)

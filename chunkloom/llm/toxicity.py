@@ -412,3 +412,23 @@ def score(docs: DataFrame, model: ToxicModel, restored_text: bool = False) -> Da
 
     names = ["doc_id", "score", "predicted", "n_words_found"] + ["restored"] * restored_text
     return docs.select("doc_id", "text").mapInArrow(tell, "doc_id long, score double, predicted int, n_words_found long" + ", restored string" * restored_text)
+
+
+def reject(docs: DataFrame, model: ToxicModel) -> DataFrame:
+    """The documents, all their columns, that score below a half."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        finder = Finder(model)
+        for batch in batches:
+            data, offsets = column_bytes(batch.column("text"))
+            clean = np.ones(batch.num_rows, bool)
+            for i, j, part, at in chunks(data, offsets):
+                low = _LOWER[part]
+                for d in range(j - i):
+                    own = slice(at[d], at[d + 1])
+                    clean[i + d] = model.score(finder.words(part[own].tobytes(), low[own])) < 0.5
+            yield batch.filter(pa.array(clean))
+
+    return docs.mapInArrow(keep, docs.schema)
