@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, minhash, mixing, quality, substring, suffix_array, toxicity, warc_zip
+from . import decontam, htmlcrf, langid, minhash, mixing, quality, substring, suffix_array, toxicity, warc_zip
 from .common import documents
 
 
@@ -46,6 +46,10 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, model).select("doc_id", (id_remainder(4) == 2).alias("held_out"), "lang_pred", "score", "accepted")
 
 
+def op8_html_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmlcrf.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(documents(spark, sf_dir))
 
@@ -62,6 +66,7 @@ QUERIES = {
     "op5_substring": op5_substring,
     "op6_toxicity": op6_toxicity,
     "op7_language_id": op7_language_id,
+    "op8_html_crf": op8_html_crf,
     "op9_minhash": op9_minhash,
     "op10_decontamination": op10_decontamination,
 }
