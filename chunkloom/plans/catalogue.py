@@ -1,4 +1,366 @@
-"""The query catalogue."""
+"""The catalogue: one query per operator over the driver's tables, each through the library's operators."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import cellcodecs
+from ..grid import FixedAxis, Grid, VaryingAxis, chunk_key_column, morton_code
+from ..model import ArrayFrame, from_vectors
+from ..operators import hierarchy, planning, selection, writing
+from ..sources import store
+from . import lazy
+from .oracles import ORACLES
+
+__all__ = ["ORACLES", "QUERIES"]
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def events(spark: SparkSession, sf_dir: str, chunks: int = 700) -> ArrayFrame:
+    """The events' values as a one-dimensional array; its length is the table's row count (from Parquet footers)."""
+    df = table(spark, sf_dir, "events")
+    return ArrayFrame.of(df.select(F.col("event_id").alias("d0"), "value"), [df.count()], chunks, values=["value"])
+
+
+def orders(spark: SparkSession, sf_dir: str) -> ArrayFrame:
+    df = table(spark, sf_dir, "orders")
+    return ArrayFrame.of(df.select(F.col("o_orderkey").alias("d0"), F.col("o_totalprice").alias("v")), [df.count()], 1000)
+
+
+def orders_cube(spark: SparkSession, sf_dir: str) -> ArrayFrame:
+    df = table(spark, sf_dir, "orders")
+    k = F.col("o_orderkey")
+    div = lambda x, n: F.call_function("div", x, F.lit(n).cast("long"))
+    return ArrayFrame.of(df.select(div(k, 500).alias("d0"), (div(k, 25) % 20).alias("d1"), (k % 25).alias("d2"), F.col("o_totalprice").alias("v")), [-(-df.count() // 500), 20, 25], [7, 6, 10])
+
+
+def vectors(spark: SparkSession, sf_dir: str) -> ArrayFrame:
+    df = table(spark, sf_dir, "embeddings")
+    return from_vectors(df, "vec_id", "embedding", [df.count(), 64], [100, 16])
+
+
+def errors_only(spark: SparkSession, sf_dir: str) -> ArrayFrame:
+    """A sparse array: only events of type error have a cell."""
+    df = table(spark, sf_dir, "events")
+    return ArrayFrame.of(df.filter("event_type = 'error'").select(F.col("event_id").alias("d0"), F.col("value").alias("v")), [df.count()], 50, fill=0.0)
+
+
+def as_values(a: ArrayFrame, *names: str) -> DataFrame:
+    return a.cells.select(*names) if names else a.cells
+
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+
+
+def query(f: Query) -> Query:
+    QUERIES[f.__name__] = f
+    return f
+
+
+# -- selections -------------------------------------------------------------------------
+
+
+@query
+def idx_scalar_1d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = events(spark, sf_dir)
+    return selection.basic(a, 42).cells.select(F.lit(42).cast("long").alias("event_id"), "value")
+
+
+@query
+def idx_negative_wrap_1d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = events(spark, sf_dir)
+    return selection.basic(a, -3).cells.select(F.lit(a.shape[0] - 3).cast("long").alias("event_id"), "value")
+
+
+@query
+def idx_slice_1d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return selection.select(events(spark, sf_dir), slice(200, 400)).cells
+
+
+@query
+def idx_slice_strided_1d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return selection.select(events(spark, sf_dir), slice(200, 900, 7)).cells
+
+
+@query
+def idx_basic_2d_drop_axis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return selection.select(vectors(spark, sf_dir), (7, slice(8, 40))).cells
+
+
+@query
+def idx_ellipsis_3d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return selection.select(orders_cube(spark, sf_dir), (..., 24)).cells
+
+
+@query
+def idx_oindex_int_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return selection.orthogonal(vectors(spark, sf_dir), ([90, 3, 3], [60, 0])).cells
+
+
+@query
+def idx_oindex_bool_1d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = table(spark, sf_dir, "events")
+    a = ArrayFrame.of(df.select(F.col("event_id").alias("d0"), "value", "event_type"), [df.count()], 700, values=["value", "event_type"])
+    return selection.mask(a, F.col("event_type") == "error").select("o0", "value")
+
+
+@query
+def idx_vindex_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return selection.coordinates(vectors(spark, sf_dir), ([5, 499, 5], [0, 63, 0])).cells
+
+
+@query
+def idx_mask_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return selection.mask(vectors(spark, sf_dir), F.col("v") > 0.3)
+
+
+@query
+def idx_block_1d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = events(spark, sf_dir)
+    if a.spec.grid.n_chunks <= 2:  # the smallest table has no third block
+        return selection.basic(a, slice(0, 0)).cells
+    return selection.blocks(a, 2).cells
+
+
+@query
+def idx_block_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return selection.blocks(vectors(spark, sf_dir), (slice(1, 3), 1)).cells
+
+
+@query
+def idx_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = table(spark, sf_dir, "orders")
+    cells = df.select(F.col("o_orderkey").alias("d0"), F.struct("o_orderstatus", "o_totalprice", "o_orderdate").alias("v"))
+    a = ArrayFrame.of(cells, [df.count()], 1000)
+    return selection.select(a, ("o_orderstatus", "o_totalprice", slice(0, 100))).cells.withColumnRenamed("o0", "d0")
+
+
+# -- plans and grids -----------------------------------------------------------------------
+
+
+@query
+def plan_accessed_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = table(spark, sf_dir, "events").count()
+    return planning.chunk_projections(spark, Grid.of([n], 50), slice(200, 400, 100)).select("c0")
+
+
+@query
+def plan_projection_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = table(spark, sf_dir, "events").count()
+    df = planning.chunk_projections(spark, Grid.of([n], 700), slice(500, 3000))
+    return df.select("c0", F.col("sel_start0").alias("sel_start"), F.col("sel_stop0").alias("sel_stop"), F.col("out_start0").alias("out_start"), "is_complete")
+
+
+@query
+def plan_coordinate_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return planning.coordinate_groups(table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("d0")), ["d0"], [700])
+
+
+@query
+def grid_regular_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = Grid((FixedAxis(700, table(spark, sf_dir, "events").count()),)).frame(spark)
+    return df.select("c0", F.col("offset0").alias("chunk_offset"), F.col("size0").cast("int").alias("chunk_size"), F.col("data0").alias("data_size"))
+
+
+@query
+def grid_rectilinear_locate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = table(spark, sf_dir, "events").filter("event_id < 1000")
+    axis = VaryingAxis((100, 200, 700), 1000)
+    return df.groupBy(axis.chunk_of(F.col("event_id")).alias("c0")).agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first_id"))
+
+
+@query
+def grid_chunk_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grid = vectors(spark, sf_dir).spec.grid.frame(spark)
+    c = [F.col("c0"), F.col("c1")]
+    return grid.select(*c, chunk_key_column(c).alias("key_default"), chunk_key_column(c, "v2").alias("key_v2"))
+
+
+@query
+def grid_morton_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = Grid.of([4, 4], 1).frame(spark).select(F.col("c0").alias("x"), F.col("c1").alias("y"))
+    return df.withColumn("z", morton_code([F.col("x"), F.col("y")], [4, 4]))
+
+
+@query
+def util_rle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.runs(table(spark, sf_dir, "customer"), "c_custkey", "c_nationkey").select("first_i", F.col("size").cast("int").alias("size"), "cnt")
+
+
+# -- writes -----------------------------------------------------------------------------------
+
+
+@query
+def arr_fill_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sparse = errors_only(spark, sf_dir)
+    n = table(spark, sf_dir, "orders").count()
+    return writing.filled(writing.resized(sparse, [n])).cells
+
+
+@query
+def arr_chunks_initialized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return writing.n_initialized(errors_only(spark, sf_dir))
+
+
+@query
+def arr_empty_chunk_elision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sparse = errors_only(spark, sf_dir)
+    return writing.stored_chunks(writing.rechunked(sparse, 10)).select("c0")
+
+
+@query
+def arr_setitem_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return writing.assign(events(spark, sf_dir), slice(100, 200), -1.0).cells.select("d0", F.col("value").alias("v"))
+
+
+@query
+def arr_setitem_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return writing.assign(events(spark, sf_dir), F.col("value") > 400, 0.0).cells.select("d0", F.col("value").alias("v"))
+
+
+@query
+def arr_setitem_coords_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = spark.createDataFrame([(0, 5, 1.5), (1, 9, 2.5), (2, 5, 3.5)], "ord int, d0 long, nv double")
+    return writing.assign_points(events(spark, sf_dir), points).cells.select("d0", F.col("value").alias("v"))
+
+
+@query
+def arr_resize_shrink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return writing.resized(events(spark, sf_dir), [777]).cells.select("d0", F.col("value").alias("v"))
+
+
+@query
+def arr_resize_grow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = events(spark, sf_dir)
+    return writing.filled(writing.resized(a, [a.shape[0] + 100])).cells.select("d0", F.col("value").alias("v"))
+
+
+@query
+def arr_append_axis0(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return writing.appended(events(spark, sf_dir), orders(spark, sf_dir)).cells.select("d0", F.col("value").alias("v"))
+
+
+@query
+def arr_rechunk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = writing.rechunked(vectors(spark, sf_dir), [50, 32])
+    return a.with_chunks().groupBy("c0", "c1").agg(F.count(F.lit(1)).alias("n"))
+
+
+# -- codecs ---------------------------------------------------------------------------------------
+
+
+@query
+def codec_transpose(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cellcodecs.transposed(vectors(spark, sf_dir), [1, 0]).cells
+
+
+@query
+def codec_scale_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("d0"))
+    df = df.withColumn("enc", cellcodecs.scale_offset_encode(F.col("d0"), 3, 10))
+    return df.withColumn("dec", cellcodecs.scale_offset_decode(F.col("enc"), 3, 10, integer=True))
+
+
+@query
+def codec_cast_clamp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = table(spark, sf_dir, "events")
+    return df.select(F.col("event_id").alias("d0"), cellcodecs.cast_value(F.col("value"), "uint8", "smallint", out_of_range="clamp").alias("v"))
+
+
+@query
+def codec_cast_wrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = table(spark, sf_dir, "orders")
+    return df.select(F.col("o_orderkey").alias("d0"), cellcodecs.cast_value(F.col("o_orderkey"), "uint8", "smallint", out_of_range="wrap", floating=False).alias("v"))
+
+
+@query
+def codec_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("d0"), "o_custkey")
+    return cellcodecs.delta_across(df, "o_custkey", "d0", 1000).select("d0", F.col("delta").cast("long").alias("delta"))
+
+
+@query
+def codec_fixedscaleoffset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = table(spark, sf_dir, "events")
+    return df.select(F.col("event_id").alias("d0"), cellcodecs.fixed_scale_offset(F.col("value"), 100, 10, "long").alias("enc"))
+
+
+# -- hierarchies --------------------------------------------------------------------------------------
+
+
+def nations(spark: SparkSession, sf_dir: str) -> hierarchy.Catalog:
+    df = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return hierarchy.Catalog.of(df.select(F.concat_ws("/", "r_name", "n_name").alias("path"), F.lit("array").alias("node_type"), F.lit("{}").alias("meta")), check=False)
+
+
+@query
+def hier_implicit_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nations(spark, sf_dir).nodes.select("path", F.col("node_type").alias("kind"))
+
+
+@query
+def hier_nmembers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nations(spark, sf_dir).n_members().filter("path <> ''")
+
+
+# -- stores ---------------------------------------------------------------------------------------------
+
+
+@query
+def store_list_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.TableStore(table(spark, sf_dir, "pages").select(F.col("url").alias("key"), F.encode("html", "UTF-8").alias("value"))).list_prefix("http://t").select("key")
+
+
+@query
+def store_getsize_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = table(spark, sf_dir, "documents")
+    return df.groupBy(F.col("source").alias("prefix")).agg(F.sum(F.octet_length("text")).cast("long").alias("nbytes"))
+
+
+@query
+def store_byte_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    u = F.col("url")
+    df = table(spark, sf_dir, "pages")
+    return df.select("page_id", store.byte_range(u, start=2, stop=7).alias("rng"), store.byte_range(u, start=8).alias("off"), store.byte_range(u, suffix=4).alias("suf"))
+
+
+@query
+def store_coalesce_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranges = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("s"), (F.col("l_orderkey") + 3).alias("e")).distinct()
+    return store.coalesced(ranges, gap=2)
+
+
+# -- lazy views ---------------------------------------------------------------------------------------------
+
+
+@query
+def lazy_compose(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = events(spark, sf_dir)
+    view = lazy.LazyArray(a)[10:50:2][3:12]
+    return view.result().cells
+
+
+@query
+def lazy_reverse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = events(spark, sf_dir)
+    return lazy.LazyArray(a)[::-1].result().cells
+
+
+@query
+def lazy_literal_strided(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = events(spark, sf_dir)
+    t = lazy.IndexTransform.identity(a.shape)[5:11:2]
+    return t.applied(a, ["coord"])
+
+
+@query
+def lazy_bounding_box(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = spark.createDataFrame([(90,), (3,), (3,)], "d0 long")
+    return lazy.bounding_box(points, ["d0"])
