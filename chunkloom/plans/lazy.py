@@ -364,7 +364,8 @@ class LazyArray:
             elif isinstance(x, slice):
                 start, stop, step = x.indices(n)
                 count = len(range(start, stop, step))
-                out.append(slice(start, start + count * step, step) if count and start + count * step >= 0 else slice(start, None, step) if count else slice(0, 0))
+                # in literal coordinates nothing wraps, so the end is just beyond the last element, also when that is -1
+                out.append(slice(start, start + (count - 1) * step + (1 if step > 0 else -1), step) if count else slice(0, 0))
             else:
                 return self.oindex(items)
         return self._moved(self.transform[tuple(out)])
