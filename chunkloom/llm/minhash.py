@@ -7,11 +7,13 @@ their two lowest bits, packed in four longs, estimate similarity by bit counts,
 corrected for chance agreement. Candidates that the estimate doesn't rule out are
 confirmed on their full shingle sets.
 
-Buckets don't emit all pairs. First each member meets only its bucket's smallest
-member. Then, where a bucket still holds several components, its members outside the
-largest meet the others, the best estimates first, until no candidate between two
-components is untested; pairs within a component need no test. All of it is joins
-that spill and that adaptive execution can split.
+Buckets don't emit all pairs. First each member meets only its bucket's most popular
+member, the one with the most company in all its buckets. Then, where a bucket still
+holds several components, its members outside the largest are held against the others
+by their packed bits, in blocks of numbers and not of rows, and of each other
+component the best estimates go on to a test, a few at first and then all, until no
+candidate between two components is untested. Pairs within a component need no test.
+Buckets beyond a bounded size are salted.
 """
 
 from __future__ import annotations
@@ -23,13 +25,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import cut
 from .graph import components
 from .textcore import mix, shingle_sets
 
 LANES, EVEN_BITS = 32, 0x5555555555555555
+#: Members of a bucket to a salt; pairs to a block.
+BUCKET, BLOCK_PAIRS = 20000, 50000
 
 
 @dataclass(frozen=True)
@@ -130,11 +133,99 @@ def may_link(x: str, y: str, rules: NearRules) -> Column:
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, rules: NearRules) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
-    with_b = pairs.join(sets.select(F.col("rep").alias("b"), F.col("hashes").alias("hb")), "b")
-    both = with_b.join(sets.select(F.col("rep").alias("a"), F.col("hashes").alias("ha")), "a")
-    common = F.size(F.array_intersect("ha", "hb"))
-    return both.filter(common * 100 >= rules.similarity * (F.size("ha") + F.size("hb") - common)).select("a", "b")
+    """The pairs (a, b) whose full sets are similar enough.
+
+    Pairs meet in blocks, by the one of the two that stands in more pairs, and a block
+    gets each set that it needs once, not once for each pair. A member of very many
+    pairs is salted.
+    """
+    degree = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).groupBy("id").agg(F.count(F.lit(1)).alias("d"))
+    p = pairs.join(degree.select(F.col("id").alias("a"), F.col("d").alias("da")), "a").join(degree.select(F.col("id").alias("b"), F.col("d").alias("db")), "b")
+    first = F.col("da") >= F.col("db")
+    p = p.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("l"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("r"), F.greatest("da", "db").alias("d"))
+    blocks = max(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), pairs.count() // BLOCK_PAIRS)
+    p = p.select(F.pmod(F.xxhash64("l", F.pmod(F.xxhash64("r"), F.ceil(F.col("d") / BLOCK_PAIRS))), blocks).cast("int").alias("block"), "l", "r")
+    needed = p.select("block", F.col("l").alias("rep")).union(p.select("block", "r")).distinct().join(sets, "rep").select(F.col("block").alias("of"), "rep", "hashes")
+
+    def hold(left: pa.Table, right: pa.Table) -> pa.Table:
+        none = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        if left.num_rows == 0 or right.num_rows == 0:
+            return none
+        reps = right.column("rep").to_numpy()
+        lists = right.column("hashes").combine_chunks()
+        offsets, values = lists.offsets.to_numpy().astype(np.int64), lists.values.to_numpy().view(np.uint64)
+        order = np.argsort(reps)
+        reps = reps[order]
+        x, y = (order[np.searchsorted(reps, left.column(c).to_numpy())] for c in ("l", "r"))
+        out = []
+        by = np.argsort(x, kind="stable")
+        for own in np.split(by, np.flatnonzero(np.diff(x[by])) + 1):
+            mine = values[offsets[x[own[0]]] : offsets[x[own[0]] + 1]]
+            for some in np.array_split(own, 1 + len(own) // 256):
+                n = offsets[y[some] + 1] - offsets[y[some]]
+                start = np.concatenate([[0], np.cumsum(n)[:-1]])
+                theirs = values[np.repeat(offsets[y[some]] - start, n) + np.arange(n.sum())]
+                at = np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)
+                common = np.add.reduceat((mine[at] == theirs).astype(np.int64), start)
+                out.append(some[100 * common >= rules.similarity * (len(mine) + n - common)])
+        keep = np.concatenate(out)
+        l, r = left.column("l").to_numpy()[keep], left.column("r").to_numpy()[keep]
+        return pa.table({"a": np.minimum(l, r), "b": np.maximum(l, r)})
+
+    return p.groupBy("block").cogroup(needed.groupBy("of")).applyInArrow(hold, "a long, b long")
+
+
+def candidates_between(buckets: DataFrame, found: DataFrame, rules: NearRules, most: int | None) -> DataFrame:
+    """Pairs (a, b) of one bucket and two components that may link; of each member's partners in one other component the ``most`` best."""
+    now = buckets.join(found.withColumnRenamed("id", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
+    share = now.groupBy("band", "key", "comp").agg(F.count(F.lit(1)).alias("m"))
+    share = share.groupBy("band", "key").agg(F.max(F.struct("m", "comp"))["comp"].alias("main"), F.count(F.lit(1)).alias("parts")).filter("parts > 1").drop("parts")
+    mixed = now.join(share, ["band", "key"]).withColumn("outside", F.col("comp") != F.col("main"))
+    salts = F.ceil(F.col("size") / BUCKET).cast("int")
+    own = F.pmod(F.xxhash64("rep"), salts).cast("int")
+    mixed = mixed.withColumn("salt", F.explode(F.when(F.col("outside"), F.sequence(F.lit(0), salts - 1)).otherwise(F.array(own)))).withColumn("own", F.col("salt") == own)
+    slots = int(buckets.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 4
+    mixed = mixed.select(F.pmod(F.xxhash64("band", "key", "salt"), slots).cast("int").alias("slot"), "band", "key", "salt", "rep", "n", "sig", "comp", "outside", "own")
+
+    def meet(table: pa.Table) -> pa.Table:
+        cols = {c: table.column(c).to_numpy() for c in ("band", "key", "salt", "rep", "n", "comp", "outside", "own")}
+        sig = table.column("sig").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(table.num_rows, -1)
+        order = np.lexsort([cols["rep"], cols["salt"], cols["key"], cols["band"]])
+        cols, sig = {c: x[order] for c, x in cols.items()}, sig[order]
+        head = np.ones(len(order), bool)
+        head[1:] = (cols["band"][1:] != cols["band"][:-1]) | (cols["key"][1:] != cols["key"][:-1]) | (cols["salt"][1:] != cols["salt"][:-1])
+        cuts, out = np.append(np.flatnonzero(head), len(head)), []
+        for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            for left in np.array_split(lo + np.flatnonzero(cols["outside"][lo:hi]), 1 + (hi - lo) ** 2 // (1 << 20)):
+                if len(left):
+                    out.append(best_partners(left, lo, hi, cols, sig, rules, most))
+        pair = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
+        return pa.table({"a": pa.array(pair[:, 0]), "b": pa.array(pair[:, 1])})
+
+    return mixed.groupBy("slot").applyInArrow(meet, "a long, b long").distinct()
+
+
+def best_partners(left: np.ndarray, lo: int, hi: int, cols: dict[str, np.ndarray], sig: np.ndarray, rules: NearRules, most: int | None) -> np.ndarray:
+    """Pairs of members ``left`` with members lo to hi of other components that may link."""
+    bits = sig[left][:, None, :] ^ sig[lo:hi][None]
+    differ = np.bitwise_count((bits | (bits >> np.uint64(1))) & np.uint64(EVEN_BITS)).sum(axis=2, dtype=np.int64)
+    alike = (1 - differ / (rules.bands * rules.rows) - 0.25) / 0.75
+    n, m = cols["n"][left][:, None], cols["n"][lo:hi][None]
+    may = (alike >= rules.similarity / 100 - rules.slack) & (np.minimum(n, m) * 100 >= np.maximum(n, m) * rules.similarity)
+    may &= cols["comp"][left][:, None] != cols["comp"][lo:hi][None]
+    # two members outside the main component meet once: in the salt of the first, in the order of their ids
+    both = cols["outside"][lo:hi][None]
+    may &= ~both | (cols["own"][left][:, None] & (cols["rep"][left][:, None] < cols["rep"][lo:hi][None]))
+    i, j = np.nonzero(may)
+    if most is not None and len(i):
+        order = np.lexsort([-alike[i, j], cols["comp"][lo:hi][j], i])
+        i, j = i[order], j[order]
+        comp = cols["comp"][lo:hi][j]
+        head = np.append(True, (i[1:] != i[:-1]) | (comp[1:] != comp[:-1]))
+        rank = np.arange(len(i)) - np.maximum.accumulate(np.where(head, np.arange(len(i)), 0))
+        i, j = i[rank < most], j[rank < most]
+    a, b = cols["rep"][left[i]], cols["rep"][lo + j]
+    return np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1)
 
 
 def near_duplicates(docs: DataFrame, rules: NearRules = NearRules()) -> DataFrame:
@@ -152,12 +243,14 @@ def near_duplicates(docs: DataFrame, rules: NearRules = NearRules()) -> DataFram
     classes = some.groupBy(*key).agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("bands").alias("bands")).filter("rep is not null")
     classes = cut(classes)
     member = classes.select(F.posexplode("bands").alias("band", "key"), "rep", F.col("n_shingles").alias("n"), "sig")
-    leaders = member.groupBy("band", "key").agg(F.min(F.struct("rep", "n", "sig")).alias("top"), F.count(F.lit(1)).alias("size")).filter("size > 1")
+    sizes = member.groupBy("band", "key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    buckets = cut(member.join(sizes, ["band", "key"]))
+    popular = buckets.groupBy("rep").agg(F.sum("size").alias("company"))
+    ranked = buckets.join(popular, "rep")
+    leaders = ranked.groupBy("band", "key").agg(F.min(F.struct((-F.col("company")).alias("c"), "rep", "n", "sig")).alias("top"))
     leaders = leaders.select("band", "key", F.col("top.rep").alias("lead"), F.col("top.n").alias("ln"), F.col("top.sig").alias("lsig"))
-    buckets = cut(member.join(leaders, ["band", "key"]).select("band", "key", "rep", "n", "sig", "lead", "ln", "lsig"))
-
-    named = buckets.withColumnsRenamed({"n": "rn", "sig": "rsig"})
-    stars = named.filter("lead <> rep").filter(may_link("l", "r", rules)).select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
+    named = buckets.withColumnsRenamed({"n": "rn", "sig": "rsig"}).join(leaders, ["band", "key"])
+    stars = named.filter("lead <> rep").filter(may_link("l", "r", rules)).select(F.least("lead", "rep").alias("a"), F.greatest("lead", "rep").alias("b")).distinct()
     stars = cut(stars)
 
     # full sets of every class that shares a bucket with another it may link to; texts are read anew for them alone
@@ -166,27 +259,9 @@ def near_duplicates(docs: DataFrame, rules: NearRules = NearRules()) -> DataFram
     sets = cut(full_sets(texts, rules).dropDuplicates(["rep"]))
     links = cut(confirmed(stars, sets, rules))
     tested = stars
-    buckets = buckets.select("band", "key", "rep", "n", "sig")
-    for most in (4, 64, None):
-        found = components(links)
-        now = buckets.join(found.withColumnRenamed("id", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
-        share = now.groupBy("band", "key", "comp").agg(F.count(F.lit(1)).alias("m"))
-        share = share.groupBy("band", "key").agg(F.max(F.struct("m", "comp"))["comp"].alias("main"), F.count(F.lit(1)).alias("parts")).filter("parts > 1").drop("parts")
-        mixed = now.join(share, ["band", "key"])
-        left = mixed.filter("comp <> main").select("band", "key", *(F.col(c).alias(f"l{c}") for c in ("rep", "n", "sig", "comp")))
-        right = mixed.select("band", "key", "main", *(F.col(c).alias(f"r{c}") for c in ("rep", "n", "sig", "comp")))
-        met = left.join(right, ["band", "key"]).filter("lcomp <> rcomp and (rcomp = main or lrep < rrep)").filter(may_link("l", "r", rules))
-        met = met.select("lrep", "rrep", "rcomp", estimate("lsig", "rsig", rules).alias("e")).distinct()
-        if most:
-            best = Window.partitionBy("lrep", "rcomp").orderBy(F.desc("e"), "rrep")
-            met = met.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= most)
-        pairs = met.select(F.least("lrep", "rrep").alias("a"), F.greatest("lrep", "rrep").alias("b")).distinct()
+    for most in (4, None):
+        pairs = candidates_between(buckets, components(links), rules, most)
         pairs = cut(pairs.join(tested, ["a", "b"], "left_anti"))
-        if pairs.isEmpty():
-            # with a limit, the best of a document may all be tested and others not: only the last round is sure
-            if most is None:
-                break
-            continue
         links = cut(links.union(confirmed(pairs, sets, rules)))
         tested = tested.union(pairs)
     found = components(links)
