@@ -77,42 +77,51 @@ def sketch_items(ids: list[int], texts: list[str | None], rules: LeakRules) -> I
     return ItemSketches(ids, sets, classes)
 
 
-def window_minima(blocks: np.ndarray, width: int) -> np.ndarray:
-    """Minima of each run of ``width`` blocks and of the shorter runs at the end."""
-    padded = np.concatenate([blocks, np.full(width - 1, np.uint32(0xFFFFFFFF))])
-    return np.lib.stride_tricks.sliding_window_view(padded, width).min(axis=1) if len(blocks) else blocks
+def run_starts(first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places, first): every document's run of rows cut into blocks of ``size``; a document without rows has none."""
+    n = -(-np.diff(first) // size)
+    place = np.concatenate([[0], np.cumsum(n)])
+    return np.repeat(first[:-1] - place[:-1] * size, n) + np.arange(place[-1]) * size, place
 
 
-def candidates(hashes: np.ndarray, sketches: ItemSketches, params: tuple[np.ndarray, np.ndarray], rules: LeakRules) -> set[int]:
-    """Items of which a window of this document may hold enough."""
-    found: set[int] = set()
-    if not sketches.classes:
+def candidates(hashes: np.ndarray, first: np.ndarray, sketches: ItemSketches, params: tuple[np.ndarray, np.ndarray], rules: LeakRules) -> dict[int, set[int]]:
+    """Documents, of a chunk of them, and the items of which a window of theirs may hold enough."""
+    found: dict[int, set[int]] = {}
+    if not sketches.classes or len(hashes) == 0:
         return found
     finest = min(sketches.classes)
-    edges = np.arange(0, len(hashes), finest)
+    edges, small_first = run_starts(first, finest)
+    plans = []
+    for b, (keys, owner, seen) in sketches.classes.items():
+        starts, own_first = run_starts(small_first, b // finest)
+        doc = np.repeat(np.arange(len(own_first) - 1), np.diff(own_first))
+        # blocks whose next, and next but one, is of the same document
+        plans.append((keys, owner, seen, starts, doc, np.flatnonzero(doc[1:] == doc[:-1]), np.flatnonzero(doc[2:] == doc[:-2])))
     for i in range(rules.hashes):
         small = np.minimum.reduceat(spread(hashes, i, params), edges)
-        for b, (keys, owner, seen) in sketches.classes.items():
-            step = b // finest
-            blocks = small if step == 1 else np.minimum.reduceat(small, np.arange(0, len(small), step))
-            mins = window_minima(blocks, 3)
-            hit = mins[seen[i, mins & np.uint32((1 << FILTER_BITS) - 1)]]
+        for keys, owner, seen, starts, doc, next1, next2 in plans:
+            block = np.minimum.reduceat(small, starts)
+            mins = block.copy()
+            mins[next1] = np.minimum(mins[next1], block[next1 + 1])
+            mins[next2] = np.minimum(mins[next2], block[next2 + 2])
+            hit = np.flatnonzero(seen[i, mins & np.uint32((1 << FILTER_BITS) - 1)])
             if len(hit):
-                wanted = np.unique(hit).astype(np.uint64) | np.uint64(i << 32)
+                wanted = mins[hit].astype(np.uint64) | np.uint64(i << 32)
                 lo, hi = np.searchsorted(keys, wanted, "left"), np.searchsorted(keys, wanted, "right")
-                for a, z in zip(lo.tolist(), hi.tolist(), strict=True):
-                    found.update(owner[a:z].tolist())
+                for h in np.flatnonzero(hi > lo).tolist():
+                    found.setdefault(int(doc[hit[h]]), set()).update(owner[lo[h] : hi[h]].tolist())
     return found
 
 
-def confirmed(hashes: np.ndarray, sketches: ItemSketches, params: tuple[np.ndarray, np.ndarray], rules: LeakRules) -> list[tuple[int, int]]:
-    """(item's number, shingles in common) of the candidates of which this document holds enough."""
-    maybe, out = candidates(hashes, sketches, params, rules), []
-    whole = np.unique(hashes) if maybe else hashes
-    for n in sorted(maybe):
-        common = int(np.isin(sketches.sets[n], whole, assume_unique=True).sum())
-        if 100 * common >= rules.containment * len(sketches.sets[n]):
-            out.append((n, common))
+def confirmed(hashes: np.ndarray, first: np.ndarray, sketches: ItemSketches, params: tuple[np.ndarray, np.ndarray], rules: LeakRules) -> list[tuple[int, int, int]]:
+    """(document of the chunk, item's number, shingles in common) of the candidates of which a document holds enough."""
+    out = []
+    for d, maybe in sorted(candidates(hashes, first, sketches, params, rules).items()):
+        whole = np.unique(hashes[first[d] : first[d + 1]])
+        for n in sorted(maybe):
+            common = int(np.isin(sketches.sets[n], whole, assume_unique=True).sum())
+            if 100 * common >= rules.containment * len(sketches.sets[n]):
+                out.append((d, n, common))
     return out
 
 
@@ -145,11 +154,8 @@ def search(docs: DataFrame, sketches: ItemSketches, rules: LeakRules) -> DataFra
         sketches, params = shared.value, hash_parameters(rules)
         for batch in batches:
             ids, rows = batch.column(0).to_pylist(), []
-            for i, j, hashes, first in shingle_sets(batch.column(1), rules.words):
-                for d in range(j - i):
-                    own = hashes[first[d] : first[d + 1]]
-                    if len(own):
-                        rows += [(ids[i + d], sketches.ids[n], len(sketches.sets[n]), common) for n, common in confirmed(own, sketches, params, rules)]
+            for i, _, hashes, first in shingle_sets(batch.column(1), rules.words):
+                rows += [(ids[i + d], sketches.ids[n], len(sketches.sets[n]), common) for d, n, common in confirmed(hashes, first, sketches, params, rules)]
             if rows:
                 cols = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "item_id", "n_item", "n_common"])
@@ -170,8 +176,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, rules: LeakRules = LeakRule
             for batch in batches:
                 clean = np.ones(batch.num_rows, bool)
                 for i, _, hashes, first in shingle_sets(batch.column("text"), rules.words):
-                    for d in np.flatnonzero(np.diff(first)):
-                        clean[i + d] = not confirmed(hashes[first[d] : first[d + 1]], sketches, params, rules)
+                    for d, _, _ in confirmed(hashes, first, sketches, params, rules):
+                        clean[i + d] = False
                 yield batch.filter(pa.array(clean))
 
         docs = docs.mapInArrow(keep, docs.schema)
