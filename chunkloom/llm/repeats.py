@@ -270,11 +270,24 @@ def load_part(table: pa.Table, rules: Windows) -> Part:
     rows = joined(table.column("rows"), np.uint32)
     per_row = np.array([len(x.as_py()) // 4 for x in table.column("rows")], np.int64)
     buckets = np.repeat(table.column("bucket").to_numpy(), per_row)
-    counts = sizes - rules.window + 1
-    windows = np.repeat(first[:-1] - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) + np.arange(counts.sum())
-    owner = np.repeat(np.arange(len(sizes)), counts)
     symbols = joined(table.column("symbols"), np.uint32 if rules.words else np.uint8)
-    return Part(symbols, first, at, buckets, rows, joined(table.column("places"), np.uint32).astype(np.int64), joined(table.column("ids"), np.int64), windows, owner, rules.window)
+    # buckets send equal runs each: here they become one, with the places of all
+    digest = run_digest(symbols.astype(np.uint64) + np.uint64(1), first[:-1], first[1:])
+    order = np.lexsort([digest, sizes])
+    fresh = np.append(True, (digest[order][1:] != digest[order][:-1]) | (sizes[order][1:] != sizes[order][:-1]))
+    heads = np.flatnonzero(fresh)
+    place = ranges(at[order], n_places[order])
+    kept = order[heads]
+    symbols, n_places, sizes = symbols[ranges(first[kept], sizes[kept])], np.add.reduceat(n_places[order], heads), sizes[kept]
+    first, at = np.concatenate([[0], np.cumsum(sizes)]), np.concatenate([[0], np.cumsum(n_places)])
+    counts = sizes - rules.window + 1
+    places, ids = joined(table.column("places"), np.uint32).astype(np.int64), joined(table.column("ids"), np.int64)
+    return Part(symbols, first, at, buckets[place], rows[place], places[place], ids[place], ranges(first[:-1], counts), np.repeat(np.arange(len(sizes)), counts), rules.window)
+
+
+def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """start, start + 1 and so on, for each of these runs, in one array."""
+    return np.repeat(starts - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum())
 
 
 def limit_runs(part: Part, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

@@ -25,6 +25,9 @@ from pyspark.sql import functions as F
 from .repeats import Part, Windows, limit_runs, load_part, repeated_spans, report, routed_runs, spans_of
 
 BYTES = Windows(window=50, gram=18)
+#: Bytes of a suffix that are sorted and compared, in windows. Runs of windows of one key are shorter (50 + 32 bytes),
+#: but for periodic text, of which suffixes that agree so far count as equal: depths are "so much or more" there.
+DEPTH = 3
 
 
 def big_endian(symbols: np.ndarray) -> np.ndarray:
@@ -110,6 +113,7 @@ def interval_tree(part: Part) -> Tree:
     if len(shared) == 0:
         return Tree(shared, np.zeros((0, 3), np.int64), np.zeros((0, 2), np.int64))
     # the suffixes that share a window are sorted to their ends, for lengths beyond it
+    end = np.minimum(end, start + DEPTH * window)
     deep, _ = sort_suffixes(words, start[shared], end[shared], int((end[shared] - start[shared]).max()))
     shared = shared[deep]
     a, b = start[shared[:-1]], start[shared[1:]]
