@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import json
 import math
+import re
 import struct
 from collections.abc import Mapping
 from dataclasses import dataclass
@@ -17,10 +18,14 @@ from ..errors import MetadataError
 from ..grid import FixedAxis, Grid, VaryingAxis, compress_runs, expand_runs
 from ..model import ITEM_SIZES, SPARK_TYPES, ArraySpec
 
+#: Fixed values of the stored format: the key of its version, names of its document files, the prefix of codecs taken over from the older version.
+FORMAT_KEY = "zarr_format"
+DOCUMENT, OLD_DOCUMENTS = "zarr.json", (".zarray", ".zgroup", ".zattrs")
+OLD_CODEC_PREFIX = "numcodecs."
 #: Keys of array and group documents of the newer format and the older one.
-ARRAY_KEYS = ("zarr_format", "node_type", "shape", "data_type", "chunk_grid", "chunk_key_encoding", "fill_value", "codecs")
+ARRAY_KEYS = (FORMAT_KEY, "node_type", "shape", "data_type", "chunk_grid", "chunk_key_encoding", "fill_value", "codecs")
 ARRAY_EXTRA = ("attributes", "storage_transformers", "dimension_names")
-OLD_KEYS = ("zarr_format", "shape", "chunks", "dtype", "compressor", "fill_value", "order", "filters")
+OLD_KEYS = (FORMAT_KEY, "shape", "chunks", "dtype", "compressor", "fill_value", "order", "filters")
 #: Letters of the older format's element types.
 OLD_KINDS = {"b": "bool", "i": "int", "u": "uint", "f": "float", "c": "complex", "S": "null_terminated_bytes", "U": "fixed_length_utf32", "V": "raw_bytes", "M": "numpy.datetime64", "m": "numpy.timedelta64", "O": "string"}
 
@@ -36,8 +41,8 @@ def array_problems(doc: Any) -> list[Problem]:
     if not isinstance(doc, Mapping):
         return [Problem("", "a document is an object")]
     out = [Problem(k, "is missing") for k in ARRAY_KEYS if k not in doc]
-    if doc.get("zarr_format", 3) != 3:
-        out.append(Problem("zarr_format", "must be 3"))
+    if doc.get(FORMAT_KEY, 3) != 3:
+        out.append(Problem(FORMAT_KEY, "must be 3"))
     if doc.get("node_type", "array") != "array":
         out.append(Problem("node_type", "must be 'array'"))
     shape = doc.get("shape", [])
@@ -79,8 +84,8 @@ def old_array_problems(doc: Any) -> list[Problem]:
     if not isinstance(doc, Mapping):
         return [Problem("", "a document is an object")]
     out = [Problem(k, "is missing") for k in OLD_KEYS if k not in doc]
-    if doc.get("zarr_format", 2) != 2:
-        out.append(Problem("zarr_format", "must be 2"))
+    if doc.get(FORMAT_KEY, 2) != 2:
+        out.append(Problem(FORMAT_KEY, "must be 2"))
     if doc.get("order", "C") not in ("C", "F"):
         out.append(Problem("order", "must be C or F"))
     shape, chunks = doc.get("shape", []), doc.get("chunks", [])
@@ -94,8 +99,8 @@ def old_array_problems(doc: Any) -> list[Problem]:
 def group_problems(doc: Any) -> list[Problem]:
     if not isinstance(doc, Mapping):
         return [Problem("", "a document is an object")]
-    out = [] if doc.get("zarr_format") in (2, 3) else [Problem("zarr_format", "must be 2 or 3")]
-    if doc.get("zarr_format") == 3 and doc.get("node_type") != "group":
+    out = [] if doc.get(FORMAT_KEY) in (2, 3) else [Problem(FORMAT_KEY, "must be 2 or 3")]
+    if doc.get(FORMAT_KEY) == 3 and doc.get("node_type") != "group":
         out.append(Problem("node_type", "must be 'group'"))
     if not isinstance(doc.get("attributes", {}), Mapping):
         out.append(Problem("attributes", "must be an object"))
@@ -116,7 +121,7 @@ def document_problems(docs: DataFrame, path: str = "path", meta: str = "meta") -
                 except (TypeError, ValueError):
                     rows.append((p, "", "isn't JSON"))
                     continue
-                find = group_problems if isinstance(doc, Mapping) and doc.get("node_type") == "group" else old_array_problems if isinstance(doc, Mapping) and doc.get("zarr_format") == 2 else array_problems
+                find = group_problems if isinstance(doc, Mapping) and doc.get("node_type") == "group" else old_array_problems if isinstance(doc, Mapping) and doc.get(FORMAT_KEY) == 2 else array_problems
                 rows += [(p, x.where, x.message) for x in find(doc)]
             yield pd.DataFrame(rows, columns=["path", "where", "message"])
 
@@ -199,7 +204,7 @@ def document_from_spec(spec: ArraySpec) -> dict[str, Any]:
     grid = {"name": "regular", "configuration": {"chunk_shape": [a.size for a in spec.grid.axes]}} if spec.grid.regular else {"name": "rectilinear", "configuration": {"kind": "inline", "chunk_shapes": [a.size if isinstance(a, FixedAxis) else compress_runs(a.edges) for a in spec.grid.axes]}}
     default = [{"name": "bytes", "configuration": {"endian": "little"}} if ITEM_SIZES.get(spec.dtype, 1) > 1 else {"name": "bytes"}, {"name": "zstd", "configuration": {"level": 0, "checksum": False}}]
     return {
-        "zarr_format": 3, "node_type": "array", "shape": list(spec.shape), "data_type": spec.dtype, "chunk_grid": grid,
+        FORMAT_KEY: 3, "node_type": "array", "shape": list(spec.shape), "data_type": spec.dtype, "chunk_grid": grid,
         "chunk_key_encoding": {"name": "default", "configuration": {"separator": "/"}}, "fill_value": fill_to_json(spec.fill, spec.dtype),
         "codecs": list(spec.codecs) or default, "attributes": dict(spec.attributes), "dimension_names": list(spec.dims),
     }
@@ -228,17 +233,17 @@ def migrated(old: Mapping[str, Any], attributes: Mapping[str, Any] | None = None
     for f in old["filters"] or []:
         conf = {k: v for k, v in f.items() if k != "id"}
         if f["id"] not in ("vlen-utf8", "vlen-bytes"):
-            byte_filters.append({"name": f"numcodecs.{f['id']}", "configuration": conf})
+            byte_filters.append({"name": OLD_CODEC_PREFIX + f["id"], "configuration": conf})
     codecs += byte_filters
     codecs.append({"name": serializer, "configuration": {"endian": endian}} if serializer == "bytes" and endian != "none" else {"name": serializer})
     if c := old["compressor"]:
         conf = {k: v for k, v in c.items() if k != "id"}
-        codecs.append({"name": c["id"] if c["id"] in ("blosc", "zstd", "gzip") else f"numcodecs.{c['id']}", "configuration": conf})
+        codecs.append({"name": c["id"] if c["id"] in ("blosc", "zstd", "gzip") else OLD_CODEC_PREFIX + c["id"], "configuration": conf})
     fill = old["fill_value"]
     if fill is None:
         fill = {"bool": False, "string": ""}.get(kind, 0)
     return {
-        "zarr_format": 3, "node_type": "array", "shape": list(old["shape"]), "data_type": kind,
+        FORMAT_KEY: 3, "node_type": "array", "shape": list(old["shape"]), "data_type": kind,
         "chunk_grid": {"name": "regular", "configuration": {"chunk_shape": list(old["chunks"])}},
         "chunk_key_encoding": {"name": "v2", "configuration": {"separator": old.get("dimension_separator", ".")}},
         "fill_value": fill, "codecs": codecs, "attributes": dict(attributes or {}),
@@ -251,16 +256,17 @@ def migrated_catalog(nodes: DataFrame) -> DataFrame:
     def move(frames: Any) -> Any:
         for frame in frames:
             docs = [json.loads(x) for x in frame["meta"]]
-            frame["meta"] = [json.dumps(migrated(d, d.get("attributes")) if d.get("zarr_format") == 2 and "shape" in d else d) for d in docs]
+            frame["meta"] = [json.dumps(migrated(d, d.get("attributes")) if d.get(FORMAT_KEY) == 2 and "shape" in d else d) for d in docs]
             yield frame
 
     return nodes.select("path", "meta").mapInPandas(move, "path string, meta string")
 
 
-def removable(files: DataFrame, zarr_format: int, force: bool = False) -> DataFrame:
+def removable(files: DataFrame, version: int, force: bool = False) -> DataFrame:
     """Metadata files (key) of one format that may go: those with a counterpart in the other, or with force all."""
-    old, new = r"^(.*/)?\.(?:zarray|zgroup|zattrs)$", r"^(.*/)?zarr\.json$"
-    mine, other = (old, new) if zarr_format == 2 else (new, old)
+    pattern = lambda names: "^(.*/)?(?:" + "|".join(map(re.escape, names)) + ")$"
+    old, new = pattern(OLD_DOCUMENTS), pattern([DOCUMENT])
+    mine, other = (old, new) if version == 2 else (new, old)
     named = lambda pattern: files.filter(F.col("key").rlike(pattern)).withColumn("node", F.regexp_extract("key", pattern, 1))
     found = named(mine)
     return (found if force else found.join(named(other).select("node").distinct(), "node", "left_semi")).select("key")

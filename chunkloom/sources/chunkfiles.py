@@ -26,9 +26,7 @@ from ..errors import ArrayNotFoundError, ContainsArrayError
 from ..functions.bytecodecs import build_shard, decode_bytes, encode_bytes, read_shard, split_chain
 from ..grid import chunk_key, morton_coords
 from ..model import SPARK_TYPES, ArrayFrame, ArraySpec
-from ..operators.metadata import document_from_spec, spec_from_document
-
-DOCUMENT = "zarr.json"
+from ..operators.metadata import DOCUMENT, document_from_spec, spec_from_document
 
 
 def read_document(folder: str) -> dict[str, Any]:

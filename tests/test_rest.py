@@ -131,13 +131,13 @@ def test_catalog(spark, tmp_path):
 
 def test_documents_round_trip():
     doc = {
-        "zarr_format": 3, "node_type": "array", "shape": [60, 30], "data_type": "int16", "fill_value": 3,
+        m.FORMAT_KEY: 3, "node_type": "array", "shape": [60, 30], "data_type": "int16", "fill_value": 3,
         "chunk_grid": {"name": "rectilinear", "configuration": {"kind": "inline", "chunk_shapes": [[[10, 5], 5, 5], 15]}},
         "chunk_key_encoding": "default", "codecs": [{"name": "bytes"}],
     }
     spec = m.spec_from_document(doc)
     assert spec.grid.chunk_counts == (7, 2) and m.spec_from_document(m.document_from_spec(spec)).grid == spec.grid
-    assert {p.where for p in m.array_problems({"zarr_format": 2, "shape": [-1], "odd": 1})} >= {"zarr_format", "shape", "odd", "codecs", "data_type"}
+    assert {p.where for p in m.array_problems({m.FORMAT_KEY: 2, "shape": [-1], "odd": 1})} >= {m.FORMAT_KEY, "shape", "odd", "codecs", "data_type"}
 
 
 @pytest.mark.parametrize("kind,text", [("float64", "NaN"), ("float64", "-Infinity"), ("float64", 1.5), ("complex64", [1.0, "NaN"]), ("bool", True), ("uint64", 2**63), ("string", "x"), ("raw_bytes", "YWI=")])
@@ -153,16 +153,17 @@ def test_fill_values_by_bits_and_bad_ones():
 
 
 def test_migration(spark):
-    old = {"zarr_format": 2, "shape": [4, 6], "chunks": [2, 3], "dtype": "<f8", "compressor": {"id": "zlib", "level": 1}, "fill_value": None, "order": "F", "filters": None}
+    old = {m.FORMAT_KEY: 2, "shape": [4, 6], "chunks": [2, 3], "dtype": "<f8", "compressor": {"id": "zlib", "level": 1}, "fill_value": None, "order": "F", "filters": None}
     new = m.migrated(old, {"a": 1})
-    assert [x["name"] for x in new["codecs"]] == ["transpose", "bytes", "numcodecs.zlib"] and new["attributes"] == {"a": 1}
+    assert [x["name"] for x in new["codecs"]] == ["transpose", "bytes", m.OLD_CODEC_PREFIX + "zlib"] and new["attributes"] == {"a": 1}
     df = spark.createDataFrame([("x", json.dumps(old))], "path string, meta string")
-    assert json.loads(m.migrated_catalog(df).first().meta)["zarr_format"] == 3
-    found = m.document_problems(spark.createDataFrame([("bad", "{"), ("ok", json.dumps(new)), ("old", '{"zarr_format": 2, "shape": [1]}')], "path string, meta string")).collect()
+    assert json.loads(m.migrated_catalog(df).first().meta)[m.FORMAT_KEY] == 3
+    found = m.document_problems(spark.createDataFrame([("bad", "{"), ("ok", json.dumps(new)), ("old", json.dumps({m.FORMAT_KEY: 2, "shape": [1]}))], "path string, meta string")).collect()
     assert {r.path for r in found} == {"bad", "old"}
-    files = spark.createDataFrame([("a/.zarray",), ("a/zarr.json",), ("b/.zarray",), ("a/0.0",)], "key string")
-    assert {r.key for r in m.removable(files, 2).collect()} == {"a/.zarray"}
-    assert {r.key for r in m.removable(files, 2, force=True).collect()} == {"a/.zarray", "b/.zarray"}
+    old = m.OLD_DOCUMENTS[0]
+    files = spark.createDataFrame([("a/" + old,), ("a/" + m.DOCUMENT,), ("b/" + old,), ("a/0.0",)], "key string")
+    assert {r.key for r in m.removable(files, 2).collect()} == {"a/" + old}
+    assert {r.key for r in m.removable(files, 2, force=True).collect()} == {"a/" + old, "b/" + old}
 
 
 # -- stores
