@@ -56,7 +56,7 @@ class ToxicRules:
     """sample: labelled documents to learn from at most (by hash of their id). entries: of the lexicon at most.
     support, precision: of an entry. stem: characters of a stem at least. margin: nats beyond chance."""
 
-    sample: int = 8000
+    sample: int = 4000
     entries: int = 200
     support: int = 3
     precision: float = 0.6
@@ -178,17 +178,18 @@ class Restorer:
 _WORD = re.compile(r"[^\W\d_]+")
 
 
-def words_in_context(text: str, restorer: Restorer) -> dict[str, tuple[str, str]]:
-    """Each word with its neighbours where it first stands. Copies of a text give a word one context; a word that
-    is put into many texts has many."""
-    words = [w.lower() for w in _WORD.findall(text)]
-    out: dict[str, tuple[str, str]] = {}
+def words_in_context(text: str, restorer: Restorer, known: dict[str, str]) -> dict[str, int]:
+    """Each word with a hash of its neighbours where it first stands. Copies of a text give a word one context; a
+    word that is put into many texts has many. ``known`` holds each word once for all texts."""
+    words = [known.setdefault(w, w) for w in map(str.lower, _WORD.findall(text))]
+    out: dict[str, int] = {}
     for before, word, after in zip(["", *words], words, [*words[1:], ""], strict=False):
-        out.setdefault(word, (before, after))
+        if word not in out:
+            out[word] = hash((before, after))
     for m in _SPANS.finditer(text):
-        near = text[max(0, m.start() - 20) : m.start()], text[m.end() : m.end() + 20]
+        near = hash((text[max(0, m.start() - 20) : m.start()], text[m.end() : m.end() + 20]))
         for word in _WORD.findall(restorer.span(m[0])):
-            out.setdefault(word, near)
+            out.setdefault(known.setdefault(word, word), near)
     return out
 
 
@@ -197,7 +198,7 @@ def entries_of(word: str, rules: ToxicRules) -> list[str]:
     return [word, *(word[:n] + "*" for n in range(rules.stem, len(word)))]
 
 
-def choose_entries(docs: list[tuple[dict[str, tuple[str, str]], int]], rules: ToxicRules) -> list[str]:
+def choose_entries(docs: list[tuple[dict[str, int], int]], rules: ToxicRules) -> list[str]:
     """Words and stems, the best first; words that one takes in no longer count for the others."""
     places = {y: {(w, near) for words, t in docs if t == y for w, near in words.items()} for y in (0, 1)}
     count = {y: Counter(w for w, _ in places[y]) for y in (0, 1)}
@@ -255,7 +256,8 @@ def fit(rows: list[tuple[str, int]], logp: np.ndarray, rules: ToxicRules = Toxic
     seen: dict[str, int] = {}
     for text, toxic in rows:
         seen.setdefault(text or "", int(toxic))
-    docs = [(words_in_context(t, restorer), y) for t, y in seen.items()]
+    known: dict[str, str] = {}
+    docs = [(words_in_context(t, restorer, known), y) for t, y in seen.items()]
     model = ToxicModel(logp)
     n_toxic = sum(y for _, y in docs)
     if not docs or not n_toxic or n_toxic == len(docs):
