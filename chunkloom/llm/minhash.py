@@ -37,25 +37,28 @@ BUCKET, BLOCK_PAIRS = 20000, 50000
 
 @dataclass(frozen=True)
 class NearRules:
-    """similarity: in per cent, Jaccard on shingle sets. slack: the estimate may fall so far below it (over four deviations)."""
+    """similarity: in per cent, Jaccard on shingle sets. slack: the estimate may fall so far below it (over four deviations).
+    deep, deep_slack: bytes of the longer sketch of documents that share a bucket, and its slack (four deviations)."""
 
     words: int = 5
     similarity: int = 75
     bands: int = 32
     rows: int = 4
     slack: float = 0.2
+    deep: int = 384
+    deep_slack: float = 0.09
     seed: int = 11
 
 
-def hash_parameters(rules: NearRules) -> tuple[np.ndarray, np.ndarray]:
-    rng = np.random.default_rng(rules.seed)
-    n = rules.bands * rules.rows
+def hash_parameters(rules: NearRules, deep: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.default_rng(rules.seed + deep)
+    n = rules.deep if deep else rules.bands * rules.rows
     return rng.integers(1, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(1, 1 << 63, n, dtype=np.uint64)
 
 
-def minima(hashes: np.ndarray, first: np.ndarray, rules: NearRules) -> np.ndarray:
+def minima(hashes: np.ndarray, first: np.ndarray, rules: NearRules, deep: bool = False) -> np.ndarray:
     """A row of minima for each document; every document must have a hash."""
-    a, b = hash_parameters(rules)
+    a, b = hash_parameters(rules, deep)
     out = np.empty((len(first) - 1, len(a)), np.uint32)
     for i in range(len(a)):
         out[:, i] = np.minimum.reduceat(((hashes * a[i] + b[i]) >> np.uint64(32)).astype(np.uint32), first[:-1])
@@ -102,7 +105,7 @@ def signatures(docs: DataFrame, rules: NearRules = NearRules()) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, rules: NearRules) -> DataFrame:
-    """(rep, hashes): the distinct shingles of whole texts, of documents with columns rep and text."""
+    """(rep, hashes, deep): the distinct shingles of whole texts, and the low bytes of more minima, of documents with columns rep and text."""
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -110,9 +113,12 @@ def full_sets(docs: DataFrame, rules: NearRules) -> DataFrame:
                 own = [np.unique(hashes[first[d] : first[d + 1]]).view(np.int64) for d in range(j - i)]
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in own])]).astype(np.int32)
                 values = np.concatenate(own) if own else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], ["rep", "hashes"])
+                deep, full = np.zeros((j - i, rules.deep), np.uint8), np.flatnonzero(np.diff(first))
+                if len(full):
+                    deep[full] = minima(hashes, np.append(first[full], first[-1]), rules, deep=True).astype(np.uint8)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)), pa.array([x.tobytes() for x in deep], pa.binary())], ["rep", "hashes", "deep"])
 
-    return docs.select("rep", "text").mapInArrow(collect, "rep long, hashes array<long>")
+    return docs.select("rep", "text").mapInArrow(collect, "rep long, hashes array<long>, deep binary")
 
 
 def estimate(x: str, y: str, rules: NearRules) -> Column:
@@ -145,7 +151,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, rules: NearRules) -> DataFrame:
     p = p.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("l"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("r"), F.greatest("da", "db").alias("d"))
     blocks = max(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), pairs.count() // BLOCK_PAIRS)
     p = p.select(F.pmod(F.xxhash64("l", F.pmod(F.xxhash64("r"), F.ceil(F.col("d") / BLOCK_PAIRS))), blocks).cast("int").alias("block"), "l", "r")
-    needed = p.select("block", F.col("l").alias("rep")).union(p.select("block", "r")).distinct().join(sets, "rep").select(F.col("block").alias("of"), "rep", "hashes")
+    needed = p.select("block", F.col("l").alias("rep")).union(p.select("block", "r")).distinct().join(sets.select("rep", "hashes"), "rep").select(F.col("block").alias("of"), "rep", "hashes")
 
     def hold(left: pa.Table, right: pa.Table) -> pa.Table:
         none = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
@@ -175,21 +181,23 @@ def confirmed(pairs: DataFrame, sets: DataFrame, rules: NearRules) -> DataFrame:
     return p.groupBy("block").cogroup(needed.groupBy("of")).applyInArrow(hold, "a long, b long")
 
 
-def candidates_between(buckets: DataFrame, found: DataFrame, rules: NearRules, most: int | None) -> DataFrame:
-    """Pairs (a, b) of one bucket and two components that may link; of each member's partners in one other component the ``most`` best."""
+def candidates_between(buckets: DataFrame, found: DataFrame, sets: DataFrame, rules: NearRules, most: int | None) -> DataFrame:
+    """Pairs (a, b) of one bucket and two components that may link, by the packed bits and then by the longer sketch;
+    of each member's partners in one other component the ``most`` best."""
     now = buckets.join(found.withColumnRenamed("id", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
     share = now.groupBy("band", "key", "comp").agg(F.count(F.lit(1)).alias("m"))
     share = share.groupBy("band", "key").agg(F.max(F.struct("m", "comp"))["comp"].alias("main"), F.count(F.lit(1)).alias("parts")).filter("parts > 1").drop("parts")
-    mixed = now.join(share, ["band", "key"]).withColumn("outside", F.col("comp") != F.col("main"))
+    mixed = now.join(share, ["band", "key"]).join(sets.select("rep", "deep"), "rep").withColumn("outside", F.col("comp") != F.col("main"))
     salts = F.ceil(F.col("size") / BUCKET).cast("int")
     own = F.pmod(F.xxhash64("rep"), salts).cast("int")
     mixed = mixed.withColumn("salt", F.explode(F.when(F.col("outside"), F.sequence(F.lit(0), salts - 1)).otherwise(F.array(own)))).withColumn("own", F.col("salt") == own)
     slots = int(buckets.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 4
-    mixed = mixed.select(F.pmod(F.xxhash64("band", "key", "salt"), slots).cast("int").alias("slot"), "band", "key", "salt", "rep", "n", "sig", "comp", "outside", "own")
+    mixed = mixed.select(F.pmod(F.xxhash64("band", "key", "salt"), slots).cast("int").alias("slot"), "band", "key", "salt", "rep", "n", "sig", "deep", "comp", "outside", "own")
 
     def meet(table: pa.Table) -> pa.Table:
         cols = {c: table.column(c).to_numpy() for c in ("band", "key", "salt", "rep", "n", "comp", "outside", "own")}
         sig = table.column("sig").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(table.num_rows, -1)
+        cols["deep"] = np.frombuffer(b"".join(x.as_py() for x in table.column("deep")), np.uint8).reshape(table.num_rows, -1)
         order = np.lexsort([cols["rep"], cols["salt"], cols["key"], cols["band"]])
         cols, sig = {c: x[order] for c, x in cols.items()}, sig[order]
         head = np.ones(len(order), bool)
@@ -217,6 +225,11 @@ def best_partners(left: np.ndarray, lo: int, hi: int, cols: dict[str, np.ndarray
     both = cols["outside"][lo:hi][None]
     may &= ~both | (cols["own"][left][:, None] & (cols["rep"][left][:, None] < cols["rep"][lo:hi][None]))
     i, j = np.nonzero(may)
+    if len(i):
+        x, y = left[i], lo + j
+        agree = np.concatenate([(cols["deep"][x[k : k + 65536]] == cols["deep"][y[k : k + 65536]]).sum(axis=1) for k in range(0, len(x), 65536)])
+        close = (agree / rules.deep - 1 / 256) * 256 / 255 >= rules.similarity / 100 - rules.deep_slack
+        i, j = i[close], j[close]
     if most is not None and len(i):
         order = np.lexsort([-alike[i, j], cols["comp"][lo:hi][j], i])
         i, j = i[order], j[order]
@@ -260,7 +273,7 @@ def near_duplicates(docs: DataFrame, rules: NearRules = NearRules()) -> DataFram
     links = cut(confirmed(stars, sets, rules))
     tested = stars
     for most in (4, None):
-        pairs = candidates_between(buckets, components(links), rules, most)
+        pairs = candidates_between(buckets, components(links), sets, rules, most)
         pairs = cut(pairs.join(tested, ["a", "b"], "left_anti"))
         links = cut(links.union(confirmed(pairs, sets, rules)))
         tested = tested.union(pairs)
