@@ -47,6 +47,25 @@ _SPANS = re.compile(
     r"|(?<![\w])[0-9@$!|+€£(]+[^\W\d_][\w@$!|+€£(]*"  # signs before its first letter
     r"|[^\W\d_]*([^\W\d_])\1\1[\w]*"  # repeats
 )
+#: The same but where an alternative that failed at a character's left is sure to fail again: words are read once, not
+#: once per letter. What this skips are places where a match has just ended; find_spans() looks at these.
+_FAST = re.compile(
+    r"(?<![^\W_])(?:[^\W\d_][ .\-_*~]{1,2}){3,}[^\W\d_](?![^\W_])"
+    r"|(?<![^\W_])(?:[\w@$!|+€£(][ .\-_*~]){3,}[\w@$!|+€£(](?![^\W_])"
+    r"|(?<![\w@$!|+€£])[\w@$!|+€£]*[^\W\d_][0-9@$!|+€£(*.\-_]+[^\W\d_][\w@$!|+€£*\-]*"
+    r"|(?:(?<![\w@$!|+€£(])|(?<=\w[@$!|+€£(]))[0-9@$!|+€£(]+[^\W\d_][\w@$!|+€£(]*"
+    r"|(?<![^\W\d_])[^\W\d_]*([^\W\d_])\1\1[\w]*"
+)
+
+
+def find_spans(text: str) -> Iterator[re.Match]:
+    """The matches of _SPANS."""
+    at = 0
+    while m := (at and _SPANS.match(text, at)) or _FAST.search(text, at):
+        yield m
+        at = m.end()
+
+
 #: A span longer than this many characters is no disguised word (a hash, a link, a ruler); it stays as it is.
 LONGEST = 64
 
@@ -167,10 +186,14 @@ class Restorer:
 
     def spans(self, text: str) -> list[tuple[str, str]]:
         """(as written, restored) of each span that has more than one path."""
-        return [(m[0], self.span(m[0])) for m in _SPANS.finditer(text)]
+        return [(m[0], self.span(m[0])) for m in find_spans(text)]
 
     def text(self, text: str) -> str:
-        return _SPANS.sub(lambda m: self.span(m[0]), text)
+        out, at = [], 0
+        for m in find_spans(text):
+            out += [text[at : m.start()], self.span(m[0])]
+            at = m.end()
+        return "".join([*out, text[at:]])
 
 
 # -- the scorer -----------------------------------------------------------------
@@ -186,7 +209,7 @@ def words_in_context(text: str, restorer: Restorer, known: dict[str, str]) -> di
     for before, word, after in zip(["", *words], words, [*words[1:], ""], strict=False):
         if word not in out:
             out[word] = hash((before, after))
-    for m in _SPANS.finditer(text):
+    for m in find_spans(text):
         near = hash((text[max(0, m.start() - 20) : m.start()], text[m.end() : m.end() + 20]))
         for word in _WORD.findall(restorer.span(m[0])):
             out.setdefault(known.setdefault(word, word), near)
@@ -291,39 +314,80 @@ def logistic(z: float) -> float:
 
 _LETTER = np.zeros(256, bool)
 _LETTER[97:123] = _LETTER[128:] = True
-_DIGIT, _SIGN, _PART = np.zeros(256, bool), np.zeros(256, bool), np.zeros(256, bool)
+_DIGIT, _SIGN, _BEFORE, _PART, _NEVER = (np.zeros(256, bool) for _ in range(5))
 _DIGIT[48:58] = True
-_SIGN[list(b"0123456789@$!|+(*_")] = True
+#: One-byte signs of _SPANS: within a word, and before its first letter.
+_SIGN[list(b"0123456789@$!|+(*.-_")] = True
+_BEFORE[list(b"0123456789@$!|+(")] = True
 _PART[list(PARTING.encode())] = True
-_DOUBLE = re.compile(r"[^\W\d_]*?([^\W\d_])\1[^\W\d_]*")
+#: What may stand alone between separators, by first bytes.
+_LONE = _LETTER | _BEFORE
+_LONE[95] = True
+#: One-byte characters that no span holds.
+_NEVER[:128] = ~(_LETTER | _SIGN | _PART)[:128]
+_NEVER[65:91] = False
+_DOUBLE = re.compile(r"(?<![^\W\d_])[^\W\d_]*?([^\W\d_])\1[^\W\d_]*")
+
+
+def ahead(x: np.ndarray, k: int) -> np.ndarray:
+    """The flags k places on."""
+    out = np.zeros(len(x), bool)
+    out[: max(0, len(x) - k)] = x[k:]
+    return out
 
 
 def suspicious(low: np.ndarray) -> np.ndarray:
-    """Places in lower-cased bytes near which a span may have more than one path."""
-    n = len(low)
-    if n < 3:
-        return np.zeros(0, np.int64)
-    letters, part = _LETTER[low], _PART[low]
-    flag = np.zeros(n, bool)
-    flag[:-1] |= _SIGN[low[:-1]] & letters[1:]
-    flag[1:] |= _DIGIT[low[1:]] & letters[:-1]
-    flag[:-2] |= (low[:-2] == low[1:-1]) & (low[1:-1] == low[2:]) & letters[:-2]
-    if n >= 7:
-        one = letters | _SIGN[low]  # a single sign with a separator after it, three times over
-        start = np.append(True, ~one[:-1])
-        lone = one & start
-        lone[:-1] &= part[1:]
-        flag[:-6] |= lone[:-6] & lone[2:-4] & lone[4:-2]
+    """Places in lower-cased bytes; every match of _SPANS holds one. Each test is of a part that an alternative cannot
+    be without, with any byte over 127 as a letter."""
+    letters, sign = _LETTER[low], _SIGN[low]
+    # signs within a word: a letter, a sign, and a sign or letter; before a word: a sign and a letter
+    flag = letters & ahead(sign, 1) & ahead(sign | letters, 2)
+    flag |= _BEFORE[low] & ahead(letters, 1)
+    # a letter three times
+    same = low[:-1] == low[1:]
+    flag[:-2] |= same[:-1] & same[1:] & letters[:-2]
+    wide = low >= 128
+    if wide.any():
+        for sign_of in ("€", "£"):
+            found = wide.copy()
+            for k, byte in enumerate(sign_of.encode()):
+                found &= ahead(low == byte, k)
+            flag |= found
+        for k in (2, 3, 4):  # letters of so many bytes
+            same = np.zeros(len(low), bool)
+            same[:-k] = wide[:-k] & (low[:-k] == low[k:])
+            found = same.copy()
+            for i in range(1, 2 * k):
+                found &= ahead(same, i)
+            flag |= found
+    # four single characters, one or two separators apart; by first bytes of characters
+    first = np.flatnonzero((low & 0xC0) != 0x80) if wide.any() else None
+    chars = low if first is None else low[first]
+    one, part = _LONE[chars], _PART[chars]
+    follows = one & ahead(part, 1)
+    two = ahead(part, 2)
+    chain = one
+    for _ in range(3):
+        chain = follows & (ahead(chain, 2) | (two & ahead(chain, 3)))
+    plain = _LETTER[chars] & (chars < 128) | _DIGIT[chars]
+    chain[1:] &= ~plain[:-1]
+    if first is None:
+        flag |= chain
+    else:
+        flag[first[chain]] = True
     return np.flatnonzero(flag)
 
 
-def windows(text: bytes, places: np.ndarray, reach: int = LONGEST + 6) -> Iterator[str]:
-    """Stretches of a text around places, to the next white space beyond ``reach``."""
-    cuts = np.flatnonzero(np.diff(places) > 2 * reach)
-    for a, b in zip(places[np.append(0, cuts + 1)].tolist(), places[np.append(cuts, len(places) - 1)].tolist(), strict=True):
-        lo = max(text.rfind(b" ", 0, max(0, a - reach)), 0)
-        hi = text.find(b" ", b + reach)
-        yield text[lo : hi if hi >= 0 else len(text)].decode("utf-8", "replace")
+def windows(text: bytes, low: np.ndarray, places: np.ndarray) -> Iterator[str]:
+    """The stretches of a text that hold places. They end where no span goes on: after a character that is in none,
+    and after a blank behind two letters or digits, as spans go over blanks only between single characters."""
+    end = _NEVER[low]
+    plain = (_LETTER[low] & (low < 128)) | _DIGIT[low]
+    end[2:] |= (low[2:] == 32) & plain[1:-1] & plain[:-2]
+    ends = np.append(np.flatnonzero(end) + 1, len(text))
+    which = np.unique(np.searchsorted(ends, places, "right"))
+    for k in which.tolist():
+        yield text[ends[k - 1] if k else 0 : ends[k]].decode("utf-8", "replace")
 
 
 class Finder:
@@ -367,7 +431,7 @@ class Finder:
                         hits[e].add(word)
         places = suspicious(low)
         if len(places):
-            for stretch in windows(plain, places):
+            for stretch in windows(plain, low, places):
                 for _, restored in self.restorer.spans(stretch):
                     for word in _WORD.findall(restored):
                         for e in self.restored_matches(word):

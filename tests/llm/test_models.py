@@ -120,6 +120,30 @@ def test_disguises_are_undone(model, written):
     assert toxicity.Finder(model).words(text, toxicity._LOWER[np.frombuffer(text, np.uint8)])
 
 
+def test_every_span_is_looked_at(model):
+    import numpy as np
+
+    r = random.Random(3)
+    signs = "idiotééжa A0147@$!|+(%*.-_~  \n,;€£—"
+    texts = ["".join(r.choices(signs if k % 3 else "ab é.-_!1€( ", k=r.randint(0, 60))) for k in range(20_000)]
+    texts += [" ".join(r.choices(["con", "di", "i", "d", "i.", "o-", "t", "1", "fur,", "mo-ron", "ééé", "жжж", "id€ot"], k=40)) for _ in range(2000)]
+    for text in texts:
+        raw = text.encode()
+        low = toxicity._LOWER[np.frombuffer(raw, np.uint8)]
+        want = [m[0] for m in toxicity._SPANS.finditer(text)]
+        assert [m[0] for m in toxicity.find_spans(text)] == want
+        places = toxicity.suspicious(low)
+        assert [m[0] for w in toxicity.windows(raw, low, places) for m in toxicity.find_spans(w)] == want
+
+
+@pytest.mark.parametrize("written", ["i  d  i  o  t", "i. d. i. o. t", "mo-ron", "id.iot", "s.cum", "scu-m", "i  d i  o t"])
+def test_disguises_by_separators_are_undone(model, written):
+    import numpy as np
+
+    text = f"con di {written} en fur".encode()
+    assert toxicity.Finder(model).words(text, toxicity._LOWER[np.frombuffer(text, np.uint8)])
+
+
 def test_toxicity_frame(spark, model):
     held = toxic_rows(200, 9)
     rows = [(i, t, None, None, 0) for i, (t, _) in enumerate(held)] + [(900, None, None, None, 0), (901, "", None, None, 0), (902, "x" * 300_000 + " idiot moron", None, None, 0)]
