@@ -34,15 +34,14 @@ from .textcore import _LOWER, chunks, column_bytes
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "£": "l", "(": "c", "%": ""}
 #: Signs that may part spaced-out letters.
 PARTING = " .-_*~"
-#: Costs, in nats, of what the channel does: a sign for a letter, a sign kept, a sign dropped, a repeat kept.
-COST = {"leet": 0.7, "kept": 6.0, "dropped": 3.0, "double": 0.5, "repeat": 5.0}
+#: Costs, in nats, of what the channel does: a sign for a letter, a sign kept, a sign dropped, a repeat kept, a word's end between spaced-out letters.
+COST = {"leet": 0.7, "kept": 6.0, "dropped": 3.0, "double": 0.5, "repeat": 5.0, "break": 3.0}
 OTHER, LETTERS = 0, 27
 #: Different words that count for one stem at most.
 MOST = 4
 
 _SPANS = re.compile(
-    r"(?<![^\W_])(?:[^\W\d_][ .\-_*~]{1,2}){3,}[^\W\d_](?![^\W_])"  # spaced-out letters
-    r"|(?<![^\W_])(?:[\w@$!|+€£(][ .\-_*~]){3,}[\w@$!|+€£(](?![^\W_])"  # the same with signs among them
+    r"(?<![^\W_])(?:(?:[^\W_]|[@$!|+€£(])[ .\-_*~]{1,2}){3,}(?:[^\W_]|[@$!|+€£(])(?![^\W_])"  # spaced-out letters, with signs among them
     r"|[\w@$!|+€£]*[^\W\d_][0-9@$!|+€£(*.\-_]+[^\W\d_][\w@$!|+€£*\-]*"  # signs within a word
     r"|(?<![\w])[0-9@$!|+€£(]+[^\W\d_][\w@$!|+€£(]*"  # signs before its first letter
     r"|[^\W\d_]*([^\W\d_])\1\1[\w]*"  # repeats
@@ -50,8 +49,7 @@ _SPANS = re.compile(
 #: The same but where an alternative that failed at a character's left is sure to fail again: words are read once, not
 #: once per letter. What this skips are places where a match has just ended; find_spans() looks at these.
 _FAST = re.compile(
-    r"(?<![^\W_])(?:[^\W\d_][ .\-_*~]{1,2}){3,}[^\W\d_](?![^\W_])"
-    r"|(?<![^\W_])(?:[\w@$!|+€£(][ .\-_*~]){3,}[\w@$!|+€£(](?![^\W_])"
+    r"(?<![^\W_])(?:(?:[^\W_]|[@$!|+€£(])[ .\-_*~]{1,2}){3,}(?:[^\W_]|[@$!|+€£(])(?![^\W_])"
     r"|(?<![\w@$!|+€£])[\w@$!|+€£]*[^\W\d_][0-9@$!|+€£(*.\-_]+[^\W\d_][\w@$!|+€£*\-]*"
     r"|(?:(?<![\w@$!|+€£(])|(?<=\w[@$!|+€£(]))[0-9@$!|+€£(]+[^\W\d_][\w@$!|+€£(]*"
     r"|(?<![^\W\d_])[^\W\d_]*([^\W\d_])\1\1[\w]*"
@@ -66,8 +64,10 @@ def find_spans(text: str) -> Iterator[re.Match]:
         at = m.end()
 
 
-#: A span longer than this many characters is no disguised word (a hash, a link, a ruler); it stays as it is.
-LONGEST = 64
+#: What is restored from spans of up to this many characters is remembered; longer ones seldom come twice.
+REMEMBERED = 64
+#: Nats by which a reading with an entry of the lexicon may be less likely than the likeliest, in letters without blanks.
+SLACK = 16.0
 
 
 @dataclass(frozen=True)
@@ -140,9 +140,14 @@ def log_model(rows: list, smoothing: float = 0.1) -> np.ndarray:
 # -- the channel --------------------------------------------------------------
 
 
-def lattice(span: str) -> list[list[tuple[str, float]]]:
-    """For each character of a span what it may stand for, with costs; an empty string drops it."""
-    spaced = len(re.findall(r"[^\W_][ .\-_*~]{1,2}(?=[^\W_])", span)) >= 3 and all(len(x) <= 1 for x in re.split(r"[ .\-_*~]+", span))
+def spaced_out(span: str) -> bool:
+    return len(re.findall(r"[^\W_][ .\-_*~]{1,2}(?=[^\W_])", span)) >= 3 and all(len(x) <= 1 for x in re.split(r"[ .\-_*~]+", span))
+
+
+def lattice(span: str, breaks: bool = False) -> list[list[tuple[str, float]]]:
+    """For each character of a span what it may stand for, with costs; an empty string drops it. With ``breaks``,
+    separators of spaced-out letters may also end a word."""
+    spaced = spaced_out(span)
     out: list[list[tuple[str, float]]] = []
     run = 0
     for i, c in enumerate(span.lower()):
@@ -151,6 +156,8 @@ def lattice(span: str) -> list[list[tuple[str, float]]]:
             ways += [(x, COST["leet"]) for x in LEET[c]]
         if c in PARTING:
             ways = [("", 0.0 if spaced else COST["dropped"]), (c, COST["kept"] if spaced else 0.5)]
+            if spaced and breaks:
+                ways.append((" ", COST["break"]))
         elif not c.isalnum():
             ways.append(("", COST["dropped"]))
         run = run + 1 if i and span[i - 1].lower() == c else 1
@@ -164,29 +171,81 @@ def lattice(span: str) -> list[list[tuple[str, float]]]:
 
 def viterbi(ways: list[list[tuple[str, float]]], logp: np.ndarray) -> str:
     """The likeliest string through a lattice, under the trigram model; ends count as word ends."""
-    best: dict[tuple[int, int], tuple[float, str]] = {(OTHER, OTHER): (0.0, "")}
+    best: dict[tuple[int, int], float] = {(OTHER, OTHER): 0.0}
+    came: list[dict[tuple[int, int], tuple[tuple[int, int], str]]] = []
     for options in ways:
-        new: dict[tuple[int, int], tuple[float, str]] = {}
-        for (a, b), (score, text) in best.items():
+        new: dict[tuple[int, int], float] = {}
+        back: dict[tuple[int, int], tuple[tuple[int, int], str]] = {}
+        for (a, b), score in best.items():
             for c, cost in options:
                 if c:
                     k = letter(c)
                     key, s = (b, k), score + logp[a, b, k] - cost
                 else:
                     key, s = (a, b), score - cost - 1.0
-                if key not in new or s > new[key][0]:
-                    new[key] = (s, text + c)
+                if key not in new or s > new[key]:
+                    new[key], back[key] = s, ((a, b), c)
         best = new
-    return max((s + logp[a, b, OTHER], t) for (a, b), (s, t) in best.items())[1]
+        came.append(back)
+    at = max(best, key=lambda x: best[x] + logp[x[0], x[1], OTHER])
+    out = []
+    for back in reversed(came):
+        at, c = back[at]
+        out.append(c)
+    return "".join(reversed(out))
+
+
+def inside(text: str, entries: dict[str, bool], logp: np.ndarray) -> set[str]:
+    """The entries (True: only the beginning of a word) that letters without blanks hold as words: where the likeliest
+    reading with a word's end at the entry's ends is at most SLACK less likely than the likeliest of all."""
+    found = [(e, m.start()) for e in entries for m in re.finditer(f"(?={re.escape(e)})", text)]
+    if not found:
+        return set()
+    k, n = [letter(c) for c in text], len(text)
+    pair = [OTHER, OTHER, *k]  # letters before place i are pair[i], pair[i + 1]
+    # states before a letter: within a word, after its first letter, at its beginning
+    context = lambda i: ((pair[i], pair[i + 1]), (OTHER, pair[i + 1]), (pair[i + 1], OTHER))
+    ends = lambda i: 0.0 if i == n else COST["break"] - 1.0
+    rest = [[-math.inf] * 3 for _ in range(n + 1)]
+    rest[n][2] = 0.0
+    for i in range(n, -1, -1):
+        c = context(i)
+        if i < n:
+            rest[i][2] = logp[c[2]][k[i]] + rest[i + 1][1]
+        for j in (0, 1):
+            stop = logp[c[j]][OTHER] - ends(i) + rest[i][2]
+            rest[i][j] = max(stop, logp[c[j]][k[i]] + rest[i + 1][0]) if i < n else stop
+    done, on = [0.0], [-math.inf, -math.inf]
+    for i in range(n):
+        c = context(i)
+        on = [max(on[j] + logp[c[j]][k[i]] for j in (0, 1)), done[i] + logp[c[2]][k[i]]]
+        c = context(i + 1)
+        done.append(max(on[j] + logp[c[j]][OTHER] for j in (0, 1)) - ends(i + 1))
+    out = set()
+    for e, i in found:
+        score, (a, b) = done[i], context(i)[2]
+        for x in k[i : i + len(e)]:
+            score += logp[a, b, x]
+            a, b = b, x
+        j = i + len(e)
+        score += rest[j][0 if len(e) > 1 else 1] if entries[e] else logp[a, b, OTHER] - ends(j) + rest[j][2]
+        if score >= rest[0][2] - SLACK:
+            out.add(e)
+    return out
 
 
 class Restorer:
     def __init__(self, logp: np.ndarray) -> None:
-        self.span = lru_cache(maxsize=1 << 16)(lambda x: viterbi(lattice(x), logp) if len(x) <= LONGEST else x)
+        short = lru_cache(maxsize=1 << 16)(lambda x, breaks: viterbi(lattice(x, breaks), logp))
+        self.decode = lambda x, breaks=False: (short if len(x) <= REMEMBERED else short.__wrapped__)(x, breaks)
 
-    def spans(self, text: str) -> list[tuple[str, str]]:
-        """(as written, restored) of each span that has more than one path."""
-        return [(m[0], self.span(m[0])) for m in find_spans(text)]
+    def span(self, x: str) -> str:
+        """Spaced-out letters as words, other spans as they are likeliest."""
+        return self.decode(x, spaced_out(x))
+
+    def readings(self, x: str) -> list[str]:
+        """What is looked through for words: spaced-out letters as one word and as words, other spans as one."""
+        return [self.decode(x), *([self.decode(x, True)] if spaced_out(x) else [])]
 
     def text(self, text: str) -> str:
         out, at = [], 0
@@ -211,8 +270,9 @@ def words_in_context(text: str, restorer: Restorer, known: dict[str, str]) -> di
             out[word] = hash((before, after))
     for m in find_spans(text):
         near = hash((text[max(0, m.start() - 20) : m.start()], text[m.end() : m.end() + 20]))
-        for word in _WORD.findall(restorer.span(m[0])):
-            out.setdefault(known.setdefault(word, word), near)
+        for reading in restorer.readings(m[0]):
+            for word in _WORD.findall(reading):
+                out.setdefault(known.setdefault(word, word), near)
     return out
 
 
@@ -322,7 +382,6 @@ _BEFORE[list(b"0123456789@$!|+(")] = True
 _PART[list(PARTING.encode())] = True
 #: What may stand alone between separators, by first bytes.
 _LONE = _LETTER | _BEFORE
-_LONE[95] = True
 #: One-byte characters that no span holds.
 _NEVER[:128] = ~(_LETTER | _SIGN | _PART)[:128]
 _NEVER[65:91] = False
@@ -403,6 +462,9 @@ class Finder:
         # in restored words a double letter is no evidence, so they are compared without
         self.tight = {self.tighten(e): e for e in model.weights}
 
+        # a word's own entry is the narrower one, so it comes last
+        self.stems = {e.removesuffix("*"): e.endswith("*") for e in sorted(self.tight, key=lambda e: e[-1:] != "*")}
+
     @staticmethod
     def tighten(word: str) -> str:
         return re.sub(r"(.)\1+", r"\1", word)
@@ -425,17 +487,26 @@ class Finder:
         absent = [squeezed for e, _, squeezed, _ in self.known if e not in hits and squeezed in tight]
         if absent:
             for m in _DOUBLE.finditer(lowered.decode("utf-8", "replace")):
-                if len(m[0]) <= LONGEST and self.squeezed(np.frombuffer(m[0].encode(), np.uint8)).startswith(tuple(absent)):
+                if self.squeezed(np.frombuffer(m[0].encode(), np.uint8)).startswith(tuple(absent)):
                     word = viterbi(lattice(m[0]), self.model.logp)
                     for e in self.restored_matches(word):
                         hits[e].add(word)
         places = suspicious(low)
         if len(places):
             for stretch in windows(plain, low, places):
-                for _, restored in self.restorer.spans(stretch):
-                    for word in _WORD.findall(restored):
-                        for e in self.restored_matches(word):
-                            hits[e].add(word)
+                for m in find_spans(stretch):
+                    readings = self.restorer.readings(m[0])
+                    own: dict[str, set[str]] = defaultdict(set)
+                    for reading in reversed(readings):  # what one reading has found, the next does not count again
+                        more = [(e, word) for word in _WORD.findall(reading) for e in self.restored_matches(word) if e not in own]
+                        for e, word in more:
+                            own[e].add(word)
+                    for run in _WORD.findall(readings[-1].replace(" ", "")) if len(readings) > 1 else []:
+                        for x in inside(self.tighten(run), self.stems, self.model.logp):
+                            if (e := self.tight[x + "*" * self.stems[x]]) not in own:
+                                own[e].add(x)
+                    for e, found in own.items():
+                        hits[e] |= found
         return hits
 
 

@@ -144,6 +144,32 @@ def test_disguises_by_separators_are_undone(model, written):
     assert toxicity.Finder(model).words(text, toxicity._LOWER[np.frombuffer(text, np.uint8)])
 
 
+LONG_DISGUISES = [
+    " ".join("condienfurgahisjokalminorpeidiotbafurjokalminorpecon"),
+    ".".join("condienfurgahisjokalminorpeidi0tbafurjokalminorpecon"),
+    "idi" + "o" * 100 + "t",
+    "m" + "oO" * 40 + "ron",
+    "-".join(["condien", "furga"] * 8 + ["1d10t", "kal"] + ["minorpe"] * 3),
+    "_".join(["condien", "furga"] * 8 + ["m0r0n", "kal"] + ["minorpe"] * 3),
+]
+
+
+@pytest.mark.parametrize("written", LONG_DISGUISES)
+def test_long_disguises_are_undone(model, written):
+    import numpy as np
+
+    text = f"con di {written} en fur".encode()
+    assert toxicity.Finder(model).words(text, toxicity._LOWER[np.frombuffer(text, np.uint8)])
+
+
+def test_spaced_out_clean_text_stays_clean(model):
+    import numpy as np
+
+    finder = toxicity.Finder(model)
+    for text in (" ".join(t.replace(" ", "")).encode() for t, y in toxic_rows(200, 11) if not y):
+        assert not finder.words(text, toxicity._LOWER[np.frombuffer(text, np.uint8)])
+
+
 def test_toxicity_frame(spark, model):
     held = toxic_rows(200, 9)
     rows = [(i, t, None, None, 0) for i, (t, _) in enumerate(held)] + [(900, None, None, None, 0), (901, "", None, None, 0), (902, "x" * 300_000 + " idiot moron", None, None, 0)]
