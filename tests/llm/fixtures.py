@@ -62,23 +62,25 @@ def shingles(text):
 
 
 def near_components(docs):
-    """doc_id -> (set size, component) by all pairs."""
-    sets = {i: shingles(t) for i, t, *_ in docs}
-    parent = {i: i for i in sets}
+    """(doc_id, set size, component) of each row, by all pairs of rows; the component is its smallest id."""
+    sets = [shingles(t) for _, t, *_ in docs]
+    parent = list(range(len(docs)))
 
     def find(x):
         while parent[x] != x:
             x = parent[x]
         return x
 
-    ids = sorted(sets)
-    for n, a in enumerate(ids):
-        for b in ids[n + 1 :]:
+    for a in range(len(docs)):
+        for b in range(a + 1, len(docs)):
             both = len(sets[a] & sets[b])
             if both and 100 * both >= 75 * len(sets[a] | sets[b]):
-                x, y = sorted((find(a), find(b)))
-                parent[y] = x
-    return {i: (len(sets[i]), find(i)) for i in ids}
+                parent[find(b)] = find(a)
+    least = {}
+    for x, (i, *_) in enumerate(docs):
+        if i is not None:
+            least[find(x)] = min(i, least.get(find(x), i))
+    return [(i, len(sets[x]), least.get(find(x))) for x, (i, *_) in enumerate(docs)]
 
 
 def byte_removal(docs, size=50):
