@@ -23,7 +23,7 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -153,7 +153,7 @@ def read_record(f: RangeFile, at: int, n: int) -> tuple[dict[str, str], dict[str
     return warc, parse_headers(http), payload
 
 
-def read_package(uri: str) -> Iterator[tuple[int, dict[str, str], dict[str, str], bytes]]:
+def read_package(uri: str) -> Iterator[tuple[int | None, dict[str, str], dict[str, str], bytes]]:
     """(page_id, WARC headers, HTTP headers, payload) of each record that the package's index names."""
     f = RangeFile(uri)
     try:
@@ -170,7 +170,7 @@ def read_package(uri: str) -> Iterator[tuple[int, dict[str, str], dict[str, str]
 # -- writing ----------------------------------------------------------------
 
 
-def warc_record(page_id: int, url: str, payload: bytes, digest: str, refers_to: int | None) -> bytes:
+def warc_record(page_id: int | None, url: str, payload: bytes, digest: str, refers_to: int | None) -> bytes:
     """One record as a gzip member. A revisit holds the HTTP headers alone, which keep the payload's length."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     revisit = refers_to is not None
@@ -195,7 +195,7 @@ class PackageWriter:
     def __init__(self, zip64: bool = False) -> None:
         self.data, self.index, self.n, self.zip64 = io.BytesIO(), [], 0, zip64
 
-    def add(self, page_id: int, url: str, payload: bytes, digest: str, refers_to: int | None) -> None:
+    def add(self, page_id: int | None, url: str, payload: bytes, digest: str, refers_to: int | None) -> None:
         record = warc_record(page_id, url, payload, digest, refers_to)
         entry = {"page_id": page_id, "offset": self.data.tell(), "length": len(record), "digest": f"sha1:{digest}", "filename": DATA_MEMBER}
         self.index.append(f"{page_id} 0 {json.dumps(entry)}")
@@ -243,65 +243,70 @@ def plan_records(pages: DataFrame, min_bytes: int = 1000) -> DataFrame:
     """Each page with payload, digest and the page that it revisits.
 
     Digests are reduced to their largest id before anything meets (partial sums per
-    task), then joined back on the digest alone: payloads aren't shuffled for it.
+    task). Rows that revisit are told by id and digest, so payloads are shuffled once,
+    by a key that parts copies from each other.
     """
     whole = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload"))
     whole = whole.withColumn("digest", F.sha1("payload"))
     large = whole.filter(F.length("payload") >= min_bytes).select("page_id", "digest")
     firsts = large.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    revisits = large.join(firsts, "digest").filter("page_id < refers_to").select("page_id", "refers_to").distinct()
-    return whole.join(revisits, "page_id", "left")
+    revisits = large.join(firsts, "digest").filter("page_id < refers_to").select("page_id", "digest", "refers_to").distinct()
+    return whole.join(revisits, ["page_id", "digest"], "left")
 
 
 def write_packages(records: DataFrame, folder: str, package_bytes: int = 16 << 20, zip64: bool = False) -> DataFrame:
     """Write planned records to packages of bounded size; a row (uri, n_records) for each."""
 
-    def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        package, ids, done = PackageWriter(zip64), [], []
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        package, ids = PackageWriter(zip64), []
 
-        def close() -> None:
+        def close() -> pa.RecordBatch:
             nonlocal package, ids
-            body = package.tobytes()
-            done.append((put(folder, f"{ids[0]}-{ids[-1]}-{len(ids)}-{hashlib.sha1(body).hexdigest()[:8]}.wacz", body), package.n))
+            body, n = package.tobytes(), package.n
+            uri = put(folder, f"{ids[0]}-{ids[-1]}-{n}-{hashlib.sha1(body).hexdigest()[:8]}.wacz", body)
             package, ids = PackageWriter(zip64), []
+            return pa.RecordBatch.from_pydict({"uri": [uri], "n_records": pa.array([n], pa.int64())})
 
-        for frame in frames:
-            for row in frame.itertuples(index=False):
-                package.add(int(row.page_id), row.url, bytes(row.payload), row.digest, None if pd.isna(row.refers_to) else int(row.refers_to))
-                ids.append(int(row.page_id))
+        for batch in batches:
+            for row in zip(*batch.columns, strict=True):
+                page_id, url, payload, digest, refers_to = (x.as_py() for x in row)
+                package.add(page_id, url, payload, digest, refers_to)
+                ids.append(page_id)
                 if package.data.tell() >= package_bytes:
-                    close()
+                    yield close()
         if ids:
-            close()
-        yield pd.DataFrame(done, columns=["uri", "n_records"])
+            yield close()
 
-    return records.select("page_id", "url", "payload", "digest", "refers_to").mapInPandas(write, "uri string, n_records long")
+    return records.select("page_id", "url", "payload", "digest", "refers_to").mapInArrow(write, "uri string, n_records long")
+
+
+READ = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())])
 
 
 def read_packages(packages: DataFrame) -> DataFrame:
     """The records of all packages that column uri names, a row each; payloads are measured, then let go."""
 
-    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for uri in frame["uri"]:
-                rows = []
-                for page_id, warc, http, payload in read_package(uri):
-                    kind, digest = warc["warc-type"], warc["warc-payload-digest"].removeprefix("sha1:")
-                    if kind == "response" and hashlib.sha1(payload).hexdigest() != digest:
-                        raise ValueError(f"{uri}: the payload of page {page_id} differs from its digest")
-                    to = warc.get("warc-refers-to", "").strip("<>").removeprefix(URN)
-                    rows.append((page_id, warc["warc-target-uri"], int(http["content-length"]), digest, kind, int(to) if to else None))
-                yield pd.DataFrame(rows, columns=["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to"]).astype({"refers_to": "Int64"})
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for uri in (uri for batch in batches for uri in batch.column(0).to_pylist()):
+            rows = []
+            for page_id, warc, http, payload in read_package(uri):
+                kind, digest = warc["warc-type"], warc["warc-payload-digest"].removeprefix("sha1:")
+                if kind == "response" and hashlib.sha1(payload).hexdigest() != digest:
+                    raise ValueError(f"{uri}: the payload of page {page_id} differs from its digest")
+                to = warc.get("warc-refers-to", "").strip("<>").removeprefix(URN)
+                rows.append((page_id, warc["warc-target-uri"], int(http["content-length"]), digest, kind, int(to) if to else None))
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), READ, strict=True)], schema=READ)
 
-    return packages.select("uri").mapInPandas(read, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    return packages.select("uri").mapInArrow(read, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def round_trip(pages: DataFrame, spark: SparkSession, package_bytes: int = 16 << 20) -> DataFrame:
     """Write every page to a record, read all packages back; a row per page.
 
     Null html is an empty payload and null url an empty one. Rows that repeat an id
-    are written each; rows with equal payloads and the same largest id are all
-    responses. Extra columns are not read. An empty table gives no rows.
+    are written each, by their own payload; rows with equal payloads and the same
+    largest id are all responses, and so are rows without an id, which nothing refers
+    to. Extra columns are not read. An empty table gives no rows.
     """
     written = cut(write_packages(plan_records(pages), scratch(spark, "packages"), package_bytes))
     n = max(1, written.count())
