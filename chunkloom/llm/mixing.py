@@ -27,8 +27,8 @@ WEIGHTS = (5, 2, 1)
 @dataclass(frozen=True)
 class MixRules:
     """weights: dealt to the sources by name order. block: words in a block. shard: slots of an output shard.
-    most: times its size that a source is taken at most. seed: of draws and permutations. groups: into which a
-    source's documents are dealt to number their words without one long sort. rounds: of the permutation."""
+    most: times its size that a source is taken at most. seed: of draws and permutations. groups: into which a source's
+    documents are dealt at least, and rows to one of them, to number words or slots without one long sort. rounds: of the permutation."""
 
     weights: tuple[int, ...] = WEIGHTS
     block: int = 64
@@ -36,6 +36,7 @@ class MixRules:
     most: int = 3
     seed: int = 17
     groups: int = 1024
+    group_rows: int = 1 << 16
     rounds: int = 12
 
 
@@ -78,8 +79,9 @@ def source_targets(sized: DataFrame, rules: MixRules = MixRules()) -> DataFrame:
     return df.select("source", "source_size", F.coalesce(F.least("cap", F.col("level") * F.col("w")), F.col("cap")).alias("target"))
 
 
-def permute(x: Column, n: Column, source_key: Column, rules: MixRules) -> Column:
-    """A pseudorandom permutation of [0, n): swap-or-not rounds, each of which pairs x with key - x."""
+def permute(x: Column, n: Column, source_key: Column, rules: MixRules, inverse: bool = False) -> Column:
+    """A pseudorandom permutation of [0, n): swap-or-not rounds, each of which pairs x with key - x. A round undoes
+    itself, so the rounds in reverse order are the inverse."""
 
     def turn(x: Column, r: Column) -> Column:
         key = F.pmod(F.xxhash64(source_key, r, F.lit(rules.seed)), n)
@@ -87,7 +89,8 @@ def permute(x: Column, n: Column, source_key: Column, rules: MixRules) -> Column
         swap = F.xxhash64(F.greatest(x, other), source_key, r).bitwiseAND(1) == 1
         return F.when(swap, other).otherwise(x)
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(rules.rounds)), x, turn)
+    rounds = (rules.rounds, 1) if inverse else (1, rules.rounds)
+    return F.aggregate(F.sequence(*map(F.lit, rounds)), x, turn)
 
 
 def packed(sized: DataFrame, rules: MixRules) -> DataFrame:
@@ -96,7 +99,8 @@ def packed(sized: DataFrame, rules: MixRules) -> DataFrame:
     Two levels: sums per (source, group), a running sum of those, and a running sum
     within each group, so that no task sorts a whole source.
     """
-    df = sized.withColumn("g", F.pmod(F.xxhash64("doc_id", F.lit(rules.seed)), rules.groups))
+    groups = max(rules.groups, sized.count() // rules.group_rows)
+    df = sized.withColumn("g", F.pmod(F.xxhash64("doc_id", "text_hash", F.lit(rules.seed)), groups))
     sums = df.groupBy("source", "g").agg(F.sum("size").alias("s"))
     before = Window.partitionBy("source").orderBy("g").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(F.col("source").alias("s_"), F.col("g").alias("g_"), F.coalesce(F.sum("s").over(before), F.lit(0)).alias("base"))
@@ -120,8 +124,13 @@ def draw(targets: DataFrame, rules: MixRules) -> DataFrame:
     drawn = drawn.select("slot", F.floor(F.col("slot") / rules.shard).alias("shard"), "source_key")
     # multinomial counts of each shard, and where each source's numbering goes on in it
     counts = drawn.groupBy("source_key", "shard").agg(F.count(F.lit(1)).alias("n"))
-    along = Window.partitionBy("source_key").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select("source_key", "shard", F.coalesce(F.sum("n").over(along), F.lit(0)).alias("base"))
+    counts = counts.withColumn("g", F.floor(F.col("shard") / rules.group_rows))
+    sums = counts.groupBy("source_key", "g").agg(F.sum("n").alias("s"))
+    upper = Window.partitionBy("source_key").orderBy("g").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("source_key", "g", F.coalesce(F.sum("s").over(upper), F.lit(0)).alias("upper"))
+    along = Window.partitionBy("source_key", "g").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("inner", F.coalesce(F.sum("n").over(along), F.lit(0))).join(sums, ["source_key", "g"])
+    counts = counts.select("source_key", "shard", (F.col("upper") + F.col("inner")).alias("base"))
     inner = Window.partitionBy("shard", "source_key").orderBy("slot")
     drawn = drawn.withColumn("r", F.row_number().over(inner) - 1).join(counts, ["shard", "source_key"])
     return drawn.select("shard", "slot", "source_key", (F.col("base") + F.col("r")).alias("k"))
@@ -163,13 +172,10 @@ def mix_sources(docs: DataFrame, rules: MixRules = MixRules()) -> Mix:
     # the short last block may stand among the partial pass's slots; then that pass needs one slot more to reach its words
     probe = F.ceil(F.col("rest") / block)
     key = F.col("source_key")
-    numbers = targets.filter("rest > 0").withColumn("j", F.explode(F.sequence(F.lit(0), probe - 1)))
-    early = numbers.filter(permute(F.col("j"), F.col("n_blocks"), key, rules) == F.col("n_blocks") - 1).select(F.col("source_key").alias("early_key"))
-    targets = targets.join(early, F.col("source_key") == F.col("early_key"), "left")
-    is_early = F.col("early_key").isNotNull()
+    is_early = (F.col("rest") > 0) & (permute(F.col("n_blocks") - 1, F.greatest("n_blocks", F.lit(1)), key, rules, inverse=True) < probe)
     extra = F.when(F.col("rest") == 0, F.lit(0)).when(is_early & (probe * block - block + F.col("tail") < F.col("rest")), probe + 1).otherwise(probe)
     targets = targets.withColumn("n_slots", F.col("passes") * F.col("n_blocks") + F.least(extra, F.col("n_blocks")))
-    targets = cut(targets.withColumn("short_early", is_early).drop("early_key"))
+    targets = cut(targets.withColumn("short_early", is_early))
 
     held = targets.select("source_key", "n_blocks", "n_slots", "passes", "rest", "tail", "short_early")
     slots = settle(draw(targets, rules), targets).join(held, "source_key")
