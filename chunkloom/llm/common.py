@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import os
+import pickle
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,14 +20,14 @@ WORD_CLASS = r"[^\x20\x09-\x0D]"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``, set here only where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that all executors share: ``spark.checkpoint.dir``. Where it is unset, and driver and executors are one
+    process (as in tests), a temporary folder; on a cluster that is an error, as executors could not see it."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        kept = spark.sparkContext.getCheckpointDir()
-        if not kept:
-            spark.sparkContext.setCheckpointDir(os.path.join(tempfile.gettempdir(), f"chunkloom-{uuid.uuid4().hex}"))
-            kept = spark.sparkContext.getCheckpointDir()
-        found = kept
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir is unset: name a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(os.path.join(tempfile.gettempdir(), f"chunkloom-{uuid.uuid4().hex}"))
+        found = spark.sparkContext.getCheckpointDir()
     return found
 
 
@@ -33,6 +37,27 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def in_one_task(rows: DataFrame, make: Callable[[list[dict]], Any]) -> Any:
+    """What ``make`` returns for a bounded number of rows, called in a task: the driver gets the result alone."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [row for batch in batches for row in batch.to_pylist()]
+        yield pa.RecordBatch.from_pydict({"made": pa.array([pickle.dumps(make(got))], pa.binary())})
+
+    made = rows.repartition(1).mapInArrow(work, "made binary").first()
+    return pickle.loads(made["made"]) if made else make([])
+
+
+def sampled_texts(docs: DataFrame, marks: DataFrame, sample: int, label: str) -> DataFrame:
+    """(text, label) of at most ``sample`` different documents, those whose id hashes lowest; ids and hashes of texts are
+    picked first, so that whole texts move for these alone. marks: (doc_id, text_hash, label), a row for each."""
+    picked = marks.orderBy(F.xxhash64("doc_id"), "doc_id", "text_hash").limit(sample)
+    picked = F.broadcast(picked.select(F.col("doc_id").alias("own_id"), F.col("text_hash").alias("own_hash"), label))
+    texts = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    rows = texts.join(picked, F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("text_hash") == F.col("own_hash")))
+    return rows.select("doc_id", "text_hash", "text", label).dropDuplicates(["doc_id", "text_hash"])
+
+
 def scratch(spark: SparkSession, label: str) -> str:
     """A new path below the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"

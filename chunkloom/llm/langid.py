@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import in_one_task, sampled_texts
 from .textcore import _LOWER, chunks, column_bytes
 
 UNKNOWN = "und"
@@ -147,10 +148,19 @@ def probabilities(data: np.ndarray, offsets: np.ndarray, model: LangModel, rules
 
 
 def learn(docs: DataFrame, rules: LangRules = LangRules()) -> LangModel | None:
-    """A model from a bounded sample of the rows of docs with a text and a lang, those whose id hashes lowest."""
-    rows = docs.filter("lang is not null and text is not null and text <> ''").select("doc_id", "text", "lang")
-    picked = rows.orderBy(F.xxhash64("doc_id"), "doc_id").select("text", "lang").limit(rules.sample).collect()
-    return train([r["text"] for r in picked], [r["lang"] for r in picked], rules)
+    """A model from a bounded sample of the rows of docs with a text and a lang, those whose id hashes lowest.
+
+    A row that comes again counts once; if it has several languages, the first by name.
+    The sample is learned from in one task; the driver gets the model alone.
+    """
+    known = docs.filter("lang is not null and text is not null and text <> ''")
+    marks = known.groupBy("doc_id", F.xxhash64("text").alias("text_hash")).agg(F.min("lang").alias("lang"))
+
+    def fit(rows: list[dict]) -> LangModel | None:
+        rows = sorted(rows, key=lambda r: r["text_hash"])
+        return train([r["text"] for r in rows], [r["lang"] for r in rows], rules)
+
+    return in_one_task(sampled_texts(known, marks, rules.sample, "lang"), fit)
 
 
 def identify(docs: DataFrame, model: LangModel | None, rules: LangRules = LangRules()) -> DataFrame:

@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import in_one_task, sampled_texts
 from .textcore import _LOWER, chunks, column_bytes
 
 #: Letters that a sign may stand for.
@@ -511,13 +512,20 @@ class Finder:
 
 
 def learn(docs: DataFrame, labels: DataFrame, corpus: DataFrame, rules: ToxicRules = ToxicRules()) -> ToxicModel:
-    """The trigram model of the whole corpus, and the scorer of a bounded sample of docs that labels mark."""
+    """The trigram model of the whole corpus, and the scorer of a bounded sample of docs that labels mark.
+
+    A document with several labels is toxic if one says so; rows that repeat an id and a
+    text count once. The scorer is learned in one task; the driver gets the model alone.
+    """
     logp = log_model(trigram_counts(corpus).collect(), rules.smoothing)
-    marked = labels.filter("toxic is not null").select("doc_id", "toxic").dropDuplicates(["doc_id"])
-    picked = marked.join(docs.select("doc_id").distinct(), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rules.sample)
-    # the sample is at most ``sample`` pairs of numbers: its size is bounded
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("text", "toxic").collect()
-    return fit([(r["text"], r["toxic"]) for r in rows], logp, rules)
+    marked = labels.filter("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    marks = docs.select("doc_id", F.xxhash64("text").alias("text_hash")).distinct().join(marked, "doc_id")
+
+    def make(rows: list[dict]) -> ToxicModel:
+        rows = sorted(rows, key=lambda r: r["text_hash"])
+        return fit([(r["text"], r["toxic"]) for r in rows], logp, rules)
+
+    return in_one_task(sampled_texts(docs, marks, rules.sample, "toxic"), make)
 
 
 def score(docs: DataFrame, model: ToxicModel, restored_text: bool = False) -> DataFrame:
