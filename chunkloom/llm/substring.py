@@ -1,37 +1,34 @@
 """Repeated word sequences by prefix-partitioned suffix trees.
 
-The suffixes of the routed stretches of words (see repeats.py) are split by prefixes
-of variable length: a prefix that too many suffixes share is made longer until each
-group fits in memory. Each group's subtree is then built level by level, two words at
-a time: a node is a prefix that several suffixes share, its children part them by the
-next words, and a suffix that parts from all others is a leaf and is dropped. Internal
-nodes ``window`` words deep or deeper hold the repeats, with all their occurrences.
+The suffixes of a part's stretches of words (see repeats.py) are split by prefixes of
+variable length: a prefix that too many suffixes share is made longer until each group
+fits the memory that a subtree may take. Each group's subtree is then built level by
+level, two words at a time: a node is a prefix that several suffixes share, its
+children part them by the next words, and a suffix that parts from all others is a leaf
+and is dropped. Nodes that reach ``window`` words are followed on to the depth where
+their suffixes part: these deep internal nodes are the repeats, with all their
+occurrences, and what can be extended to the left is left to the node that does.
+
+Words are compared as words: stretches travel as text, and a part numbers its words by a
+dictionary. Prefixes partition within a part; between tasks, stretches are dealt by hashed
+keys, as sending each suffix to its prefix would take the text thirty-five times.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .repeats import Part, Windows, limit_runs, load_part, repeated_spans, report, routed_runs, spans_of
+from .repeats import Groups, Part, Texts, Windows, answers, closed_groups, repeat_groups, report
 from .textcore import word_spans
 
 WORDS = Windows(window=35, gram=6, words=True, within=True)
 #: Suffixes to a subtree.
-GROUP = 1 << 19
-
-
-@dataclass
-class Node:
-    """Windows (numbers within the part) that share their first ``depth`` words."""
-
-    depth: int
-    windows: np.ndarray
+GROUP = 1 << 14
 
 
 def pair_at(symbols: np.ndarray, at: np.ndarray, depth: int, window: int) -> np.ndarray:
@@ -79,41 +76,57 @@ def deep_nodes(symbols: np.ndarray, starts: np.ndarray, windows: np.ndarray, win
     return np.stack([group, windows])
 
 
-def nodes(part: Part, most: int = GROUP) -> Iterator[Node]:
-    """The deep internal nodes of all subtrees of a part."""
+def node_depths(part: Part, node: np.ndarray, windows: np.ndarray) -> np.ndarray:
+    """How many words the windows of each node share: on from the window until they part or a stretch ends."""
+    count = int(node.max(initial=-1)) + 1
+    depth = np.full(count, part.window)
+    head = np.zeros(count, np.int64)
+    head[node] = windows
+    live = np.ones(len(node), bool)
+    d = part.window
+    while live.any():
+        node, windows = node[live], windows[live]
+        at = part.windows[windows] + d
+        inside = at < part.first[part.owner[windows] + 1]
+        lead = np.minimum(part.windows[head[node]] + d, len(part.symbols) - 1)
+        same = inside & (part.symbols[np.minimum(at, len(part.symbols) - 1)] == part.symbols[lead])
+        whole = np.ones(count, bool)
+        whole[node[~same]] = False
+        depth[np.unique(node[whole[node]])] += 1
+        live = whole[node]
+        d += 1
+    return depth
+
+
+def groups(part: Part, most: int = GROUP) -> Groups:
+    """The deep internal nodes of all subtrees of a part that can't be extended to the left."""
+    numbers, members, n = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
     for depth, windows in prefix_groups(part.symbols, part.windows, np.arange(len(part.windows)), part.window, most=most):
-        group, members = deep_nodes(part.symbols, part.windows, windows, part.window, depth)
-        if len(group):
-            for own in np.split(members, np.flatnonzero(np.diff(group)) + 1):
-                yield Node(part.window, own)
+        node, own = deep_nodes(part.symbols, part.windows, windows, part.window, depth)
+        if len(own):
+            node = np.unique(node, return_inverse=True)[1]
+            numbers.append(n + node)
+            members.append(own)
+            n += int(node.max()) + 1
+    node, windows = np.concatenate(numbers), np.concatenate(members)
+    return closed_groups(part, windows, node, node_depths(part, node, windows))
 
 
 def match(part: Part) -> pa.Table:
-    """Stretches whose windows start anywhere else: in an internal node, or in a run with several places."""
-    again = (np.diff(part.at) > 1)[part.owner]
-    for depth, windows in prefix_groups(part.symbols, part.windows, np.arange(len(part.windows)), part.window):
-        again[deep_nodes(part.symbols, part.windows, windows, part.window, depth)[1]] = True
-    run, lo, hi, again = limit_runs(part, again)
-    return spans_of(part, run[again], lo[again], hi[again], None)
+    """Stretches that start anywhere else: members of a node of several, or of a run that stands in several places."""
+    found = groups(part)
+    places = np.add.reduceat(part.n_places, part.at[:-1])
+    again = np.bincount(found.group, weights=places[found.run], minlength=len(found.low))[found.group] > 1
+    return answers(part, found.run[again], found.start[again], found.end[again], None)
 
 
 def maximal_repeats(docs: DataFrame, rules: Windows = WORDS) -> DataFrame:
-    """(doc_ids, starts): groups of equal windows in one subtree node, with every occurrence; starts count words."""
-
-    def groups(table: pa.Table) -> pa.Table:
-        part, rows = load_part(table, rules), []
-        found = [n.windows for n in nodes(part)]
-        seen = set(np.concatenate(found).tolist()) if found else set()
-        alone = [np.array([w]) for w in np.flatnonzero((np.diff(part.at) > 1)[part.owner]).tolist() if w not in seen]
-        for windows in [*found, *alone]:
-            runs = part.owner[windows]
-            offsets = part.windows[windows] - part.first[runs]
-            place = np.concatenate([np.arange(part.at[r], part.at[r + 1]) for r in runs])
-            starts = np.concatenate([part.places[part.at[r] : part.at[r + 1]] + o for r, o in zip(runs, offsets, strict=True)])
-            rows.append({"doc_ids": part.ids[place].tolist(), "starts": starts.tolist()})
-        return pa.Table.from_pylist(rows, pa.schema([("doc_ids", pa.list_(pa.int64())), ("starts", pa.list_(pa.int64()))]))
+    """(repeat, length, doc_id, start): every occurrence of every repeat of ``window`` words or more; lengths and starts count words.
 
-    return routed_runs(docs, rules)[1].groupBy("part").applyInArrow(groups, "doc_ids array<long>, starts array<long>")
+    A repeat is a longest stretch whose first window, and each further one of it, stands in
+    just its places or more, in one text or in several. An empty table gives no rows.
+    """
+    return repeat_groups(docs, rules, groups)
 
 
 def removal_report(docs: DataFrame, rules: Windows = WORDS) -> DataFrame:
@@ -125,8 +138,8 @@ def removal_report(docs: DataFrame, rules: Windows = WORDS) -> DataFrame:
     table gives no rows.
     """
 
-    def tell(table: pa.Table, data: np.ndarray, offsets: np.ndarray, rows: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Table:
-        ids, out = table.column("doc_id"), []
+    def tell(texts: Texts, rows: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Table:
+        ids, data, offsets, out = texts.table.column("c0"), texts.data, texts.offsets, []
         cut = np.searchsorted(rows, np.arange(len(offsets)))
         for r in range(len(offsets) - 1):
             text = data[offsets[r] : offsets[r + 1]]
@@ -136,11 +149,10 @@ def removal_report(docs: DataFrame, rules: Windows = WORDS) -> DataFrame:
                 keep[s:e] = False
             out.append((len(a), int((~keep).sum()), hashlib.sha256(joined_words(text, a[keep], z[keep])).hexdigest()))
         cols = list(zip(*out, strict=True)) if out else [(), (), ()]
-        return pa.Table.from_arrays([ids.combine_chunks() if table.num_rows else pa.array([], pa.int64()), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
+        return pa.Table.from_arrays([ids.combine_chunks().cast(pa.int64()), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    # of rows with one id each is a text of its own: "anywhere else" needs no ids, only places
-    texts, spans = repeated_spans(docs.select("doc_id", "text"), rules, match)
-    return report(texts, spans, tell, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    # rows of one id are texts of their own: "anywhere else" needs no ids, only places
+    return report(docs.select("doc_id", "text"), rules, match, tell, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def joined_words(text: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> bytes:
@@ -156,5 +168,3 @@ def joined_words(text: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> byte
     mask[ends[:-1]] = True
     out[ends[:-1]] = 32
     return out[mask].tobytes()
-
-

@@ -7,8 +7,11 @@ interval of depth l holds all suffixes that share their first l bytes. An interv
 whose suffixes have different left neighbours can't be extended to the left, so it is
 a maximal repeat, with all its occurrences and not just neighbouring ones.
 
-Text in one run of windows is in one part, so intervals of depth ``window`` or more are
-whole; lengths are within the run, and longer repeats are groups of several runs.
+What is removed follows from the outermost intervals of ``window`` bytes or more that
+the left-extension test leaves: of each, all occurrences under larger ids than its
+least. Intervals within these hold fewer of the same places, so they remove nothing
+more. Depths end with the routed stretch; repeats.py puts the pieces of longer repeats
+together.
 """
 
 from __future__ import annotations
@@ -22,12 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .repeats import Part, Windows, limit_runs, load_part, repeated_spans, report, routed_runs, spans_of
+from .repeats import Groups, Part, Texts, Windows, answers, closed_groups, ranges, repeat_groups, report
 
 BYTES = Windows(window=50, gram=18)
-#: Bytes of a suffix that are sorted and compared, in windows. Runs of windows of one key are shorter (50 + 32 bytes),
-#: but for periodic text, of which suffixes that agree so far count as equal: depths are "so much or more" there.
-DEPTH = 3
+#: Bytes up to which suffixes are compared by eights; beyond, ranks of ever longer stretches are (periodic text).
+NEAR = 256
 
 
 def big_endian(symbols: np.ndarray) -> np.ndarray:
@@ -79,6 +81,44 @@ def common_prefix(words: np.ndarray, a: np.ndarray, b: np.ndarray, left: np.ndar
     return out
 
 
+class Ranks:
+    """Ranks of the stretches of 8, 16, 32 and so on bytes from every place of some runs, ended by the run's end."""
+
+    def __init__(self, words: np.ndarray, first: np.ndarray, last: np.ndarray) -> None:
+        sizes = last - first
+        self.at = ranges(first, sizes)
+        self.index = np.full(len(words), -1, np.int64)
+        self.index[self.at] = np.arange(len(self.at))
+        end = np.repeat(last, sizes)
+        left = np.minimum(end - self.at, 8)
+        rank = self.dense(eight(words, self.at, end), left)
+        self.levels, h = [rank], 8
+        while h < sizes.max(initial=0):
+            after = np.where(self.at + h < end, rank[np.minimum(np.arange(len(rank)) + h, len(rank) - 1)] + 1, 0)
+            rank = self.dense(rank, after)
+            self.levels.append(rank)
+            h *= 2
+
+    @staticmethod
+    def dense(high: np.ndarray, low: np.ndarray) -> np.ndarray:
+        order = np.lexsort([low, high])
+        new = np.append(False, (high[order][1:] != high[order][:-1]) | (low[order][1:] != low[order][:-1])) if len(order) else np.zeros(0, bool)
+        out = np.empty(len(order), np.int64)
+        out[order] = np.cumsum(new)
+        return out
+
+    def common(self, a: np.ndarray, b: np.ndarray, left: np.ndarray) -> np.ndarray:
+        """Bytes that suffixes at a and b share, up to ``left`` and to less than eight short of it."""
+        out = np.zeros(len(a), np.int64)
+        for k in range(len(self.levels) - 1, -1, -1):
+            for _ in range(2):
+                live = np.flatnonzero(out < left)
+                x, y = self.index[a[live] + out[live]], self.index[b[live] + out[live]]
+                same = self.levels[k][x] == self.levels[k][y]
+                out[live[same]] = np.minimum(out[live[same]] + (8 << k), left[live[same]])
+        return out
+
+
 def lcp_intervals(lcp: list[int], least: int) -> tuple[list[tuple[int, int, int]], list[tuple[int, int]]]:
     """Stack scan of common-prefix lengths: all intervals (depth, first, last) of ``least`` or deeper, and the outermost (first, last)."""
     intervals, outer, stack = [], [], []
@@ -96,12 +136,13 @@ def lcp_intervals(lcp: list[int], least: int) -> tuple[list[tuple[int, int, int]
 
 @dataclass
 class Tree:
-    """suffix: the windows in array order, those that share at least a window's length with a neighbour. intervals: (depth, first, last) of
-    maximal repeats. outer: (first, last) of the outermost intervals, which part the suffixes by their first window."""
+    """suffix: the windows in array order, those that share at least a window's length with a neighbour. intervals: (depth, first,
+    last) of maximal repeats. outer: (first, last) of the outermost intervals, which part the suffixes by their first window, and depth of them."""
 
     suffix: np.ndarray
     intervals: np.ndarray
     outer: np.ndarray
+    depth: np.ndarray
 
 
 def interval_tree(part: Part) -> Tree:
@@ -111,56 +152,72 @@ def interval_tree(part: Part) -> Tree:
     size = np.bincount(group, minlength=1)
     shared = order[size[group] > 1]
     if len(shared) == 0:
-        return Tree(shared, np.zeros((0, 3), np.int64), np.zeros((0, 2), np.int64))
+        none = np.zeros((0, 2), np.int64)
+        return Tree(shared, np.zeros((0, 3), np.int64), none, none[:, 0])
     # the suffixes that share a window are sorted to their ends, for lengths beyond it
-    end = np.minimum(end, start + DEPTH * window)
-    deep, _ = sort_suffixes(words, start[shared], end[shared], int((end[shared] - start[shared]).max()))
+    deep, group = sort_suffixes(words, start[shared], end[shared], NEAR)
     shared = shared[deep]
+    far = np.flatnonzero((end - start)[shared] > NEAR)
+    if len(far):
+        long = np.unique(part.owner[shared[far]])
+        ranks = Ranks(words, part.first[long], part.first[long + 1])
+        beyond = np.full(len(shared), -1)
+        beyond[far] = ranks.levels[-1][ranks.index[start[shared[far]] + NEAR]]
+        shared = shared[np.lexsort([beyond, group])]
     a, b = start[shared[:-1]], start[shared[1:]]
-    lcp = common_prefix(words, a, b, np.minimum(end[shared[:-1]] - a, end[shared[1:]] - b))
+    left = np.minimum(end[shared[:-1]] - a, end[shared[1:]] - b)
+    lcp = common_prefix(words, a, b, np.minimum(left, NEAR))
+    far = np.flatnonzero((lcp == NEAR) & (left > NEAR))
+    if len(far):
+        more = ranks.common(a[far] + NEAR, b[far] + NEAR, left[far] - NEAR)
+        lcp[far] += more + common_prefix(words, a[far] + NEAR + more, b[far] + NEAR + more, left[far] - NEAR - more)
     intervals, outer = lcp_intervals(lcp.tolist(), window)
     intervals, outer = np.array(intervals, np.int64).reshape(-1, 3), np.array(outer, np.int64).reshape(-1, 2)
     # left extension: a run's first byte has an unknown neighbour, which counts as different from any
-    left = np.where(start[shared] == part.first[part.owner[shared]], -1 - np.arange(len(shared)), part.symbols[np.maximum(start[shared] - 1, 0)].astype(np.int64))
-    change = np.concatenate([[0], np.cumsum(left[1:] != left[:-1])])
-    return Tree(shared, intervals[change[intervals[:, 2]] > change[intervals[:, 1]]], outer)
+    before = np.where(start[shared] == part.first[part.owner[shared]], -1 - np.arange(len(shared)), part.symbols[np.maximum(start[shared] - 1, 0)].astype(np.int64))
+    change = np.concatenate([[0], np.cumsum(before[1:] != before[:-1])])
+    depth = np.minimum.reduceat(np.append(lcp, 0), outer.reshape(-1))[::2]
+    return Tree(shared, intervals[change[intervals[:, 2]] > change[intervals[:, 1]]], outer, depth)
 
 
-def match(part: Part) -> pa.Table:
-    """Stretches that also start in a document of a smaller id: each window is bounded by the least id of its outermost interval."""
-    least = np.minimum.reduceat(part.ids, part.at[:-1])
-    bound = least[part.owner]
+def outer_groups(part: Part) -> Groups:
+    """The outermost intervals that can't be extended to the left."""
     tree = interval_tree(part)
-    if len(tree.outer):
-        low = np.minimum.reduceat(bound[tree.suffix], tree.outer[:, 0])
-        bound[tree.suffix] = np.repeat(low, tree.outer[:, 1] - tree.outer[:, 0] + 1)
-    return spans_of(part, *limit_runs(part, bound))
+    return closed_groups(part, tree.suffix, np.repeat(np.arange(len(tree.outer)), tree.outer[:, 1] - tree.outer[:, 0] + 1), tree.depth)
 
 
-def maximal_repeats(docs: DataFrame, rules: Windows = BYTES) -> DataFrame:
-    """(length, doc_ids, starts): maximal repeat groups of ``window`` bytes or more in texts of several documents, with every occurrence.
-
-    A repeat that stands in equal surroundings everywhere is one run of windows, whose
-    whole stretch is the group. Null ids are the largest long. Starts are bytes of UTF-8.
+def match(part: Part) -> pa.Table:
+    """Stretches that also start in a document of a smaller id: of each group all members, bounded by its least id."""
+    found = outer_groups(part)
+    return answers(part, found.run, found.start, found.end, found.low[found.group])
+
+
+def all_groups(part: Part) -> Groups:
+    """The outermost groups, and the maximal repeats that intervals within them are: longer, in fewer places."""
+    tree, outer = interval_tree(part), outer_groups(part)
+    own = {tuple(x) for x in tree.outer.tolist()}
+    nested = np.array([x for x in tree.intervals.tolist() if tuple(x[1:]) not in own], np.int64).reshape(-1, 3)
+    n = nested[:, 2] - nested[:, 1] + 1
+    windows = tree.suffix[ranges(nested[:, 1], n)] if len(nested) else np.zeros(0, np.int64)
+    start = part.windows[windows] - part.first[part.owner[windows]]
+    return Groups(
+        np.concatenate([outer.group, len(outer.low) + np.repeat(np.arange(len(nested)), n)]),
+        np.concatenate([outer.run, part.owner[windows]]),
+        np.concatenate([outer.start, start]),
+        np.concatenate([outer.end, start + np.repeat(nested[:, 0], n)]),
+        outer.low,
+    )
+
+
+def maximal_repeats(docs: DataFrame, rules: Windows = BYTES, nested: bool = False) -> DataFrame:
+    """(repeat, length, doc_id, start): every occurrence of every repeat of ``window`` bytes or more in texts of several ids.
+
+    A repeat is a longest stretch whose first window, and each further one of it, stands in
+    just its places or more. ``nested`` adds longer ones in fewer places, as far as a routed
+    stretch shows them; of periodic text these grow with the square of its length.
+    Starts are bytes of UTF-8; null ids are one id, the largest. An empty table gives no rows.
     """
-
-    def groups(table: pa.Table) -> pa.Table:
-        part = load_part(table, rules)
-        tree, rows = interval_tree(part), []
-        for depth, a, z in tree.intervals.tolist():
-            runs = part.owner[tree.suffix[a : z + 1]]
-            offsets = part.windows[tree.suffix[a : z + 1]] - part.first[runs]
-            place = np.concatenate([np.arange(part.at[r], part.at[r + 1]) for r in runs])
-            starts = np.concatenate([part.places[part.at[r] : part.at[r + 1]] + o for r, o in zip(runs, offsets, strict=True)])
-            rows.append((depth, part.ids[place].tolist(), starts.tolist()))
-        for r in np.flatnonzero(np.diff(part.at) > 1):
-            own = slice(part.at[r], part.at[r + 1])
-            rows.append((int(part.first[r + 1] - part.first[r]), part.ids[own].tolist(), part.places[own].tolist()))
-        schema = pa.schema([("length", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("starts", pa.list_(pa.int64()))])
-        return pa.Table.from_pylist([dict(zip(schema.names, r, strict=True)) for r in rows], schema)
-
-    _, runs = routed_runs(docs, rules)
-    return runs.groupBy("part").applyInArrow(groups, "length long, doc_ids array<long>, starts array<long>")
+    return repeat_groups(docs, rules, all_groups if nested else outer_groups)
 
 
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -192,13 +249,12 @@ def removal_report(docs: DataFrame, rules: Windows = BYTES) -> DataFrame:
     """
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
 
-    def tell(table: pa.Table, data: np.ndarray, offsets: np.ndarray, *spans: np.ndarray) -> pa.Table:
-        ids = table.column("doc_id").to_pylist()
-        rows = [(ids[r], int(offsets[r + 1] - offsets[r]), n, len(s), hashlib.sha256(kept).hexdigest()) for r, n, s, kept in kept_bytes(data, offsets, *spans)]
+    def tell(texts: Texts, *spans: np.ndarray) -> pa.Table:
+        ids, sizes = texts.table.column("c0").to_pylist(), np.diff(texts.offsets).tolist()
+        rows = [(ids[r], sizes[r], n, len(s), hashlib.sha256(kept).hexdigest()) for r, n, s, kept in kept_bytes(texts.data, texts.offsets, *spans)]
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)] if rows else [pa.array([], f.type) for f in schema], schema=schema)
 
-    texts, spans = repeated_spans(docs.select("doc_id", "text"), rules, match)
-    return report(texts, spans, tell, RESULT)
+    return report(docs.select("doc_id", "text"), rules, match, tell, RESULT)
 
 
 def remove_repeats(docs: DataFrame, rules: Windows = BYTES) -> DataFrame:
@@ -208,12 +264,13 @@ def remove_repeats(docs: DataFrame, rules: Windows = BYTES) -> DataFrame:
     cut in two is dropped. A null text stays null.
     """
     columns = docs.columns
+    kinds = {"n_chars": "long"} if "n_chars" in columns else {}
+    out = docs.withColumns({c: F.col(c).cast(kind) for c, kind in kinds.items()})
 
-    def tell(table: pa.Table, data: np.ndarray, offsets: np.ndarray, *spans: np.ndarray) -> pa.Table:
-        null = table.column("text").combine_chunks().is_null().to_pylist() if table.num_rows else []
-        kept = [None if null[r] else text.decode("utf-8", "ignore") for r, _, _, text in kept_bytes(data, offsets, *spans)]
+    def tell(texts: Texts, *spans: np.ndarray) -> pa.Table:
+        null = texts.table.column(f"c{columns.index('text')}").is_null().to_pylist()
+        kept = [None if null[r] else text.decode("utf-8", "ignore") for r, _, _, text in kept_bytes(texts.data, texts.offsets, *spans)]
         new = {"text": pa.array(kept, pa.string()), "n_chars": pa.array([None if k is None else len(k) for k in kept], pa.int64())}
-        return pa.Table.from_arrays([new[c] if c in new else table.column(c) for c in columns], columns)
+        return pa.Table.from_arrays([new[c] if c in new else texts.table.column(f"c{i}") for i, c in enumerate(columns)], columns)
 
-    texts, spans = repeated_spans(docs, rules, match)
-    return report(texts, spans, tell, docs.withColumn("n_chars", F.col("n_chars").cast("long")).schema if "n_chars" in columns else docs.schema)
+    return report(out, rules, match, tell, out.schema)

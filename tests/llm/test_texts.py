@@ -1,8 +1,11 @@
 """Removal, near-duplicates, leaks, quality and mixing against plain versions on awkward inputs."""
 
+import random
+from collections import Counter
+
 import pytest
 
-from chunkloom.llm import decontam, minhash, mixing, quality, substring, suffix_array
+from chunkloom.llm import decontam, minhash, mixing, quality, repeats, substring, suffix_array
 from .fixtures import awkward_docs, byte_removal, docs_frame, near_components, shingles, word_removal, words_of
 
 
@@ -39,16 +42,108 @@ def test_removed_texts_keep_rows_and_columns(docs, rows):
             assert texts[i] == text
 
 
-def test_maximal_repeats_hold_every_occurrence(spark):
-    shared = "".join(chr(97 + i % 26) for i in range(0, 26 * 7, 7)) * 3
-    rows = [(1, "x" * 5 + shared + "left tail one", None, None, 0), (2, "yy" + shared + "another", None, None, 0), (3, shared[:60] + "zzz", None, None, 0), (4, "nothing of it", None, None, 0)]
-    found = suffix_array.maximal_repeats(docs_frame(spark, rows, False)).collect()
-    assert found
-    for g in found:
-        texts = {r[0]: r[1].encode() for r in rows}
-        pieces = {texts[d][s : s + g.length] for d, s in zip(g.doc_ids, g.starts)}
-        assert len(pieces) == 1 and g.length >= 50
-    assert any(set(g.doc_ids) == {1, 2, 3} for g in found)
+def grouped_repeats(df):
+    out = {}
+    for r in df.collect():
+        out.setdefault((r.repeat, r.length), []).append((r.doc_id, r.start))
+    return [(length, sorted(places)) for (_, length), places in out.items()]
+
+
+def test_a_shared_passage_is_one_repeat(spark):
+    shared = "".join(random.Random(6).choices("abcdefgh ", k=300))
+    texts = {1: "x" * 5 + shared + "left tail one", 2: "yy" + shared + "another", 3: "zzz" + shared[:60] + "zzz", 4: "nothing of it"}
+    rows = [(i, t, None, None, 0) for i, t in texts.items()]
+    found = grouped_repeats(suffix_array.maximal_repeats(docs_frame(spark, rows, False)))
+    size = len(shared)
+    assert any(n == 60 and {d for d, _ in places} == {1, 2, 3} for n, places in found)
+    assert any({d for d, _ in places} == {1, 2} and places[0][1] + n == 5 + size for n, places in found) and len(found) == 2
+    alone = {1: "x" * 5 + shared + "left tail one", 2: "yy" + shared + "another"}
+    found = grouped_repeats(suffix_array.maximal_repeats(docs_frame(spark, [(i, t, None, None, 0) for i, t in alone.items()], False)))
+    assert found == [(size, [(1, 5), (2, 2)])]
+
+
+@pytest.mark.parametrize("nested", [False, True])
+def test_byte_repeats_have_every_occurrence(docs, rows, nested):
+    found = grouped_repeats(suffix_array.maximal_repeats(docs.filter("text not like 'aa%'"), nested=nested))
+    texts = [(i, (t or "").encode()) for i, t, *_ in rows if not (t or "").startswith("aa")]
+    covered = {}
+    for n, places in found:
+        own = {b[s : s + n] for i, b in texts for d, s in places if i == d}
+        (piece,) = own
+        assert n >= 50 and len(piece) == n
+        assert places == sorted((i, k) for i, b in texts for k in range(len(b) - n + 1) if b.startswith(piece, k))
+        for d, s in places:
+            covered.setdefault(d, set()).update(range(s, s + n))
+    where = {}
+    for i, b in texts:
+        for k in range(len(b) - 49):
+            where.setdefault(b[k : k + 50], set()).add(i)
+    want = {}
+    for i, b in texts:
+        for k in range(len(b) - 49):
+            if len(where[b[k : k + 50]]) > 1:
+                want.setdefault(i, set()).update(range(k, k + 50))
+    assert covered == want and found
+
+
+def test_word_repeats_have_every_occurrence(docs, rows):
+    found = grouped_repeats(substring.maximal_repeats(docs))
+    texts = [(i, words_of(t)) for i, t, *_ in rows]
+    for n, places in found:
+        piece = next(w[s : s + n] for i, w in texts for d, s in places if i == d)
+        assert n >= 35
+        assert places == sorted((i, k) for i, w in texts for k in range(len(w) - n + 1) if w[k : k + n] == piece)
+    covered = {(d, k) for n, places in found for d, s in places for k in range(s, s + n)}
+    removed = {i: x[1] for i, x in word_removal(rows).items()}
+    assert found and Counter(d for d, _ in covered) == Counter({i: n for i, n in removed.items() if n})
+
+
+@pytest.mark.parametrize("weak", [False, True])
+@pytest.mark.parametrize("words", [False, True])
+def test_hashes_only_route(rows, monkeypatch, weak, words):
+    """All steps in one process, also with hashes of which most clash: results hang on texts alone."""
+    import numpy as np
+    import pyarrow as pa
+
+    if weak:
+        hashes = repeats.word_hashes
+        monkeypatch.setattr(repeats, "word_hashes", lambda *x: hashes(*x) & np.uint64(3))
+        monkeypatch.setattr(repeats, "digest", lambda data, lo, hi: np.zeros(len(lo), np.uint64))
+    module, rules = (substring, substring.WORDS) if words else (suffix_array, suffix_array.BYTES)
+    layout = repeats.Layout(["doc_id", "text"])
+    table = pa.table({"c0": [r[0] for r in rows], "c1": [r[1] for r in rows], "hash": pa.array(range(len(rows)), pa.int64())})
+    texts = repeats.load_texts(table, layout)
+    mail = repeats.find_again(repeats.send_keys(texts, 0, rules, 1))
+    runs = repeats.find_runs(texts, mail, rules, 1)
+    told = module.match(repeats.load_part(repeats.send_runs(texts, 0, runs), rules))
+    row, start, end = repeats.union_spans(*repeats.placed(texts, runs, told))
+    removed = Counter()
+    for r, a, z in zip(row, start, end):
+        removed[r] += int(z - a)
+    want = (word_removal if words else byte_removal)(rows)
+    assert [removed[r] for r in range(len(rows))] == [want[i][1] for i in texts.ids.tolist()]
+
+
+def test_long_periodic_text_takes_seconds(spark):
+    import time
+
+    text = "abcdefg " * 40_000
+    begin = time.time()
+    got = suffix_array.removal_report(docs_frame(spark, [(1, text, None, None, 0), (2, "x" + text[8:], None, None, 0), (3, text, None, None, 0)])).collect()
+    assert {r.doc_id: r.n_removed for r in got} == {1: 0, 2: len(text) - 8, 3: len(text)} and time.time() - begin < 60
+
+
+def test_no_column_name_is_reserved(spark):
+    from pyspark.sql import functions as F
+
+    rows = awkward_docs(4, 20) + [(None, "same text " * 30, None, None, 0)] * 2
+    df = docs_frame(spark, rows)
+    for name in ("__hash", "__bucket", "c0", "c1", "hash", "bucket", "row", "text_hash"):
+        df = df.withColumn(name, F.lit(7))
+    out = suffix_array.remove_repeats(df)
+    assert out.columns == df.columns and out.count() == len(rows) and {r["__hash"] for r in out.collect()} == {7}
+    assert {r.n_removed for r in suffix_array.removal_report(df).collect() if r.doc_id is None} == {0}
+    assert substring.removal_report(df).count() == len(rows) and minhash.one_of_each(df).columns == df.columns
 
 
 def test_stack_scan():
@@ -75,13 +170,63 @@ def test_prefixes_grow_until_groups_fit():
         assert found == [i for i in windows.tolist() if plain.count(plain[i]) > 1]
 
 
+def near_rows(docs, **rules):
+    return [(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(docs, minhash.NearRules(**rules)).collect()]
+
+
+def plain_rows(rows):
+    return Counter((i, n, c, c is None or i == c) for i, n, c in near_components(rows))
+
+
 def test_near_duplicates_against_all_pairs(docs, rows, nothing):
-    got = [(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(docs).collect()]
-    want = near_components(rows)
-    assert len(got) == len(rows) and set(got) == {(i, n, c, i == c) for i, (n, c) in want.items()}
+    assert Counter(near_rows(docs)) == plain_rows(rows)
     assert minhash.near_duplicates(nothing).count() == 0
 
 
+def variants(seed, n, words=60, most=14):
+    """Texts around one template: some near it, some only near others, most near nothing."""
+    r = random.Random(seed)
+    base = [f"w{r.randrange(500)}" for _ in range(words)]
+    out = []
+    for _ in range(n):
+        w = list(base)
+        for _ in range(r.randint(0, most)):
+            w[r.randrange(words)] = f"x{r.randrange(40)}"
+        out.append(" ".join(w))
+    return out
+
+
+def test_near_duplicates_of_one_template(spark, monkeypatch):
+    rows = [(i, t, None, None, 0) for i, t in enumerate(variants(1, 150) + variants(2, 60, 200, 12) + variants(3, 60, 8, 2))]
+    want = plain_rows(rows)
+    assert len({x[2] for x in want}) > 20
+    assert Counter(near_rows(docs_frame(spark, rows))) == want
+    monkeypatch.setattr(minhash, "TILE", 20)
+    monkeypatch.setattr(minhash, "LEADER_PAIRS", 10)  # many tiles and salted leaders give the same
+    assert Counter(near_rows(docs_frame(spark, rows), slack=1.0)) == want
+
+
+def test_near_duplicates_of_repeated_ids(spark):
+    x, y = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    for rows in ([(3, x), (5, y), (5, x + " end")], [(5, x), (5, y), (8, y + " end"), (9, x + " end")], [(None, x), (None, x + " end"), (None, y), (4, y), (4, y), (None, None), (None, "")]):
+        rows = [(i, t, None, None, 0) for i, t in rows]
+        assert Counter(near_rows(docs_frame(spark, rows))) == plain_rows(rows)
+
+
+def test_one_of_each_group_stays(spark, docs, rows):
+    x, y = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    few = [(3, x, "en", None, 0), (5, x + " end", "en", None, 0), (5, y, "de", None, 0), (7, y, "en", "s", 1), (7, y, "en", "s", 1), (8, "z", None, None, 0), (8, "z", None, None, 0), (None, x, None, None, 0), (None, None, None, None, 0), (9, "", None, None, 0)]
+    out = minhash.one_of_each(docs_frame(spark, few))
+    assert out.columns == docs.columns
+    got = [(r.doc_id, r.text) for r in out.collect()]
+    assert Counter(got) == Counter([(3, x), (5, y), (8, "z"), (None, None), (9, "")])
+    kept = minhash.one_of_each(docs).collect()
+    want = near_components(rows)
+    full = {c for _, n, c in want if n}
+    assert sorted(r.doc_id for r in kept if shingles(r.text)) == sorted(full)
+    assert Counter(r.doc_id for r in kept if not shingles(r.text)) == Counter(i for i, n, _ in want if not n)
+
+
 def test_leaks_against_all_pairs(spark, docs, rows):
     texts = {i: t for i, t, *_ in rows}
     long = words_of(texts[60])
@@ -103,8 +248,6 @@ def test_leaks_against_all_pairs(spark, docs, rows):
 
 
 def test_quality_counts(docs, rows, nothing):
-    from collections import Counter
-
     got = {r.doc_id: r for r in quality.quality_report(docs).collect()}
     for i, t, *_ in rows:
         w, lines = words_of(t), [x for x in (t or "").split("\n") if words_of(x)]
@@ -161,3 +304,5 @@ def test_permutation_is_one(spark):
     for n in (1, 2, 7, 100):
         got = spark.range(n).select(mixing.permute(F.col("id"), F.lit(n).cast("long"), F.lit(3), mixing.MixRules()).alias("p")).collect()
         assert sorted(r.p for r in got) == list(range(n))
+        back = spark.range(n).select("id", mixing.permute(mixing.permute(F.col("id"), F.lit(n).cast("long"), F.lit(3), mixing.MixRules()), F.lit(n).cast("long"), F.lit(3), mixing.MixRules(), inverse=True).alias("p"))
+        assert all(r.id == r.p for r in back.collect())
