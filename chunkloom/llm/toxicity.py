@@ -18,8 +18,9 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 
@@ -35,8 +36,8 @@ from .textcore import _LOWER, chunks, column_bytes
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "£": "l", "(": "c", "%": ""}
 #: Signs that may part spaced-out letters.
 PARTING = " .-_*~"
-#: Costs, in nats, of what the channel does: a sign for a letter, a sign kept, a sign dropped, a repeat kept, a word's end between spaced-out letters.
-COST = {"leet": 0.7, "kept": 6.0, "dropped": 3.0, "double": 0.5, "repeat": 5.0, "break": 3.0}
+#: Costs, in nats, of what the channel does: a sign for a letter, a sign kept, a sign dropped, a double kept, a word's end between spaced-out letters.
+COST = {"leet": 0.7, "kept": 6.0, "dropped": 3.0, "double": 0.5, "break": 3.0}
 OTHER, LETTERS = 0, 27
 #: Different words that count for one stem at most.
 MOST = 4
@@ -74,13 +75,14 @@ SLACK = 16.0
 @dataclass(frozen=True)
 class ToxicRules:
     """sample: labelled documents to learn from at most (by hash of their id). entries: of the lexicon at most.
-    support, precision: of an entry. stem: characters of a stem at least. margin: nats beyond chance."""
+    support, precision: of an entry. stem, longest: characters of a stem at least and at most. margin: nats beyond chance."""
 
     sample: int = 4000
     entries: int = 200
     support: int = 3
     precision: float = 0.6
     stem: int = 4
+    longest: int = 32
     margin: float = 1.0
     smoothing: float = 0.1
 
@@ -145,13 +147,12 @@ def spaced_out(span: str) -> bool:
     return len(re.findall(r"[^\W_][ .\-_*~]{1,2}(?=[^\W_])", span)) >= 3 and all(len(x) <= 1 for x in re.split(r"[ .\-_*~]+", span))
 
 
-def lattice(span: str, breaks: bool = False) -> list[list[tuple[str, float]]]:
+def lattice(span: str, breaks: bool = False) -> Iterator[list[tuple[str, float]]]:
     """For each character of a span what it may stand for, with costs; an empty string drops it. With ``breaks``,
     separators of spaced-out letters may also end a word."""
-    spaced = spaced_out(span)
-    out: list[list[tuple[str, float]]] = []
-    run = 0
-    for i, c in enumerate(span.lower()):
+    spaced, low = spaced_out(span), span.lower()
+    run, before = 0, ""
+    for i, c in enumerate(low):
         ways = [(c, 0.0 if letter(c) or not c.isascii() else COST["kept"])]
         if c in LEET:
             ways += [(x, COST["leet"]) for x in LEET[c]]
@@ -161,82 +162,117 @@ def lattice(span: str, breaks: bool = False) -> list[list[tuple[str, float]]]:
                 ways.append((" ", COST["break"]))
         elif not c.isalnum():
             ways.append(("", COST["dropped"]))
-        run = run + 1 if i and span[i - 1].lower() == c else 1
-        if run > 1 and c.isalpha():  # a double may well be meant, a third letter hardly
-            ways = [("", 1.5 if run == 2 else 0.0), (c, COST["double" if run == 2 else "repeat"])]
-        if i == len(span) - 1 and i and c in "!.|*-_":  # more likely the sentence's than the word's
+        run = run + 1 if before == c else 1
+        if run > 1 and c.isalpha():  # a double may well be meant
+            ways = [("", 1.5), (c, COST["double"])]
+            if run > 2:  # a third letter is sooner dropped than kept on any path, so it is no choice
+                continue
+        if i == len(low) - 1 and i and c in "!.|*-_":  # more likely the sentence's than the word's
             ways = [("", 0.0)]
-        out.append(ways)
-    return out
+        before = c
+        yield ways
+
+
+#: Steps after which the search lets go of the part that all its paths share.
+STEPS = 1024
 
 
-def viterbi(ways: list[list[tuple[str, float]]], logp: np.ndarray) -> str:
-    """The likeliest string through a lattice, under the trigram model; ends count as word ends."""
+def viterbi(ways: Iterable[list[tuple[str, float]]], logp: list) -> str:
+    """The likeliest string through a lattice, under the trigram model; ends count as word ends.
+
+    Time and memory grow with the length alone: what all paths share is written out on the way.
+    """
     best: dict[tuple[int, int], float] = {(OTHER, OTHER): 0.0}
     came: list[dict[tuple[int, int], tuple[tuple[int, int], str]]] = []
+    out: list[str] = []
+    check = STEPS
+
+    def trace(at: tuple[int, int], steps: int) -> str:
+        path = []
+        for back in reversed(came[:steps]):
+            at, c = back[at]
+            path.append(c)
+        return "".join(reversed(path))
+
     for options in ways:
         new: dict[tuple[int, int], float] = {}
         back: dict[tuple[int, int], tuple[tuple[int, int], str]] = {}
-        for (a, b), score in best.items():
+        for state, score in best.items():
+            a, b = state
+            row = logp[a][b]
             for c, cost in options:
                 if c:
                     k = letter(c)
-                    key, s = (b, k), score + logp[a, b, k] - cost
+                    key, s = (b, k), score + row[k] - cost
                 else:
-                    key, s = (a, b), score - cost - 1.0
+                    key, s = state, score - cost - 1.0
                 if key not in new or s > new[key]:
-                    new[key], back[key] = s, ((a, b), c)
+                    new[key], back[key] = s, (state, c)
         best = new
         came.append(back)
-    at = max(best, key=lambda x: best[x] + logp[x[0], x[1], OTHER])
-    out = []
-    for back in reversed(came):
-        at, c = back[at]
-        out.append(c)
-    return "".join(reversed(out))
-
-
-def inside(text: str, entries: dict[str, bool], logp: np.ndarray) -> set[str]:
+        if len(came) >= check:
+            alive, steps = set(best), len(came)
+            while len(alive) > 1 and steps:
+                steps -= 1
+                alive = {came[steps][at][0] for at in alive}
+            if steps:
+                out.append(trace(next(iter(alive)), steps))
+                came = came[steps:]
+            check = 2 * len(came) + STEPS
+    return "".join(out) + trace(max(best, key=lambda x: best[x] + logp[x[0]][x[1]][OTHER]), len(came))
+
+
+def places_of(entry: str, text: str) -> Iterator[int]:
+    at = text.find(entry)
+    while at >= 0:
+        yield at
+        at = text.find(entry, at + 1)
+
+
+def inside(text: str, entries: dict[str, bool], logp: list) -> set[str]:
     """The entries (True: only the beginning of a word) that letters without blanks hold as words: where the likeliest
     reading with a word's end at the entry's ends is at most SLACK less likely than the likeliest of all."""
-    found = [(e, m.start()) for e in entries for m in re.finditer(f"(?={re.escape(e)})", text)]
+    found = [(e, i) for e in entries for i in places_of(e, text)]
     if not found:
         return set()
     k, n = [letter(c) for c in text], len(text)
     pair = [OTHER, OTHER, *k]  # letters before place i are pair[i], pair[i + 1]
-    # states before a letter: within a word, after its first letter, at its beginning
-    context = lambda i: ((pair[i], pair[i + 1]), (OTHER, pair[i + 1]), (pair[i + 1], OTHER))
     ends = lambda i: 0.0 if i == n else COST["break"] - 1.0
-    rest = [[-math.inf] * 3 for _ in range(n + 1)]
-    rest[n][2] = 0.0
+    # the best that can follow place i: within a word, after its first letter, at its beginning
+    within, second, fresh = (array("d", [-math.inf]) * (n + 1) for _ in range(3))
+    fresh[n] = 0.0
     for i in range(n, -1, -1):
-        c = context(i)
+        a, b = pair[i], pair[i + 1]
+        old, young, new = logp[a][b], logp[OTHER][b], logp[b][OTHER]
         if i < n:
-            rest[i][2] = logp[c[2]][k[i]] + rest[i + 1][1]
-        for j in (0, 1):
-            stop = logp[c[j]][OTHER] - ends(i) + rest[i][2]
-            rest[i][j] = max(stop, logp[c[j]][k[i]] + rest[i + 1][0]) if i < n else stop
-    done, on = [0.0], [-math.inf, -math.inf]
+            fresh[i] = new[k[i]] + second[i + 1]
+            within[i] = max(old[OTHER] - ends(i) + fresh[i], old[k[i]] + within[i + 1])
+            second[i] = max(young[OTHER] - ends(i) + fresh[i], young[k[i]] + within[i + 1])
+        else:
+            within[i], second[i] = old[OTHER] + fresh[i], young[OTHER] + fresh[i]
+    # and the best that can come before it, if a word begins there
+    done, long, short = array("d", [0.0]), -math.inf, -math.inf
     for i in range(n):
-        c = context(i)
-        on = [max(on[j] + logp[c[j]][k[i]] for j in (0, 1)), done[i] + logp[c[2]][k[i]]]
-        c = context(i + 1)
-        done.append(max(on[j] + logp[c[j]][OTHER] for j in (0, 1)) - ends(i + 1))
+        a, b = pair[i], pair[i + 1]
+        long, short = max(long + logp[a][b][k[i]], short + logp[OTHER][b][k[i]]), done[i] + logp[b][OTHER][k[i]]
+        a, b = pair[i + 1], pair[i + 2]
+        done.append(max(long + logp[a][b][OTHER], short + logp[OTHER][b][OTHER]) - ends(i + 1))
     out = set()
     for e, i in found:
-        score, (a, b) = done[i], context(i)[2]
+        score, (a, b) = done[i], (pair[i + 1], OTHER)
         for x in k[i : i + len(e)]:
-            score += logp[a, b, x]
+            score += logp[a][b][x]
             a, b = b, x
         j = i + len(e)
-        score += rest[j][0 if len(e) > 1 else 1] if entries[e] else logp[a, b, OTHER] - ends(j) + rest[j][2]
-        if score >= rest[0][2] - SLACK:
+        score += (within if len(e) > 1 else second)[j] if entries[e] else logp[a][b][OTHER] - ends(j) + fresh[j]
+        if score >= fresh[0] - SLACK:
             out.add(e)
     return out
 
 
 class Restorer:
     def __init__(self, logp: np.ndarray) -> None:
+        self.logp = logp = logp.tolist()
         short = lru_cache(maxsize=1 << 16)(lambda x, breaks: viterbi(lattice(x, breaks), logp))
         self.decode = lambda x, breaks=False: (short if len(x) <= REMEMBERED else short.__wrapped__)(x, breaks)
 
@@ -279,7 +315,7 @@ def words_in_context(text: str, restorer: Restorer, known: dict[str, str]) -> di
 
 def entries_of(word: str, rules: ToxicRules) -> list[str]:
     """The word, and its stems, written with a star."""
-    return [word, *(word[:n] + "*" for n in range(rules.stem, len(word)))]
+    return [word, *(word[:n] + "*" for n in range(rules.stem, min(len(word), rules.longest + 1)))]
 
 
 def choose_entries(docs: list[tuple[dict[str, int], int]], rules: ToxicRules) -> list[str]:
@@ -330,8 +366,13 @@ def choose_entries(docs: list[tuple[dict[str, int], int]], rules: ToxicRules) ->
     return chosen
 
 
-def matches(word: str, lexicon: dict[str, float]) -> list[str]:
-    return [e for e in (word, *(word[:n] + "*" for n in range(1, len(word)))) if e in lexicon]
+def matches(word: str, lexicon: dict, lengths: list[int]) -> list[str]:
+    """The entries that match a word; lengths: of the lexicon's stems."""
+    return [e for e in (word, *(word[:n] + "*" for n in lengths if n < len(word))) if e in lexicon]
+
+
+def stem_lengths(lexicon: Iterable[str]) -> list[int]:
+    return sorted({len(e) - 1 for e in lexicon if e.endswith("*")})
 
 
 def fit(rows: list[tuple[str, int]], logp: np.ndarray, rules: ToxicRules = ToxicRules()) -> ToxicModel:
@@ -348,12 +389,12 @@ def fit(rows: list[tuple[str, int]], logp: np.ndarray, rules: ToxicRules = Toxic
         model.bias = math.log((n_toxic + 0.5) / (len(docs) - n_toxic + 0.5)) - 1.0 if docs else -3.0
         return model
     lexicon = choose_entries(docs, rules)
-    place = {e: i for i, e in enumerate(lexicon)}
+    place, lengths = {e: i for i, e in enumerate(lexicon)}, stem_lengths(lexicon)
     x = np.zeros((len(docs), len(lexicon) + 1))
     x[:, 0] = 1
     for row, (words, _) in zip(x, docs, strict=True):
         for word in words:
-            for e in matches(word, place):
+            for e in matches(word, place, lengths):
                 row[place[e] + 1] = min(MOST, row[place[e] + 1] + 1)
     y = np.array([t for _, t in docs], float)
     # ridge logistic regression by Newton steps; columns are the bias and how many words each entry matched
@@ -462,6 +503,7 @@ class Finder:
 
         # in restored words a double letter is no evidence, so they are compared without
         self.tight = {self.tighten(e): e for e in model.weights}
+        self.lengths = stem_lengths(self.tight)
 
         # a word's own entry is the narrower one, so it comes last
         self.stems = {e.removesuffix("*"): e.endswith("*") for e in sorted(self.tight, key=lambda e: e[-1:] != "*")}
@@ -471,7 +513,7 @@ class Finder:
         return re.sub(r"(.)\1+", r"\1", word)
 
     def restored_matches(self, word: str) -> list[str]:
-        return [self.tight[e] for e in matches(self.tighten(word), self.tight)]
+        return [self.tight[e] for e in matches(self.tighten(word), self.tight, self.lengths)]
 
     @staticmethod
     def squeezed(low: np.ndarray) -> bytes:
@@ -489,7 +531,7 @@ class Finder:
         if absent:
             for m in _DOUBLE.finditer(lowered.decode("utf-8", "replace")):
                 if self.squeezed(np.frombuffer(m[0].encode(), np.uint8)).startswith(tuple(absent)):
-                    word = viterbi(lattice(m[0]), self.model.logp)
+                    word = viterbi(lattice(m[0]), self.restorer.logp)
                     for e in self.restored_matches(word):
                         hits[e].add(word)
         places = suspicious(low)
@@ -503,7 +545,7 @@ class Finder:
                         for e, word in more:
                             own[e].add(word)
                     for run in _WORD.findall(readings[-1].replace(" ", "")) if len(readings) > 1 else []:
-                        for x in inside(self.tighten(run), self.stems, self.model.logp):
+                        for x in inside(self.tighten(run), self.stems, self.restorer.logp):
                             if (e := self.tight[x + "*" * self.stems[x]]) not in own:
                                 own[e].add(x)
                     for e, found in own.items():
