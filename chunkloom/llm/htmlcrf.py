@@ -13,6 +13,7 @@ from __future__ import annotations
 import html as entities
 import random
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 #: Fixed values of HTML: elements that break a line of text, that have no end tag, whose text is never shown, that hold raw text.
 BLOCK_TAGS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-UNSHOWN_TAGS = frozenset("head template noscript iframe object svg math canvas audio video select datalist button option script style title textarea noframes".split())
+UNSHOWN_TAGS = frozenset("head template noscript iframe svg canvas audio video select datalist button option script style title textarea noframes".split())
 RAW_TAGS = frozenset("script style textarea title noframes iframe xmp noembed".split())
 #: An open element that a start tag ends: itself and, for p, any block.
 ENDS_ITSELF = frozenset("li dt dd tr td th option p".split())
@@ -42,128 +43,191 @@ HINTS = {
     "article": "article content post entry story body main text prose page",
 }
 _HINT_OF = {word: name for name, words in HINTS.items() for word in words.split()}
-_TAG = re.compile(r"""<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
-_NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
-_HIDDEN = re.compile(r"""(?:^|\s)hidden(?:[\s=/]|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
+_START = re.compile(r"<(?:(!--)|(!\[CDATA\[)|([!?])|(/?)([a-zA-Z][^\s/>]*))")
+_STOP = re.compile(r"""[>"']""")
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
+_NO_DISPLAY = re.compile(r"display\s*:\s*none", re.I)
 _SPACE = re.compile(r"[\s\xa0]+")
 
 
+#: Elements that features look at, and those within which an element ends its like.
+_LAYOUT = ("nav", "aside", "footer", "header", "form", "article", "main", "li", "td", "blockquote", "figure", "figcaption", "pre", "h1", "h2", "h3", "p", "address", "label", "a", "dd", "dt", "section")
+_SCOPE = frozenset("ul ol dl table div article section body".split())
+
+
 @dataclass
 class Block:
+    """text, the tag of the element that it begins in, and of all elements around it the tags of _LAYOUT and the hints. linked: characters in links."""
+
     text: str
-    tags: tuple[str, ...]
+    leaf: str
+    tags: frozenset[str]
     hints: frozenset[str]
     linked: int
 
 
-@dataclass
+@dataclass(slots=True)
 class Element:
+    """An open element. tags, hints: its own and its ancestors'. block, scope: places of the innermost of these, itself included."""
+
     tag: str
-    hints: frozenset[str]
     unshown: bool
+    tags: frozenset[str]
+    hints: frozenset[str]
+    block: int
+    scope: int
+
+
+NOWHERE = Element("", False, frozenset(), frozenset(), -1, -1)
+
+
+class OpenElements:
+    """The elements that are open. No step takes longer the deeper they are, but for those that it closes."""
+
+    def __init__(self) -> None:
+        self.stack: list[Element] = []
+        self.places: dict[str, list[int]] = defaultdict(list)
+
+    @property
+    def top(self) -> Element:
+        return self.stack[-1] if self.stack else NOWHERE
+
+    def push(self, tag: str, hints: frozenset[str], unshown: bool) -> None:
+        up, n = self.top, len(self.stack)
+        tags = up.tags | {tag} if tag in _LAYOUT and tag not in up.tags else up.tags
+        self.places[tag].append(n)
+        self.stack.append(Element(tag, unshown or up.unshown, tags, up.hints if hints <= up.hints else up.hints | hints, n if tag in BLOCK_TAGS else up.block, n if tag in _SCOPE else up.scope))
+
+    def close(self, place: int) -> None:
+        while len(self.stack) > place:
+            self.places[self.stack.pop().tag].pop()
 
+    def innermost(self, tag: str) -> int:
+        return self.places[tag][-1] if self.places[tag] else -1
 
-def name_hints(attributes: str) -> frozenset[str]:
-    found = set()
-    for m in _NAMES.finditer(attributes):
-        found.update(_HINT_OF[w] for w in re.split(r"[^a-z]+", (m[1] or m[2] or m[3] or "").lower()) if w in _HINT_OF)
-    return frozenset(found)
+
+def attributes_of(raw: str) -> tuple[frozenset[str], bool]:
+    """(hints, hidden): what class, id and role names hint at, and whether the element is not shown."""
+    found, hidden = set(), False
+    for m in _ATTRIBUTE.finditer(raw):
+        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        if name in ("class", "id", "role"):
+            found.update(_HINT_OF[w] for w in re.split(r"[^a-z]+", value.lower()) if w in _HINT_OF)
+        hidden |= name == "hidden" or name == "style" and _NO_DISPLAY.search(value) is not None
+    return frozenset(found), hidden
+
+
+def markup(page: str) -> Iterator[tuple[str, str, str]]:
+    """(kind, name, rest) in page order: "text" with the raw text as rest, "start" and "end" tags with raw attributes as rest.
+
+    A tag ends with the first > outside the quotes of its values. After a tag whose quotes
+    never close, quotes are no longer looked at, so that a page is read once. What
+    begins like a tag after the last > is text. Raw text elements are skipped.
+    """
+    at, n, last, quotes = 0, len(page), page.rfind(">"), True
+
+    def tag_end(begin: int) -> int:
+        nonlocal quotes
+        at = begin
+        while quotes:
+            m = _STOP.search(page, at)
+            if m is None:
+                quotes = False
+            elif m[0] == ">":
+                return m.start()
+            elif page[max(begin, m.start() - 64) : m.start()].rstrip()[-1:] != "=":
+                at = m.end()
+            elif (close := page.find(m[0], m.end())) < 0:
+                quotes = False
+            else:
+                at = close + 1
+        return page.find(">", begin)
+
+    while m := _START.search(page, at):
+        if m.start() > last and not m[1] and not m[2]:
+            break
+        yield "text", "", page[at : m.start()]
+        if m[1] or m[2]:
+            mark = "-->" if m[1] else "]]>"
+            end = page.find(mark, m.end())
+            at = end + 3 if end >= 0 else n
+            continue
+        end = page.find(">", m.end()) if m[3] else tag_end(m.end())
+        at = end + 1
+        if m[3]:
+            continue
+        tag = m[5].lower()
+        yield ("end" if m[4] else "start"), tag, page[m.end() : end]
+        if tag in RAW_TAGS and not m[4]:
+            stop = re.compile(rf"</{re.escape(tag)}\s*>?", re.I).search(page, at)
+            at = stop.end() if stop else n
+    yield "text", "", page[at:]
 
 
 def leaf_blocks(page: str) -> list[Block]:
     """Leaf blocks in page order; character references are decoded, white space is one space, blank blocks are left out."""
-    open_: list[Element] = []
-    out: list[Block] = []
-    pieces: list[str] = []
-    linked, where = 0, None
+    open_, out, pieces = OpenElements(), [], []
+    linked, where = 0, NOWHERE
 
     def close_block() -> None:
         nonlocal linked, where
         text = _SPACE.sub(" ", "".join(pieces)).strip()
-        if text and where is not None:
-            out.append(Block(text, tuple(e.tag for e in where), frozenset().union(*(e.hints for e in where)), min(linked, len(text))))
+        if text:
+            out.append(Block(text, where.tag, where.tags, where.hints, min(linked, len(text))))
         pieces.clear()
-        linked, where = 0, None
-
-    def add(raw: str) -> None:
-        nonlocal linked, where
-        if raw and not (open_ and open_[-1].unshown):
-            text = entities.unescape(raw)
-            pieces.append(text)
-            if not text.isspace():
-                if where is None:
-                    where = list(open_)
-                if any(e.tag == "a" for e in open_):
-                    linked += len(text.strip())
-
-    at, n = 0, len(page)
-    while at < n:
-        m = _TAG.search(page, at)
-        if m is None:
-            add(page[at:])
-            break
-        add(page[at : m.start()])
-        at = m.end()
-        if m[2] is None:
-            continue
-        tag = m[2].lower()
-        if m[1]:
-            if tag in BLOCK_TAGS:
-                close_block()
-            for i in range(len(open_) - 1, -1, -1):
-                if open_[i].tag == tag:
-                    del open_[i:]
-                    break
+        linked, where = 0, NOWHERE
+
+    blank = True
+    for kind, tag, rest in markup(page):
+        if kind == "text":
+            if rest and not open_.top.unshown:
+                text = entities.unescape(rest)
+                pieces.append(text)
+                if not text.isspace():
+                    if blank:
+                        where, blank = open_.top, False
+                    if "a" in open_.top.tags:
+                        linked += len(text.strip())
             continue
         if tag in BLOCK_TAGS:
             close_block()
-            for i in range(len(open_) - 1, -1, -1):
-                if open_[i].tag == "p":
-                    del open_[i:]
-                    break
-                if open_[i].tag in BLOCK_TAGS:
-                    break
-        if tag in ENDS_ITSELF:
-            for i in range(len(open_) - 1, -1, -1):
-                if open_[i].tag == tag:
-                    del open_[i:]
-                    break
-                if open_[i].tag in ("ul", "ol", "dl", "table", "div", "article", "section", "body"):
-                    break
+            blank = True
+        if kind == "end":
+            if (place := open_.innermost(tag)) >= 0:
+                open_.close(place)
+            continue
+        if tag in BLOCK_TAGS and (place := open_.top.block) >= 0 and open_.stack[place].tag == "p":
+            open_.close(place)
+        if tag in ENDS_ITSELF and (place := open_.innermost(tag)) > open_.top.scope:
+            open_.close(place)
         if tag == "br":
             pieces.append(" ")
-        if tag in VOID_TAGS or (m[3] or "").endswith("/") and tag not in BLOCK_TAGS:
-            continue
-        attributes = m[3] or ""
-        unshown = tag in UNSHOWN_TAGS or bool(open_ and open_[-1].unshown) or bool(attributes and _HIDDEN.search(attributes))
-        if tag in RAW_TAGS:
-            end = re.compile(rf"</{re.escape(tag)}\s*>?", re.I).search(page, at)
-            at = end.end() if end else n
+        if tag in VOID_TAGS or tag in RAW_TAGS or rest.endswith("/") and tag not in BLOCK_TAGS:
             continue
-        open_.append(Element(tag, name_hints(attributes) if attributes and tag not in ("html", "body") else frozenset(), unshown))
+        hints, hidden = attributes_of(rest) if rest and tag not in ("html", "body") else (frozenset(), False)
+        open_.push(tag, hints, hidden or tag in UNSHOWN_TAGS)
     close_block()
     return out
 
 
 _NOTICE = re.compile(r"cookie|consent|privacy|newsletter|subscribe|sign up|log ?in|all rights reserved|copyright|©|terms of|javascript", re.I)
-_LAYOUT = ("nav", "aside", "footer", "header", "form", "article", "main", "li", "td", "blockquote", "figure", "figcaption", "pre", "h1", "h2", "h3", "p", "address", "label", "a", "dd", "dt", "section")
 
 
 def features(block: Block) -> list[str]:
-    tags, n = set(block.tags), len(block.text)
+    tags, n = block.tags, len(block.text)
     out = ["bias"] + [f"in:{t}" for t in _LAYOUT if t in tags] + [f"hint:{h}" for h in block.hints]
     inner = "article" in tags or "main" in tags
     if inner or "article" in block.hints:
         out.append("within")
         out += [f"within+{t}" for t in ("nav", "aside", "footer", "header", "form", "li") if t in tags] + [f"within+hint:{h}" for h in block.hints if h != "article"]
     else:
-        out += ["without", f"without+leaf:{block.tags[-1] if block.tags else ''}"]
+        out += ["without", f"without+leaf:{block.leaf}"]
     out.append(f"size:{min(9, n.bit_length())}")
     density = block.linked / n
     out.append("links:all" if density > 0.8 else "links:some" if density > 0.3 else "links:few")
     if block.text[-1] in ".!?…:;\"'”»)":
         out.append("ends")
-    if _NOTICE.search(block.text) and n < 300:
+    if n < 300 and _NOTICE.search(block.text):
         out.append("notice words")
     return out
 
