@@ -470,7 +470,7 @@ def routed(docs: DataFrame, rules: Windows) -> Routed:
     texts, layout, parts, _ = bucketed(docs, rules)
     bucket = lambda table: table.column("bucket")[0].as_py()
     keys = texts.groupBy("bucket").applyInArrow(lambda t: send_keys(load_texts(t, layout), bucket(t), rules, parts), KEY_SCHEMA)
-    hits = cut(keys.groupBy("part").applyInArrow(find_again, MAIL_SCHEMA))
+    hits = keys.groupBy("part").applyInArrow(find_again, MAIL_SCHEMA)
 
     def send(left: pa.Table, right: pa.Table) -> pa.Table:
         if left.num_rows == 0 or right.num_rows == 0:
