@@ -22,6 +22,8 @@ from ..errors import MetadataError, UnknownCodecError
 
 Coder = tuple[Callable[[bytes], bytes], Callable[[bytes], bytes]]
 
+#: Fixed value: what names of codecs taken over from the older format begin with.
+OLD_CODEC_PREFIX = "numcodecs."
 #: Fixed value: the reflected Castagnoli polynomial.
 CASTAGNOLI = 0x82F63B78
 
@@ -33,14 +35,38 @@ def _crc_table() -> np.ndarray:
     return table
 
 
-_CRC = _crc_table().tolist()
+_CRC = _crc_table()
+
+
+def _after_zeros(crc: np.ndarray, n: int) -> np.ndarray:
+    for _ in range(n):
+        crc = _CRC[crc & 0xFF] ^ (crc >> 8)
+    return crc
 
 
 def crc32c(data: bytes) -> int:
-    crc = 0xFFFFFFFF
-    for b in data:
-        crc = _CRC[(crc ^ b) & 0xFF] ^ (crc >> 8)
-    return crc ^ 0xFFFFFFFF
+    """The data as lanes of about the square root of its length, a byte of each at a time; lanes are then folded in pairs, as a
+    checksum register moves over zeros by a linear map of its bits."""
+    x = np.frombuffer(data, np.uint8)
+    size = 1 << (len(x).bit_length() // 2)
+    lanes = len(x) // size
+    state = 0xFFFFFFFF
+    for b in x[: len(x) - lanes * size].tolist():
+        state = int(_CRC[(state ^ b) & 0xFF]) ^ (state >> 8)
+    if not lanes:
+        return state ^ 0xFFFFFFFF
+    block, crc = x[len(x) - lanes * size :].reshape(lanes, size).T.copy(), np.zeros(lanes, np.uint32)
+    crc[0] = state
+    for row in block:
+        crc = _CRC[(crc ^ row) & 0xFF] ^ (crc >> 8)
+    bits = np.arange(32, dtype=np.uint32)
+    move = lambda by, v: np.bitwise_xor.reduce(np.where(v[:, None] >> bits & 1, by, 0), axis=1).astype(np.uint32)
+    by = _after_zeros(np.uint32(1) << bits, size)
+    while len(crc) > 1:
+        if len(crc) % 2:
+            crc = np.append(np.uint32(0), crc)
+        crc, by = move(by, crc[0::2]) ^ crc[1::2], move(by, by)
+    return int(crc[0]) ^ 0xFFFFFFFF
 
 
 def fletcher32(data: bytes) -> int:
@@ -50,14 +76,22 @@ def fletcher32(data: bytes) -> int:
     return b << 16 | a
 
 
-def with_checksum(of: Callable[[bytes], int]) -> Coder:
+def with_checksum(of: Callable[[bytes], int], location: str = "end") -> Coder:
+    """Four bytes before or after the data, checked and dropped on the way back."""
+    if location not in ("start", "end"):
+        raise MetadataError(f"a checksum stands at start or end, not {location!r}")
+
+    def add(data: bytes) -> bytes:
+        mark = struct.pack("<I", of(data) & 0xFFFFFFFF)
+        return mark + data if location == "start" else data + mark
+
     def check(data: bytes) -> bytes:
-        body, stored = data[:-4], struct.unpack("<I", data[-4:])[0]
-        if of(body) & 0xFFFFFFFF != stored:
+        body, stored = (data[4:], data[:4]) if location == "start" else (data[:-4], data[-4:])
+        if of(body) & 0xFFFFFFFF != struct.unpack("<I", stored)[0]:
             raise ValueError("the checksum doesn't match")
         return body
 
-    return lambda x: x + struct.pack("<I", of(x) & 0xFFFFFFFF), check
+    return add, check
 
 
 def shuffled(data: bytes, size: int) -> bytes:
@@ -77,18 +111,18 @@ def _arrow(name: str) -> Coder:
 
 
 CODECS: dict[str, Callable[..., Coder]] = {
-    "gzip": lambda level=5, **_: (lambda x: gzip.compress(x, level, mtime=0), gzip.decompress),
-    "zlib": lambda level=5, **_: (lambda x: zlib.compress(x, level), zlib.decompress),
-    "bz2": lambda level=9, **_: (lambda x: bz2.compress(x, level), bz2.decompress),
-    "lzma": lambda **_: (lzma.compress, lzma.decompress),
-    "zstd": lambda level=0, checksum=False, **_: (zstandard.ZstdCompressor(level=level, write_checksum=checksum).compress, lambda x: zstandard.ZstdDecompressor().decompressobj().decompress(x)),
-    "lz4": lambda **_: _arrow("lz4_raw"),
-    "snappy": lambda **_: _arrow("snappy"),
-    "crc32c": lambda **_: with_checksum(crc32c),
-    "crc32": lambda **_: with_checksum(zlib.crc32),
-    "adler32": lambda **_: with_checksum(zlib.adler32),
-    "fletcher32": lambda **_: with_checksum(fletcher32),
-    "shuffle": lambda elementsize=4, **_: (lambda x: shuffled(x, elementsize), lambda x: unshuffled(x, elementsize)),
+    "gzip": lambda level=5: (lambda x: gzip.compress(x, level, mtime=0), gzip.decompress),
+    "zlib": lambda level=5: (lambda x: zlib.compress(x, level), zlib.decompress),
+    "bz2": lambda level=9: (lambda x: bz2.compress(x, level), bz2.decompress),
+    "lzma": lambda format=1, check=-1, preset=None, filters=None: (lzma.compress, lzma.decompress),
+    "zstd": lambda level=0, checksum=False: (zstandard.ZstdCompressor(level=level, write_checksum=checksum).compress, lambda x: zstandard.ZstdDecompressor().decompressobj().decompress(x)),
+    "lz4": lambda acceleration=1: _arrow("lz4_raw"),
+    "snappy": lambda: _arrow("snappy"),
+    "crc32c": lambda location="end": with_checksum(crc32c, location),
+    "crc32": lambda location="start": with_checksum(zlib.crc32, location),
+    "adler32": lambda location="start": with_checksum(zlib.adler32, location),
+    "fletcher32": lambda: with_checksum(fletcher32),
+    "shuffle": lambda elementsize=4: (lambda x: shuffled(x, elementsize), lambda x: unshuffled(x, elementsize)),
 }
 
 
@@ -96,22 +130,81 @@ def register_codec(name: str, make: Callable[..., Coder]) -> None:
     CODECS[name] = make
 
 
+def plain_name(codec: dict[str, Any]) -> str:
+    """A codec goes by the same name whether it is taken over from the older format or not."""
+    return codec["name"].removeprefix(OLD_CODEC_PREFIX)
+
+
 def coder(codec: dict[str, Any]) -> Coder:
-    name = codec["name"]
+    name, conf = plain_name(codec), codec.get("configuration", {})
     if name not in CODECS:
-        raise UnknownCodecError(name)
-    return CODECS[name](**codec.get("configuration", {}))
+        raise UnknownCodecError(codec["name"])
+    try:
+        return CODECS[name](**conf)
+    except TypeError as error:
+        raise MetadataError(f"{codec['name']}: {error}") from None
+
+
+#: What each part of a chain turns into what: 0 array to array, 1 array to bytes; all others are bytes to bytes.
+KINDS = {"transpose": 0, "cast_value": 0, "scale_offset": 0, "delta": 0, "fixedscaleoffset": 0, "quantize": 0, "bitround": 0, "astype": 0, "bytes": 1, "vlen-utf8": 1, "vlen-bytes": 1, "sharding_indexed": 1}
 
 
 def split_chain(codecs: Sequence[dict[str, Any]]) -> tuple[list[dict], dict, list[dict]]:
     """(array to array, array to bytes, bytes to bytes) of a chain; any other order is an error."""
-    kinds = {"transpose": 0, "cast_value": 0, "scale_offset": 0, "bytes": 1, "vlen-utf8": 1, "vlen-bytes": 1, "sharding_indexed": 1}
-    ranks = [kinds.get(c["name"], 2) for c in codecs]
+    ranks = [KINDS.get(plain_name(c), 2) for c in codecs]
     if ranks != sorted(ranks) or ranks.count(1) != 1:
         raise MetadataError("a chain has array codecs, then one serializer, then byte codecs")
     return [c for c, r in zip(codecs, ranks, strict=True) if r == 0], codecs[ranks.index(1)], [c for c, r in zip(codecs, ranks, strict=True) if r == 2]
 
 
+# -- blocks to blocks --------------------------------------------------------------------
+
+
+def encode_array(block: np.ndarray, codec: dict[str, Any]) -> np.ndarray:
+    """What an array codec makes of a chunk's block."""
+    name, conf = plain_name(codec), codec.get("configuration", {})
+    if name == "transpose":
+        return block.transpose(conf["order"])
+    kind = encoded_type(block.dtype, codec)
+    if name == "scale_offset":
+        return ((block - block.dtype.type(conf.get("offset", 0))) * block.dtype.type(conf.get("scale", 1))).astype(kind)
+    if name == "delta":
+        return np.diff(block.reshape(-1), prepend=block.dtype.type(0)).astype(kind).reshape(block.shape)
+    if name == "fixedscaleoffset":
+        return np.around((block - conf["offset"]) * conf["scale"]).astype(kind)
+    if name == "quantize":
+        scale = 2.0 ** math.ceil(math.log2(10.0 ** conf["digits"]))
+        return (np.around(block * scale) / scale).astype(kind)
+    if name == "bitround":
+        return bit_rounded(block, conf["keepbits"])
+    if name == "astype":
+        return block.astype(kind)
+    raise NotImplementedError(f"{codec['name']} is a column expression here")
+
+
+def decode_array(block: np.ndarray, codec: dict[str, Any], dtype: np.dtype) -> np.ndarray:
+    """The block before an array codec, of the element type that it had."""
+    name, conf = plain_name(codec), codec.get("configuration", {})
+    if name == "transpose":
+        return block.transpose(np.argsort(conf["order"]))
+    if name == "scale_offset":
+        back = block / conf.get("scale", 1) if dtype.kind == "f" else block // np.asarray(conf.get("scale", 1), block.dtype)
+        return (back + conf.get("offset", 0)).astype(dtype)
+    if name == "delta":
+        return np.cumsum(block.reshape(-1), dtype=dtype).reshape(block.shape)
+    if name == "fixedscaleoffset":
+        return (block / conf["scale"] + conf["offset"]).astype(dtype)
+    return block.astype(dtype)
+
+
+def encoded_type(dtype: np.dtype, codec: dict[str, Any]) -> np.dtype:
+    """The element type that an array codec stores."""
+    name, conf = plain_name(codec), codec.get("configuration", {})
+    if name == "astype":
+        return np.dtype(conf["encode_dtype"])
+    return np.dtype(conf["astype"]) if name in ("delta", "fixedscaleoffset", "quantize") and conf.get("astype") else dtype
+
+
 def encode_bytes(data: bytes, codecs: Sequence[dict[str, Any]]) -> bytes:
     for c in codecs:
         data = coder(c)[0](data)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..errors import MetadataError
 from ..model import ArrayFrame
+from ..operators.levels import previous
 
 #: Least and greatest of the integer types.
 RANGES = {f"{s}int{b}": ((0, 2**b - 1) if s else (-(2 ** (b - 1)), 2 ** (b - 1) - 1)) for s in ("", "u") for b in (8, 16, 32, 64)}
@@ -53,7 +54,8 @@ def rounded(x: Column, mode: str) -> Column:
 
 
 def cast_value(x: Column, dtype: str, spark_type: str, rounding: str = "nearest-even", out_of_range: str | None = None, scalar_map: Sequence[tuple[Any, Any]] = (), floating: bool = True) -> Column:
-    """A cast that rounds, and outside of the target's range raises, clamps or wraps; listed values go to listed values first."""
+    """A cast that rounds, and outside of the target's range raises, clamps or wraps; listed values go to listed values first.
+    NaN raises, whatever the mode, unless it is listed."""
     low, high = RANGES[dtype]
     y = rounded(x, rounding) if floating else x
     if out_of_range == "clamp":
@@ -63,6 +65,8 @@ def cast_value(x: Column, dtype: str, spark_type: str, rounding: str = "nearest-
         y = F.pmod(y - low, F.lit(span)) + low
     else:
         y = F.when((y < low) | (y > high), F.raise_error(F.lit(f"a value is out of the range of {dtype}")).cast("double")).otherwise(y)
+    if floating:
+        y = F.when(F.isnan(x), F.raise_error(F.lit(f"NaN has no value in {dtype}")).cast("double")).otherwise(y)
     out = y.cast(spark_type)
     for source, target in reversed(list(scalar_map)):
         hit = F.isnan(x) if isinstance(source, float) and source != source else x == F.lit(source)
@@ -77,11 +81,12 @@ def delta_encoded(df: DataFrame, value: str, position: str, chunk: Sequence[Colu
 
 
 def delta_across(df: DataFrame, value: str, position: str, size: int, name: str = "delta") -> DataFrame:
-    """Differences along a whole axis with no one-task sort: within chunks by window, across their borders by a join of the last cells."""
+    """Differences along a whole axis with no one-task sort: within chunks by window, across their borders by the last cell of
+    the chunk before that has any."""
     c = F.call_function("div", F.col(position), F.lit(size).cast("long"))
     w = Window.partitionBy("__c").orderBy(position)
     df = df.withColumn("__c", c)
-    lasts = df.groupBy("__c").agg(F.max_by(value, position).alias("__last")).select((F.col("__c") + 1).alias("__c"), "__last")
+    lasts = previous(df.groupBy("__c").agg(F.max_by(value, position).alias("__own")), "__c", "__own", "__last").drop("__own")
     before = F.coalesce(F.lag(value).over(w), F.when(F.row_number().over(w) == 1, F.col("__last")), F.lit(0))
     return df.join(lasts, "__c", "left").withColumn(name, F.col(value) - before).drop("__c", "__last")
 

@@ -7,6 +7,7 @@ from dataclasses import dataclass, field, replace
 from typing import Any
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -113,7 +114,13 @@ def from_vectors(df: DataFrame, key: str, vector: str, shape: Sequence[int], chu
 
 def from_numpy(spark: SparkSession, a: np.ndarray, chunks: int | Sequence[int], **spec: Any) -> ArrayFrame:
     """An array of a NumPy array's cells, in C order."""
-    flat = spark.createDataFrame([(i, x.item()) for i, x in enumerate(a.reshape(-1))], f"i long, v {SPARK_TYPES.get(str(a.dtype), 'double')}")
+    kind = SPARK_TYPES.get(str(a.dtype), "double")
+    values = a.reshape(-1)
+    held = {"boolean": bool, "tinyint": np.int8, "smallint": np.int16, "int": np.int32, "bigint": np.int64, "float": np.float32, "double": np.float64}.get(kind)
+    if held is not None and a.dtype.kind in "biuf":  # as Arrow columns, no object per cell
+        flat = spark.createDataFrame(pa.table({"i": np.arange(values.size), "v": values.astype(held)}))
+    else:
+        flat = spark.createDataFrame([(i, x.item()) for i, x in enumerate(values)], f"i long, v {kind}")
     left, cols = F.col("i"), []
     for k in range(a.ndim - 1, -1, -1):
         cols.insert(0, F.pmod(left, F.lit(a.shape[k]).cast("long")).alias(f"d{k}"))

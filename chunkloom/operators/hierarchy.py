@@ -118,8 +118,11 @@ class Catalog:
         named = nodes.select("path").distinct()
         old = self.nodes
         if overwrite:
-            below = old["path"].startswith(F.concat(named["path"], F.lit("/"))) | (old["path"] == named["path"])
-            old = old.join(F.broadcast(named), below, "left_anti")
+            # a node goes if it, or a group that it stands in, is named: equal paths meet, no pair of prefixes is tried
+            parts = F.split("path", "/")
+            ups = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
+            gone = old.select("path", F.explode(ups).alias("up")).join(named.select(F.col("path").alias("up")), "up", "left_semi").select("path").distinct()
+            old = old.join(gone, "path", "left_anti")
         else:
             clash = old.join(named, "path", "left_semi").first()
             if clash is not None:

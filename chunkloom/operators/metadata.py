@@ -15,13 +15,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import MetadataError
+from ..functions.bytecodecs import OLD_CODEC_PREFIX
 from ..grid import FixedAxis, Grid, VaryingAxis, compress_runs, expand_runs
 from ..model import ITEM_SIZES, SPARK_TYPES, ArraySpec
 
-#: Fixed values of the stored format: the key of its version, names of its document files, the prefix of codecs taken over from the older version.
+#: Fixed values of the stored format: the key of its version, names of its document files.
 FORMAT_KEY = "zarr_format"
 DOCUMENT, OLD_DOCUMENTS = "zarr.json", (".zarray", ".zgroup", ".zattrs")
-OLD_CODEC_PREFIX = "numcodecs."
 #: Keys of array and group documents of the newer format and the older one.
 ARRAY_KEYS = (FORMAT_KEY, "node_type", "shape", "data_type", "chunk_grid", "chunk_key_encoding", "fill_value", "codecs")
 ARRAY_EXTRA = ("attributes", "storage_transformers", "dimension_names")

@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..grid import FixedAxis, Grid
+from .levels import running_sum
 from .selection import expand_ellipsis, is_integer, normalized_index, slice_bounds
 
 
@@ -64,12 +65,16 @@ def coverage(cells: DataFrame, dim: str, size: int, extent: int, origin: int) ->
 
 
 def coordinate_groups(points: DataFrame, dims: Sequence[str], sizes: Sequence[int]) -> DataFrame:
-    """How many points fall into each chunk, and the running count: points are counted before anything is ordered."""
-    chunk = [F.call_function("div", F.col(d), F.lit(n).cast("long")).alias(f"c{k}") for k, (d, n) in enumerate(zip(dims, sizes, strict=True))]
+    """How many points fall into each chunk, and the running count: points are counted before anything is ordered, and
+    chunks are ordered within cells of their flat numbers."""
+    names = [f"c{k}" for k in range(len(dims))]
+    chunk = [F.call_function("div", F.col(d), F.lit(n).cast("long")).alias(c) for d, n, c in zip(dims, sizes, names, strict=True)]
     counts = points.groupBy(*chunk).agg(F.count(F.lit(1)).alias("nitems"))
-    # a row per chunk, not per point
-    along = Window.orderBy(*(f"c{k}" for k in range(len(dims)))).rowsBetween(Window.unboundedPreceding, 0)
-    return counts.withColumn("cumsum", F.sum("nitems").over(along))
+    last = counts.agg(*(F.coalesce(F.max(c), F.lit(0)).alias(c) for c in names)).first()
+    flat = F.lit(0).cast("long")
+    for c in names:
+        flat = flat * F.lit(last[c] + 1).cast("long") + F.col(c)
+    return running_sum(counts.withColumn("__flat", flat), "__flat", "nitems", "cumsum").select(*names, "nitems", "cumsum")
 
 
 def accessed_chunks(cells: DataFrame, dims: Sequence[str], sizes: Sequence[int]) -> DataFrame:

@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 from typing import Any
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import ArrayError, ChunkNotFoundError, SelectionError
 from ..grid import Grid
 from ..model import ArrayFrame
-from .selection import basic, expand_ellipsis, is_integer, normalized_index, slice_bounds
+from .selection import block_slices, entries, expand_ellipsis, is_bool_array, is_int_array, is_integer, normalized_index, orthogonal, slice_bounds
 
 
 def domain(a: ArrayFrame) -> DataFrame:
@@ -43,7 +44,7 @@ def is_fill(value: Column, fill: Any) -> Column:
 
 
 def condition(a: ArrayFrame, selection: Any) -> Column:
-    """True for the cells that a selection of integers and slices holds."""
+    """True for the cells that a selection of integers, slices, lists and masks, one per axis, holds: their outer product."""
     out = F.lit(True)
     for d, n, x in zip(a.dims, a.shape, expand_ellipsis(selection, a.spec.ndim), strict=True):
         if is_integer(x):
@@ -52,29 +53,50 @@ def condition(a: ArrayFrame, selection: Any) -> Column:
             start, stop, step = slice_bounds(x, n)
             if (start, stop, step) != (0, n, 1):
                 out = out & (F.col(d) >= start) & (F.col(d) < stop) & (((F.col(d) - start) % step) == 0)
+        elif is_bool_array(x) or is_int_array(x):
+            out = out & F.col(d).isin(listed(x, n))
         else:
-            raise SelectionError(f"{x!r} is no integer or slice")
+            raise SelectionError(f"{x!r} selects nothing of an axis")
     return out
 
 
+def listed(x: Any, n: int) -> list[int]:
+    """The indices that a list or a mask names, in its order."""
+    if is_bool_array(x):
+        if len(x) != n:
+            raise SelectionError(f"a mask of {len(x)} for an axis of {n}")
+        return np.flatnonzero(np.asarray(x)).tolist()
+    return [normalized_index(int(v), n) for v in np.asarray(x).reshape(-1)]
+
+
 def assign(a: ArrayFrame, where: Any | Column, value: Any) -> ArrayFrame:
-    """a[where] = value: a condition or a selection of integers and slices; the value a scalar, or an array of the selection's shape."""
+    """a[where] = value: a condition or a selection of integers, slices, lists and masks; the value a scalar, or an array of
+    the selection's shape. Where a list names an index twice, the later value stays."""
     hit = where if isinstance(where, Column) else condition(a, where)
     name = a.values[0]
     kind = dict(a.cells.dtypes)[name]
     if not isinstance(value, ArrayFrame):
         return a.replaced(a.cells.withColumn(name, F.when(hit, F.lit(value).cast(kind)).otherwise(F.col(name))))
-    target = basic(a, where)
+    target = orthogonal(a, where)
     if target.shape != value.shape:
         raise ArrayError(f"a value of {value.shape} for a selection of {target.shape}")
-    moved, axes = [], iter(value.dims)
+    moved, axes, cells = [], iter(value.dims), value.cells
     for d, n, x in zip(a.dims, a.shape, expand_ellipsis(where, a.spec.ndim), strict=True):
         if is_integer(x):
             moved.append(F.lit(normalized_index(x, n)).cast("long").alias(d))
+        elif not isinstance(x, slice):
+            axis, last = next(axes), {v: i for i, v in enumerate(listed(x, n))}
+            cells = cells.join(entries(a, [(i, v) for v, i in last.items()], f"{axis} long, __to_{d} long"), axis)
+            moved.append(F.col(f"__to_{d}").alias(d))
         else:
             start, _, step = slice_bounds(x, n)
             moved.append((F.col(next(axes)) * step + start).alias(d))
-    return overlaid(a, value.cells.select(*moved, F.col(value.values[0]).alias("__new")))
+    return overlaid(a, cells.select(*moved, F.col(value.values[0]).alias("__new")))
+
+
+def assign_blocks(a: ArrayFrame, selection: Any, value: Any) -> ArrayFrame:
+    """a.blocks[selection] = value, the selection in units of chunks."""
+    return assign(a, block_slices(a.spec.grid, selection), value)
 
 
 def assign_points(a: ArrayFrame, points: DataFrame, order: str = "ord", value: str = "nv") -> ArrayFrame:

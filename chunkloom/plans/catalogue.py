@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import cellcodecs
-from ..grid import FixedAxis, Grid, VaryingAxis, chunk_key_column, morton_code
+from ..grid import FixedAxis, Grid, VaryingAxis, chunk_key_column, morton_code, shard_sizes
 from ..model import ArrayFrame, from_vectors
-from ..operators import hierarchy, planning, selection, writing
-from ..sources import store
+from ..operators import hierarchy, metadata, planning, selection, writing
+from ..sources import chunkfiles, store
+from ..sources.chunkfiles import shared_folder
 from . import lazy
 from .oracles import ORACLES
 
@@ -123,10 +125,7 @@ def idx_mask_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def idx_block_1d(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = events(spark, sf_dir)
-    if a.spec.grid.n_chunks <= 2:  # the smallest table has no third block
-        return selection.basic(a, slice(0, 0)).cells
-    return selection.blocks(a, 2).cells
+    return selection.blocks(events(spark, sf_dir), slice(2, 3)).cells
 
 
 @query
@@ -134,6 +133,25 @@ def idx_block_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
     return selection.blocks(vectors(spark, sf_dir), (slice(1, 3), 1)).cells
 
 
+@query
+def idx_oindex_bool_axis_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = vectors(spark, sf_dir)
+    return selection.orthogonal(a, (slice(0, 20), [d % 3 == 0 for d in range(a.shape[1])])).cells
+
+
+@query
+def idx_vindex_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points from a table of any size: each line item looks its order's price up."""
+    points = table(spark, sf_dir, "lineitem").select(F.col("l_linenumber").cast("long").alias("o"), F.col("l_orderkey").alias("d0"))
+    return selection.coordinates(orders(spark, sf_dir), points)
+
+
+@query
+def idx_zero_axes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    top = table(spark, sf_dir, "events").agg(F.max("value").alias("v"))
+    return selection.basic(ArrayFrame.of(top, [], []), ()).cells
+
+
 @query
 def idx_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = table(spark, sf_dir, "orders")
@@ -171,8 +189,9 @@ def grid_regular_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def grid_rectilinear_locate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = table(spark, sf_dir, "events").filter("event_id < 1000")
-    axis = VaryingAxis((100, 200, 700), 1000)
+    df = table(spark, sf_dir, "events")
+    n = df.count()
+    axis = VaryingAxis((100, 200, n - 300), n)
     return df.groupBy(axis.chunk_of(F.col("event_id")).alias("c0")).agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first_id"))
 
 
@@ -185,10 +204,36 @@ def grid_chunk_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def grid_morton_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = Grid.of([4, 4], 1).frame(spark).select(F.col("c0").alias("x"), F.col("c1").alias("y"))
+    df = table(spark, sf_dir, "supplier").select((F.col("s_suppkey") % 4).alias("x"), (F.col("s_nationkey") % 4).cast("long").alias("y")).distinct()
     return df.withColumn("z", morton_code([F.col("x"), F.col("y")], [4, 4]))
 
 
+@query
+def grid_iterate_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors(spark, sf_dir).spec.grid.frame(spark).select("c0", "c1", "offset0", "offset1", "data0", "data1")
+
+
+@query
+def grid_rectilinear_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = table(spark, sf_dir, "events").count()
+    df = Grid((VaryingAxis((100, 200, n - 300), n),)).frame(spark)
+    return df.select("c0", F.col("offset0").alias("start"), (F.col("offset0") + F.col("data0")).alias("stop"))
+
+
+@query
+def grid_shard_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = vectors(spark, sf_dir)
+    shards = shard_sizes(a.shape, (25, 8), (100, 16))
+    grid = Grid.of(a.shape, shards).frame(spark)
+    return grid.select("c0", "c1", chunk_key_column([F.col("c0"), F.col("c1")]).alias("key"))
+
+
+@query
+def plan_projection_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = vectors(spark, sf_dir)
+    return planning.chunk_projections(spark, a.spec.grid, (slice(50, 150), slice(8, 40))).select("c0", "c1", "is_complete")
+
+
 @query
 def util_rle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.runs(table(spark, sf_dir, "customer"), "c_custkey", "c_nationkey").select("first_i", F.col("size").cast("int").alias("size"), "cnt")
@@ -231,6 +276,66 @@ def arr_setitem_coords_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return writing.assign_points(events(spark, sf_dir), points).cells.select("d0", F.col("value").alias("v"))
 
 
+@query
+def arr_setitem_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return writing.assign(events(spark, sf_dir), ([3, 99, 7],), -5.0).cells.select("d0", F.col("value").alias("v"))
+
+
+@query
+def arr_setitem_orthogonal_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = vectors(spark, sf_dir)
+    patch = selection.orthogonal(a, ([9, 8], slice(0, 4)))
+    return writing.assign(a, ([1, 2], slice(10, 14)), patch).cells
+
+
+@query
+def arr_setitem_block(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return writing.assign_blocks(events(spark, sf_dir), 0, 0.5).cells.select("d0", F.col("value").alias("v"))
+
+
+@query
+def arr_describe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    facts = writing.describe(events(spark, sf_dir))
+    return spark.createDataFrame([(facts["size"], facts["nbytes"], facts["nchunks"])], "size long, nbytes long, nchunks long")
+
+
+@query
+def arr_metadata_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The spec through its document and back."""
+    spec = metadata.spec_from_document(metadata.document_from_spec(vectors(spark, sf_dir).spec))
+    return spec.grid.frame(spark).select("c0", "c1", F.col("size0").alias("rows"), F.col("size1").alias("columns"))
+
+
+def stored(spark: SparkSession, a: ArrayFrame, *codecs: dict) -> ArrayFrame:
+    """The array written to files in a folder that all executors share, and opened there."""
+    folder = f"{shared_folder(spark)}/array-{uuid.uuid4().hex}"
+    chunkfiles.write_files(a, folder, codecs)
+    return chunkfiles.read_files(spark, folder)
+
+
+@query
+def store_files_gzip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = stored(spark, events(spark, sf_dir), {"name": "bytes", "configuration": {"endian": "big"}}, {"name": "gzip", "configuration": {"level": 1}}, {"name": "crc32c"})
+    return a.cells.select("d0", "v")
+
+
+@query
+def store_files_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shards of 100 x 16 with inner chunks of 25 x 8; a slice reads some inner chunks of some shards."""
+    inner = [{"name": "bytes", "configuration": {"endian": "little"}}, {"name": "zstd"}]
+    a = stored(spark, vectors(spark, sf_dir), {"name": "sharding_indexed", "configuration": {"chunk_shape": [25, 8], "codecs": inner, "index_codecs": [inner[0], {"name": "crc32c"}]}})
+    return selection.select(a, (slice(30, 60), slice(5, 20))).cells
+
+
+@query
+def store_files_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Array codecs before the serializer: differences, and their transpose."""
+    a = vectors(spark, sf_dir)
+    keys = a.cells.select("d0", "d1", (F.col("d0") * 64 + F.col("d1")).alias("v"))
+    chain = [{"name": "transpose", "configuration": {"order": [1, 0]}}, {"name": "numcodecs.delta", "configuration": {"dtype": "<i8"}}, {"name": "bytes", "configuration": {"endian": "little"}}, {"name": "numcodecs.zlib", "configuration": {"level": 1}}]
+    return stored(spark, ArrayFrame.of(keys, a.shape, [100, 16], dtype="int64"), *chain).cells
+
+
 @query
 def arr_resize_shrink(spark: SparkSession, sf_dir: str) -> DataFrame:
     return writing.resized(events(spark, sf_dir), [777]).cells.select("d0", F.col("value").alias("v"))
@@ -292,6 +397,30 @@ def codec_fixedscaleoffset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select(F.col("event_id").alias("d0"), cellcodecs.fixed_scale_offset(F.col("value"), 100, 10, "long").alias("enc"))
 
 
+@query
+def codec_quantize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select(F.col("event_id").alias("d0"), cellcodecs.quantized(F.col("value"), 2).alias("v"))
+
+
+@query
+def codec_packbits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = table(spark, sf_dir, "events").select("event_id", (F.col("event_type") == "error").alias("bit"))
+    return cellcodecs.packed_bits(df, "bit", "event_id")
+
+
+@query
+def codec_delta_sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Differences along an axis of which most chunks hold no cell."""
+    df = table(spark, sf_dir, "orders").filter("o_orderkey % 97 = 0").select(F.col("o_orderkey").alias("d0"), "o_custkey")
+    return cellcodecs.delta_across(df, "o_custkey", "d0", 10).select("d0", F.col("delta").cast("long").alias("delta"))
+
+
+@query
+def codec_fixedscaleoffset_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = table(spark, sf_dir, "orders")
+    return df.select(F.col("o_orderkey").alias("d0"), cellcodecs.fixed_scale_offset_decoded(F.col("o_orderkey"), 4.0, 10.0).alias("v"))
+
+
 # -- hierarchies --------------------------------------------------------------------------------------
 
 
@@ -310,6 +439,44 @@ def hier_nmembers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nations(spark, sf_dir).n_members().filter("path <> ''")
 
 
+@query
+def hier_children(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nations(spark, sf_dir).members("ASIA", max_depth=0).select("path", "parent", F.col("depth").cast("long").alias("depth"))
+
+
+@query
+def hier_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nations(spark, sf_dir).groups().select("path")
+
+
+@query
+def hier_deleted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nations(spark, sf_dir).deleted("ASIA").arrays().select("path")
+
+
+@query
+def hier_overwritten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A group is replaced by an array of its name, and all below it goes."""
+    return nations(spark, sf_dir).put("ASIA", "array", {}, overwrite=True).nodes.select("path", F.col("node_type").alias("kind"))
+
+
+@query
+def hier_consolidated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nations(spark, sf_dir).consolidated("EUROPE").select(F.explode("metadata").alias("path", "meta"))
+
+
+@query
+def hier_migrated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of the older format as newer ones: shape, chunks, codecs."""
+    doc = '{"zarr_format": 2, "shape": [%d], "chunks": [%d], "dtype": "<i4", "fill_value": 0, "order": "C", "filters": [{"id": "delta", "dtype": "<i4"}], "compressor": {"id": "zlib", "level": 1}}'
+    old = table(spark, sf_dir, "nation").select(F.col("n_name").alias("path"), F.format_string(doc, F.col("n_nationkey") + 1, F.col("n_regionkey") + 1).alias("meta"))
+    at = lambda path: F.get_json_object("meta", path)
+    return metadata.migrated_catalog(old).select(
+        "path", at("$.shape[0]").cast("long").alias("extent"), at("$.chunk_grid.configuration.chunk_shape[0]").cast("long").alias("chunk"),
+        F.concat_ws(",", at("$.codecs[0].name"), at("$.codecs[1].name"), at("$.codecs[2].name")).alias("codecs"),
+    )
+
+
 # -- stores ---------------------------------------------------------------------------------------------
 
 
@@ -320,8 +487,22 @@ def store_list_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def store_getsize_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = table(spark, sf_dir, "documents")
-    return df.groupBy(F.col("source").alias("prefix")).agg(F.sum(F.octet_length("text")).cast("long").alias("nbytes"))
+    df = table(spark, sf_dir, "documents").select(F.concat("source", F.lit("/"), "doc_id").alias("key"), F.encode("text", "UTF-8").alias("value"))
+    return store.TableStore(df).size_by_name().withColumnRenamed("name", "prefix")
+
+
+@query
+def store_get_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Byte ranges of many values at once, keys and ranges from a table."""
+    df = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("key"), F.encode("text", "UTF-8").alias("value"))
+    wanted = df.select("key", F.lit(2).cast("int").alias("start"), F.lit(9).cast("int").alias("stop"))
+    return store.TableStore(df).get_many(wanted).select("key", F.hex("value").alias("bytes"))
+
+
+@query
+def store_list_dir(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = table(spark, sf_dir, "documents").select(F.concat("source", F.lit("/"), "doc_id").alias("key"), F.lit(None).cast("binary").alias("value"))
+    return store.TableStore(df).list_dir()
 
 
 @query
@@ -362,5 +543,14 @@ def lazy_literal_strided(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def lazy_bounding_box(spark: SparkSession, sf_dir: str) -> DataFrame:
-    points = spark.createDataFrame([(90,), (3,), (3,)], "d0 long")
-    return lazy.bounding_box(points, ["d0"])
+    return lazy.bounding_box(table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("d0")), ["d0"])
+
+
+@query
+def lazy_oindex(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lazy.LazyArray(vectors(spark, sf_dir))[10:90].oindex(([4, 0, 4], slice(0, 64, 16))).result().cells
+
+
+@query
+def lazy_vindex(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lazy.LazyArray(vectors(spark, sf_dir)).vindex([5, 99, 5], [0, 63, 0]).result().cells

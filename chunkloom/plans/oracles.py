@@ -38,11 +38,11 @@ ORACLES: dict[str, str] = {
     # S3.1
     "grid_regular_chunks": 'WITH g AS (SELECT unnest(range(0,CAST(ceil((SELECT count(*) FROM events)/700.0) AS BIGINT))) AS c0) SELECT c0, c0*700 AS chunk_offset, 700 AS chunk_size, least(700,(SELECT count(*) FROM events)-c0*700) AS data_size FROM g',
     # S3.2
-    "grid_rectilinear_locate": 'WITH e(c0,lo,hi) AS (VALUES (0,0,100),(1,100,300),(2,300,1000)) SELECT CAST(c0 AS BIGINT) AS c0, count(*) AS n, min(event_id) AS first_id FROM events JOIN e ON event_id>=lo AND event_id<hi GROUP BY c0',
+    "grid_rectilinear_locate": 'SELECT CAST(CASE WHEN event_id<100 THEN 0 WHEN event_id<300 THEN 1 ELSE 2 END AS BIGINT) AS c0, count(*) AS n, min(event_id) AS first_id FROM events GROUP BY 1',
     # S3.8
     "grid_chunk_keys": "WITH m AS (SELECT DISTINCT vec_id//100 AS c0, (generate_subscripts(embedding,1)-1)//16 AS c1 FROM embeddings) SELECT c0, c1, 'c/'||c0||'/'||c1 AS key_default, c0||'.'||c1 AS key_v2 FROM m",
     # S3.6
-    "grid_morton_order": 'WITH g AS (SELECT a.i AS x,b.i AS y FROM range(0,4) a(i), range(0,4) b(i)) SELECT x,y,((x&1) | ((y&1)<<1) | ((x&2)<<1) | ((y&2)<<2)) AS z FROM g',
+    "grid_morton_order": 'WITH g AS (SELECT DISTINCT s_suppkey%4 AS x, CAST(s_nationkey%4 AS BIGINT) AS y FROM supplier) SELECT x,y,((x&1) | ((y&1)<<1) | ((x&2)<<1) | ((y&2)<<2)) AS z FROM g',
     # S4.1
     "arr_fill_missing": "SELECT o.o_orderkey AS d0, coalesce(e.value,0.0) AS v FROM orders o LEFT JOIN (SELECT * FROM events WHERE event_type='error') e ON e.event_id=o.o_orderkey",
     # S4.14
@@ -94,7 +94,65 @@ ORACLES: dict[str, str] = {
     # S8.1
     "lazy_literal_strided": 'SELECT event_id//2 AS coord, value FROM events WHERE event_id>=5 AND event_id<11 AND (event_id-5)%2=0',
     # S8.6
-    "lazy_bounding_box": 'WITH s(d0) AS (VALUES (90),(3),(3)) SELECT CAST(min(d0) AS BIGINT) AS lo, CAST(max(d0)+1 AS BIGINT) AS hi FROM s',
+    "lazy_bounding_box": 'SELECT CAST(min(l_partkey) AS BIGINT) AS lo, CAST(max(l_partkey)+1 AS BIGINT) AS hi FROM lineitem',
     # S3.4
     "util_rle": 'WITH x AS (SELECT c_custkey AS i, c_nationkey AS v FROM customer), f AS (SELECT i,v,CASE WHEN v=lag(v) OVER (ORDER BY i) THEN 0 ELSE 1 END AS nw FROM x), g AS (SELECT i,v,sum(nw) OVER (ORDER BY i) AS gid FROM f) SELECT min(i) AS first_i, min(v) AS size, count(*) AS cnt FROM g GROUP BY gid',
+    # S2.6
+    "grid_iterate_2d": 'WITH n AS (SELECT count(*) AS n FROM embeddings), g AS (SELECT a.c0, b.c1 FROM n, LATERAL (SELECT unnest(range(0,(n.n+99)//100)) AS c0) a, (SELECT unnest(range(0,4)) AS c1) b) SELECT c0, c1, c0*100 AS offset0, c1*16 AS offset1, least(100,(SELECT n FROM n)-c0*100) AS data0, CAST(16 AS BIGINT) AS data1 FROM g',
+    # S2.7
+    "grid_rectilinear_regions": 'WITH n AS (SELECT count(*) AS n FROM events), e AS (SELECT 0 AS c0, 0 AS start, 100 AS stop UNION ALL SELECT 1,100,300 UNION ALL SELECT 2,300,n FROM n) SELECT CAST(c0 AS BIGINT) AS c0, CAST(start AS BIGINT) AS start, CAST(stop AS BIGINT) AS stop FROM e',
+    # S2.8,S3.7
+    "grid_shard_keys": "WITH n AS (SELECT count(*) AS n FROM embeddings), g AS (SELECT a.c0, b.c1 FROM n, LATERAL (SELECT unnest(range(0,(n.n+99)//100)) AS c0) a, (SELECT unnest(range(0,4)) AS c1) b) SELECT c0, c1, 'c/'||c0||'/'||c1 AS key FROM g",
+    # S2.3
+    "plan_projection_2d": 'WITH n AS (SELECT count(*) AS n FROM embeddings), g AS (SELECT a.c0, b.c1 FROM n, LATERAL (SELECT unnest(range(0,(n.n+99)//100)) AS c0) a, (SELECT unnest(range(0,4)) AS c1) b) SELECT c0, c1, (c0*100>=50 AND least((c0+1)*100,(SELECT n FROM n))<=150 AND c1*16>=8 AND (c1+1)*16<=40) AS is_complete FROM g WHERE c0<2 AND c1<3',
+    # S1.5
+    "idx_oindex_bool_axis_2d": 'WITH m AS (SELECT vec_id AS d0, generate_subscripts(embedding,1)-1 AS d1, unnest(embedding) AS v FROM embeddings) SELECT d0 AS o0, CAST(d1//3 AS BIGINT) AS o1, v FROM m WHERE d0<20 AND d1%3=0',
+    # S1.12
+    "idx_vindex_frame": 'SELECT CAST(l_linenumber AS BIGINT) AS o, o_totalprice AS v FROM lineitem JOIN orders ON o_orderkey=l_orderkey',
+    # S1.10
+    "idx_zero_axes": 'SELECT max(value) AS v FROM events',
+    # S4.2
+    "arr_setitem_list": 'SELECT event_id AS d0, CASE WHEN event_id IN (3,99,7) THEN -5.0 ELSE value END AS v FROM events',
+    # S4.2
+    "arr_setitem_orthogonal_array": 'WITH m AS (SELECT vec_id AS d0, generate_subscripts(embedding,1)-1 AS d1, unnest(embedding) AS v FROM embeddings) SELECT m.d0, CAST(m.d1 AS BIGINT) AS d1, coalesce(p.v,m.v) AS v FROM m LEFT JOIN m p ON m.d0 IN (1,2) AND m.d1 BETWEEN 10 AND 13 AND p.d0=10-m.d0 AND p.d1=m.d1-10',
+    # S4.2,S1.8
+    "arr_setitem_block": 'SELECT event_id AS d0, CASE WHEN event_id<700 THEN 0.5 ELSE value END AS v FROM events',
+    # S4.16
+    "arr_describe": 'SELECT count(*) AS size, 8*count(*) AS nbytes, (count(*)+699)//700 AS nchunks FROM events',
+    # S9.1
+    "arr_metadata_round_trip": 'WITH n AS (SELECT count(*) AS n FROM embeddings), g AS (SELECT a.c0, b.c1 FROM n, LATERAL (SELECT unnest(range(0,(n.n+99)//100)) AS c0) a, (SELECT unnest(range(0,4)) AS c1) b) SELECT c0, c1, CAST(100 AS BIGINT) AS rows, CAST(16 AS BIGINT) AS columns FROM g',
+    # S4.5,S4.10,S5.4,S5.11,S5.13
+    "store_files_gzip": 'SELECT event_id AS d0, value AS v FROM events',
+    # S5.8,S5.12
+    "store_files_shards": 'WITH m AS (SELECT vec_id AS d0, generate_subscripts(embedding,1)-1 AS d1, unnest(embedding) AS v FROM embeddings) SELECT d0-30 AS o0, CAST(d1-5 AS BIGINT) AS o1, v FROM m WHERE d0>=30 AND d0<60 AND d1>=5 AND d1<20',
+    # S5.1,S5.3,S5.22
+    "store_files_filters": 'WITH m AS (SELECT vec_id AS d0, generate_subscripts(embedding,1)-1 AS d1, unnest(embedding) AS v FROM embeddings) SELECT d0, CAST(d1 AS BIGINT) AS d1, d0*64+d1 AS v FROM m',
+    # S5.17
+    "codec_quantize": 'SELECT event_id AS d0, round_even(value*128,0)/128 AS v FROM events',
+    # S5.20
+    "codec_packbits": "SELECT event_id//8 AS byte, CAST(sum(CASE WHEN event_type='error' THEN 1<<(7-CAST(event_id%8 AS INTEGER)) ELSE 0 END) AS SMALLINT) AS bits FROM events GROUP BY 1",
+    # S5.16
+    "codec_delta_sparse": 'SELECT o_orderkey AS d0, o_custkey - coalesce(lag(o_custkey) OVER (ORDER BY o_orderkey),0) AS delta FROM orders WHERE o_orderkey%97=0',
+    # S5.18
+    "codec_fixedscaleoffset_decode": 'SELECT o_orderkey AS d0, o_orderkey/4.0+10.0 AS v FROM orders',
+    # S7.2
+    "hier_children": "WITH n AS (SELECT r_name, r_name||'/'||n_name AS path FROM nation JOIN region ON n_regionkey=r_regionkey) SELECT path, 'ASIA' AS parent, CAST(2 AS BIGINT) AS depth FROM n WHERE r_name='ASIA'",
+    # S7.1,S7.3
+    "hier_groups": "WITH n AS (SELECT r_name, r_name||'/'||n_name AS path FROM nation JOIN region ON n_regionkey=r_regionkey) SELECT DISTINCT r_name AS path FROM n",
+    # S7.4
+    "hier_deleted": "WITH n AS (SELECT r_name, r_name||'/'||n_name AS path FROM nation JOIN region ON n_regionkey=r_regionkey) SELECT path FROM n WHERE r_name<>'ASIA'",
+    # S7.5,S7.6
+    "hier_overwritten": "WITH n AS (SELECT r_name, r_name||'/'||n_name AS path FROM nation JOIN region ON n_regionkey=r_regionkey) SELECT path,'array' AS kind FROM n WHERE r_name<>'ASIA' UNION ALL SELECT DISTINCT r_name,'group' FROM n WHERE r_name<>'ASIA' UNION ALL SELECT 'ASIA','array' UNION ALL SELECT '','group'",
+    # S7.8
+    "hier_consolidated": "WITH n AS (SELECT r_name, r_name||'/'||n_name AS path FROM nation JOIN region ON n_regionkey=r_regionkey) SELECT path, '{}' AS meta FROM n WHERE r_name='EUROPE'",
+    # S11.1
+    "hier_migrated": "SELECT n_name AS path, CAST(n_nationkey+1 AS BIGINT) AS extent, CAST(n_regionkey+1 AS BIGINT) AS chunk, 'numcodecs.delta,bytes,numcodecs.zlib' AS codecs FROM nation",
+    # S6.2
+    "store_get_many": 'SELECT CAST(doc_id AS VARCHAR) AS key, left(substr(hex(encode(text)),5),14) AS bytes FROM documents WHERE text IS NOT NULL',
+    # S6.1
+    "store_list_dir": 'SELECT DISTINCT source AS name FROM documents',
+    # S8.2,S8.4
+    "lazy_oindex": 'WITH m AS (SELECT vec_id AS d0, generate_subscripts(embedding,1)-1 AS d1, unnest(embedding) AS v FROM embeddings) , r(o0,d0) AS (VALUES (0,14),(1,10),(2,14)) SELECT CAST(o0 AS BIGINT) AS o0, CAST(d1//16 AS BIGINT) AS o1, v FROM m JOIN r USING (d0) WHERE d1%16=0',
+    # S8.4
+    "lazy_vindex": 'WITH m AS (SELECT vec_id AS d0, generate_subscripts(embedding,1)-1 AS d1, unnest(embedding) AS v FROM embeddings) , s(o0,d0,d1) AS (VALUES (0,5,0),(1,99,63),(2,5,0)) SELECT CAST(o0 AS BIGINT) AS o0, v FROM s JOIN m USING (d0,d1)',
 }

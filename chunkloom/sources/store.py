@@ -12,6 +12,8 @@ from collections.abc import Iterator, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.levels import CELLS, absorbed, celled
+
 #: Bytes between two ranges that are read anyway, and of a merged range at most.
 MAX_GAP, MAX_MERGED = 1 << 20, 16 << 20
 
@@ -19,30 +21,27 @@ MAX_GAP, MAX_MERGED = 1 << 20, 16 << 20
 def byte_range(value: Column, start: int | None = None, stop: int | None = None, suffix: int | None = None) -> Column:
     """[start, stop), from an offset on, or the last so many; of strings by characters, of binaries by bytes."""
     if suffix is not None:
-        return F.right(value, F.lit(suffix))
+        return F.substr(value, F.greatest(F.length(value) - suffix, F.lit(0)) + 1)
     return F.substring(value, start + 1, stop - start) if stop is not None else F.substr(value, F.lit(start + 1))
 
 
-def coalesced(ranges: DataFrame, gap: int = MAX_GAP, start: str = "s", end: str = "e", cells: int = 4096) -> DataFrame:
+def coalesced(ranges: DataFrame, gap: int = MAX_GAP, start: str = "s", end: str = "e", cells: int = CELLS) -> DataFrame:
     """(start_, end_, n): ranges (start, end) merged where the gap to all before is at most ``gap``.
 
-    Ranges are dealt to cells of the number line; each cell merges its own, and the
-    cells' outer borders are then merged: a window over the merged ranges, never over all.
+    Each cell of the number line merges its own ranges; of the merged ones, those that
+    lie near the furthest end of all cells before join what stands there.
     """
-    bounds = ranges.agg(F.min(start).alias("lo"), F.max(start).alias("hi"), F.count(F.lit(1)).alias("n")).first()
-    if not bounds["n"]:
-        return ranges.select(F.col(start).alias("start_"), F.col(end).alias("end_"), F.lit(1).cast("long").alias("n"))
-    width = max(1, -(-(bounds["hi"] - bounds["lo"] + 1) // cells))
-    df = ranges.select(F.call_function("div", F.col(start) - bounds["lo"], F.lit(width).cast("long")).alias("cell"), F.col(start).alias("s"), F.col(end).alias("e"), F.lit(1).cast("long").alias("n"))
-    return _merged(_merged(df, ["cell"], gap).withColumn("cell", F.lit(0)), [], gap).select(F.col("s").alias("start_"), F.col("e").alias("end_"), "n")
-
-
-def _merged(df: DataFrame, by: Sequence[str], gap: int) -> DataFrame:
-    order = Window.partitionBy(*by).orderBy("s", "e") if by else Window.orderBy("s", "e")
+    df = celled(ranges.select(F.col(start).alias("s"), F.col(end).alias("e"), F.lit(1).cast("long").alias("n")), "s", cells)
+    order = Window.partitionBy("__cell").orderBy("s", "e")
     before = F.max("e").over(order.rowsBetween(Window.unboundedPreceding, -1))
     df = df.withColumn("new", F.when(F.col("s") - before <= gap, 0).otherwise(1))
     df = df.withColumn("group", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return df.groupBy(*by, "group").agg(F.min("s").alias("s"), F.max("e").alias("e"), F.sum("n").alias("n")).drop("group")
+    df = df.groupBy("__cell", "group").agg(F.min("s").alias("s"), F.max("e").alias("e"), F.sum("n").alias("n")).drop("group")
+    reach = df.groupBy("__cell").agg(F.max("e").alias("far"))
+    reach = reach.select("__cell", F.max("far").over(Window.orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)).alias("far"))
+    marked = df.join(F.broadcast(reach), "__cell")
+    out = absorbed(marked, F.col("s") - F.col("far") <= gap, "n", top="e")
+    return out.select(F.col("s").alias("start_"), F.col("e").alias("end_"), "n")
 
 
 def coalesce_ranges(ranges: Sequence[tuple[int, int]], max_gap: int = MAX_GAP, max_merged: int = MAX_MERGED) -> list[list[int]]:
@@ -60,22 +59,19 @@ def coalesce_ranges(ranges: Sequence[tuple[int, int]], max_gap: int = MAX_GAP, m
     return out
 
 
-def runs(df: DataFrame, position: str, value: str, cells: int = 4096) -> DataFrame:
-    """(first_i, size, cnt): runs of equal values in order of position, a window per cell of positions and one over the cells' runs."""
-    bounds = df.agg(F.min(position).alias("lo"), F.max(position).alias("hi")).first()
-    if bounds["lo"] is None:
-        return df.select(F.col(position).alias("first_i"), F.col(value).alias("size"), F.lit(1).cast("long").alias("cnt"))
-    width = max(1, -(-(bounds["hi"] - bounds["lo"] + 1) // cells))
-    inner = df.select(F.call_function("div", F.col(position) - bounds["lo"], F.lit(width).cast("long")).alias("cell"), F.col(position).alias("i"), F.col(value).alias("v"), F.lit(1).cast("long").alias("n"))
-    inner = _runs(inner, ["cell"]).withColumn("cell", F.lit(0))
-    return _runs(inner, []).select(F.col("i").alias("first_i"), F.col("v").alias("size"), F.col("n").alias("cnt"))
-
-
-def _runs(df: DataFrame, by: Sequence[str]) -> DataFrame:
-    w = Window.partitionBy(*by).orderBy("i") if by else Window.orderBy("i")
+def runs(df: DataFrame, position: str, value: str, cells: int = CELLS) -> DataFrame:
+    """(first_i, size, cnt): runs of equal values in order of position: within cells of positions, whose first runs then
+    join the last ones of the cells before where values are equal."""
+    df = celled(df.select(F.col(position).alias("s"), F.col(value).alias("v")), "s", cells)
+    w = Window.partitionBy("__cell").orderBy("s")
     df = df.withColumn("new", F.when((F.row_number().over(w) > 1) & F.col("v").eqNullSafe(F.lag("v").over(w)), 0).otherwise(1))
     df = df.withColumn("group", F.sum("new").over(w))
-    return df.groupBy(*by, "group").agg(F.min("i").alias("i"), F.first("v").alias("v"), F.sum("n").alias("n")).drop("group")
+    df = df.groupBy("__cell", "group").agg(F.min("s").alias("s"), F.first("v").alias("v"), F.count(F.lit(1)).alias("n"))
+    ends = df.groupBy("__cell").agg(F.max_by(F.struct("v"), "s").alias("end"))
+    ends = ends.select("__cell", F.lag("end").over(Window.orderBy("__cell")).alias("end"))
+    marked = df.join(F.broadcast(ends), "__cell").withColumn("first", F.col("group") == 1).drop("group")
+    out = absorbed(marked, F.col("first") & F.col("end").isNotNull() & F.col("v").eqNullSafe(F.col("end.v")), "n")
+    return out.select(F.col("s").alias("first_i"), F.col("v").alias("size"), F.col("n").alias("cnt"))
 
 
 class TableStore:
@@ -110,6 +106,10 @@ class TableStore:
     def size_of_prefix(self, prefix: str = "") -> int:
         return self.df.filter(F.col("key").startswith(prefix)).agg(F.coalesce(F.sum(F.octet_length("value")), F.lit(0))).first()[0]
 
+    def size_by_name(self) -> DataFrame:
+        """(name, nbytes): bytes below each first part of the keys, in one pass."""
+        return self.df.groupBy(F.split("key", "/")[0].alias("name")).agg(F.sum(F.octet_length("value")).cast("long").alias("nbytes"))
+
     def with_values(self, new: DataFrame, only_new: bool = False) -> TableStore:
         """new (key, value) laid over; with ``only_new`` keys that exist keep their value. A null value deletes."""
         self._writable()
@@ -130,8 +130,9 @@ class FolderStore:
         self.root, self.read_only = root, read_only
 
     def _path(self, key: str) -> str:
-        path = os.path.normpath(os.path.join(self.root, key))
-        if not path.startswith(os.path.normpath(self.root)):
+        root = os.path.abspath(self.root)
+        path = os.path.abspath(os.path.join(root, key))
+        if os.path.commonpath([root, path]) != root:
             raise ValueError(f"{key!r} leaves the store")
         return path
 
