@@ -28,12 +28,14 @@ from .textcore import shingle_sets
 
 @dataclass(frozen=True)
 class LeakRules:
-    """containment: in per cent of an item's shingles. part: items to a pass (their sketches go to every executor)."""
+    """containment: in per cent of an item's shingles. part, part_bytes: items to a pass at most, and bytes of their texts (their
+    sketches go to every executor); an item is never cut, so one that is longer alone has its pass."""
 
     words: int = 5
     containment: int = 75
     hashes: int = 48
     part: int = 20000
+    part_bytes: int = 32 << 20
     seed: int = 5
 
 
@@ -125,6 +127,20 @@ def confirmed(hashes: np.ndarray, first: np.ndarray, sketches: ItemSketches, par
     return out
 
 
+def parted(items: DataFrame, rules: LeakRules) -> list[DataFrame]:
+    """The items in parts of bounded number and bytes."""
+    items = items.select("item_id", "text")
+    size = items.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
+    parts = max(1, -(-size["n"] // rules.part), -(-size["bytes"] // rules.part_bytes))
+    part = F.pmod(F.xxhash64("item_id", "text"), F.lit(parts))
+    return [items.filter(part == p) if parts > 1 else items for p in range(parts)]
+
+
+def sketches_of(items: DataFrame, rules: LeakRules) -> ItemSketches:
+    rows = items.collect()
+    return sketch_items([r["item_id"] for r in rows], [r["text"] for r in rows], rules)
+
+
 def find_leaks(docs: DataFrame, items: DataFrame, rules: LeakRules = LeakRules()) -> DataFrame:
     """(doc_id, item_id, n_item, n_common): documents that contain enough of a test item's shingles.
 
@@ -134,16 +150,11 @@ def find_leaks(docs: DataFrame, items: DataFrame, rules: LeakRules = LeakRules()
     documents that repeat an id give a row each. Extra columns are ignored; empty
     tables give no rows.
     """
-    spark = docs.sparkSession
-    items = items.select("item_id", "text")
-    parts = max(1, -(-items.count() // rules.part))
     out = None
-    for p in range(parts):
-        own = items if parts == 1 else items.filter(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == p)
-        rows = own.collect()
-        found = search(docs, sketch_items([r["item_id"] for r in rows], [r["text"] for r in rows], rules), rules)
+    for own in parted(items, rules):
+        found = search(docs, sketches_of(own, rules), rules)
         out = found if out is None else out.unionByName(found)
-    return out if out is not None else spark.createDataFrame([], "doc_id long, item_id long, n_item long, n_common long")
+    return out
 
 
 def search(docs: DataFrame, sketches: ItemSketches, rules: LeakRules) -> DataFrame:
@@ -165,11 +176,8 @@ def search(docs: DataFrame, sketches: ItemSketches, rules: LeakRules) -> DataFra
 
 def decontaminate(docs: DataFrame, items: DataFrame, rules: LeakRules = LeakRules()) -> DataFrame:
     """The documents, all their columns, that hold no test item; a pass for each part of the items, no shuffle."""
-    items = items.select("item_id", "text")
-    parts = max(1, -(-items.count() // rules.part))
-    for p in range(parts):
-        rows = (items if parts == 1 else items.filter(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == p)).collect()
-        shared = docs.sparkSession.sparkContext.broadcast(sketch_items([r["item_id"] for r in rows], [r["text"] for r in rows], rules))
+    for own in parted(items, rules):
+        shared = docs.sparkSession.sparkContext.broadcast(sketches_of(own, rules))
 
         def keep(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             sketches, params = shared.value, hash_parameters(rules)

@@ -88,6 +88,51 @@ def test_article_alone(chain):
     assert htmlcrf.main_text(page, chain) == "Title & more\nOne two three bold end.\nUnclosed é paragraph.\nItem one."
 
 
+HAND_PAGES = [
+    (
+        """<!doctype html><html><body><div id="top"><ul class="navigation"><li><a href="/">Start</a></li><li><a href="/n">News</a></li></ul></div>
+        <div class="entry-content"><h1>Storm over the coast</h1><p>The storm reached the coast in the night, and many roads were closed.</p>
+        <blockquote><p>We had no power for hours.</p></blockquote><p>By noon the wind had weakened.</p></div>
+        <div class="related-posts"><h4>More</h4><ul><li><a href="/1">Rain</a></li></ul></div><div class="footer">Copyright The Paper</div></body></html>""",
+        "Storm over the coast\nThe storm reached the coast in the night, and many roads were closed.\nWe had no power for hours.\nBy noon the wind had weakened.",
+    ),
+    (
+        """<html><body><header class="masthead"><h1>My Blog</h1></header><nav><a href="/a">About</a> <a href="/b">Archive</a></nav><main><article class="text hidden-lg">
+        <p title="the hidden truth">A first paragraph of some length, with <a href="/x">one link</a> in it.</p><p aria-hidden="true">A second one that is shown.</p><p hidden>Not shown.</p>
+        <p style="display: none">Nor this.</p><p>Energy is <math><mi>mc</mi></math> squared.</p></article></main><section id="comments"><p>First!</p></section></body></html>""",
+        "A first paragraph of some length, with one link in it.\nA second one that is shown.\nEnergy is mc squared.",
+    ),
+    (
+        """<body><div class=menu><a href=1>One</a><a href=2>Two</a></div><article><h2>Plain</h2>
+        <table><tr><td>Key</td><td>Some value here.</td></tr></table><p>Text &lt;with&gt; signs &amp; more.</p></article>
+        <aside class="sidebar"><p>Subscribe to our newsletter today.</p></aside><form><label>Mail</label><input name=m></form></body>""",
+        "Plain\nKey\nSome value here.\nText <with> signs & more.",
+    ),
+]
+
+
+@pytest.mark.parametrize("page, text", HAND_PAGES)
+def test_pages_by_hand(chain, page, text):
+    assert htmlcrf.main_text(page, chain) == text
+
+
+LONG_PAGES = ["<a " * 300_000, "<div>x" * 150_000, '<a ">"' * 150_000, "<!" * 400_000 + ">", "<b>" * 200_000 + "<hr>" * 80_000, "<b>" * 150_000 + "</i>" * 100_000, "<p>" + "word " * 200_000 + "</p>"]
+
+
+@pytest.mark.parametrize("page", LONG_PAGES, ids=lambda p: p[:6])
+def test_long_pages_take_seconds(chain, page):
+    import time
+
+    begin = time.time()
+    htmlcrf.main_text(page, chain)
+    assert time.time() - begin < 30
+
+
+def test_quotes_that_never_close(chain):
+    assert [b.text for b in htmlcrf.leaf_blocks('<p class="a>one<p>two</p><p>three</p>')] == ["one", "two", "three"]
+    assert [b.text for b in htmlcrf.leaf_blocks("<p title='x > y'>it's one</p><p it's>two</p> 3 < 4")] == ["it's one", "two", "3 < 4"]
+
+
 def test_pages_frame(spark, chain):
     rows = [(1, "u", None), (2, None, ""), (3, "u", "<article><p>Some text here.</p></article>"), (3, "u", "<<<>><p"), (4, "u", "plain < text")]
     got = htmlcrf.extract(spark.createDataFrame([(*r, 1) for r in rows], "page_id long, url string, html string, text int"), chain).collect()
@@ -174,6 +219,22 @@ def test_long_disguises_are_undone(model, written):
     assert toxicity.Finder(model).words(text, toxicity._LOWER[np.frombuffer(text, np.uint8)])
 
 
+@pytest.mark.parametrize("written", ["ab" * 500_000 + "1", "a" * 1_000_000, "1$" * 500_000, "aabb" * 250_000, "idiot" * 200_000 + "1x", "é" * 400_000 + "1"], ids=lambda x: x[:4])
+def test_long_tokens_take_seconds(model, written):
+    import time
+
+    import numpy as np
+
+    text, begin = written.encode(), time.time()
+    toxicity.Finder(model).words(text, toxicity._LOWER[np.frombuffer(text, np.uint8)])
+    assert time.time() - begin < 30
+
+
+def test_long_words_make_few_stems(model):
+    assert len(toxicity.entries_of("x" * 1_000_000, toxicity.ToxicRules())) < 40
+    assert toxicity.fit([("a " + "x" * 200_000, 1), ("b c", 0)] * 5, model.logp).weights == {}
+
+
 def test_spaced_out_clean_text_stays_clean(model):
     import numpy as np
 
