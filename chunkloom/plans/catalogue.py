@@ -451,7 +451,7 @@ def hier_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def hier_deleted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nations(spark, sf_dir).deleted("ASIA").arrays().select("path")
+    return nations(spark, sf_dir).deleted("ASIA").members("", None, "array").select("path")
 
 
 @query
