@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, field, replace
+from decimal import Decimal
 from typing import Any
 
 import numpy as np
@@ -23,6 +24,8 @@ SPARK_TYPES = {
     "string": "string", "fixed_length_utf32": "string", "bytes": "binary", "null_terminated_bytes": "binary", "raw_bytes": "binary", "variable_length_bytes": "binary",
     "numpy.datetime64": "bigint", "numpy.timedelta64": "bigint",
 }
+#: NumPy types of the cells whose Spark type is wider than the element's.
+HELD = {"uint8": "int16", "uint16": "int32", "uint32": "int64", "float16": "float32"}
 #: Bytes of an element.
 ITEM_SIZES = {"bool": 1, "int8": 1, "uint8": 1, "int16": 2, "uint16": 2, "float16": 2, "int32": 4, "uint32": 4, "float32": 4, "int64": 8, "uint64": 8, "float64": 8, "complex64": 8, "complex128": 16, "numpy.datetime64": 8, "numpy.timedelta64": 8}
 
@@ -116,11 +119,11 @@ def from_numpy(spark: SparkSession, a: np.ndarray, chunks: int | Sequence[int],
     """An array of a NumPy array's cells, in C order."""
     kind = SPARK_TYPES.get(str(a.dtype), "double")
     values = a.reshape(-1)
-    held = {"boolean": bool, "tinyint": np.int8, "smallint": np.int16, "int": np.int32, "bigint": np.int64, "float": np.float32, "double": np.float64}.get(kind)
-    if held is not None and a.dtype.kind in "biuf":  # as Arrow columns, no object per cell
-        flat = spark.createDataFrame(pa.table({"i": np.arange(values.size), "v": values.astype(held)}))
+    if a.dtype.kind in "biuf" and a.dtype != np.uint64:  # as Arrow columns, no object per cell
+        flat = spark.createDataFrame(pa.table({"i": np.arange(values.size), "v": values.astype(HELD.get(str(a.dtype), a.dtype))}))
     else:
-        flat = spark.createDataFrame([(i, x.item()) for i, x in enumerate(values)], f"i long, v {kind}")
+        whole = Decimal if a.dtype == np.uint64 else lambda x: x
+        flat = spark.createDataFrame([(i, whole(x.item())) for i, x in enumerate(values)], f"i long, v {kind}")
     left, cols = F.col("i"), []
     for k in range(a.ndim - 1, -1, -1):
         cols.insert(0, F.pmod(left, F.lit(a.shape[k]).cast("long")).alias(f"d{k}"))

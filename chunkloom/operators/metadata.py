@@ -205,7 +205,7 @@ def document_from_spec(spec: ArraySpec) -> dict[str, Any]:
     default = [{"name": "bytes", "configuration": {"endian": "little"}} if ITEM_SIZES.get(spec.dtype, 1) > 1 else {"name": "bytes"}, {"name": "zstd", "configuration": {"level": 0, "checksum": False}}]
     return {
         FORMAT_KEY: 3, "node_type": "array", "shape": list(spec.shape), "data_type": spec.dtype, "chunk_grid": grid,
-        "chunk_key_encoding": {"name": "default", "configuration": {"separator": "/"}}, "fill_value": fill_to_json(spec.fill, spec.dtype),
+        "chunk_key_encoding": {"name": "default", "configuration": {"separator": "/"}}, "fill_value": fill_to_json(bool(spec.fill) if spec.dtype == "bool" else spec.fill, spec.dtype),
         "codecs": list(spec.codecs) or default, "attributes": dict(spec.attributes), "dimension_names": list(spec.dims),
     }
 

@@ -23,18 +23,19 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
 
 from ..errors import ArrayNotFoundError, ContainsArrayError
 from ..functions.bytecodecs import ABSENT, build_shard, decode_array, decode_bytes, encode_array, encode_bytes, encoded_type, pack_strings, shard_index, split_chain, unpack_strings
 from ..grid import chunk_key, morton_coords, parse_chunk_key
-from ..model import SPARK_TYPES, ArrayFrame, ArraySpec
+from ..model import HELD, SPARK_TYPES, ArrayFrame, ArraySpec
 from ..operators.metadata import DOCUMENT, OLD_DOCUMENTS, document_from_spec, migrated, spec_from_document
 from .store import coalesce_ranges
 
 
-#: Partitions of a read at most: more files than that share them.
-MOST_PARTITIONS = 4096
+#: Cells to a partition of a read: small chunks share one, as a task costs more than a small file.
+PARTITION_CELLS = 1 << 20
 
 
 def store_of(folder: str) -> tuple[pafs.FileSystem, str]:
@@ -192,6 +193,19 @@ def write_files(a: ArrayFrame, folder: str, codecs: Sequence[dict[str, Any]] = (
     a.with_chunks().groupBy(*(f"c{k}" for k in range(len(dims)))).applyInPandas(write, "n long").agg({"n": "sum"}).collect()
 
 
+def as_column(values: np.ndarray) -> pa.Array:
+    """Values as the Arrow type of the Spark type that holds their element type."""
+    if values.dtype.kind == "c":
+        return pa.StructArray.from_arrays([pa.array(values.real.copy()), pa.array(values.imag.copy())], ["re", "im"])
+    if values.dtype == np.uint64:
+        return pa.array([int(x) for x in values.tolist()], pa.decimal128(20, 0))
+    if values.dtype.kind in "Mm":
+        return pa.array(values.view(np.int64))
+    if values.dtype.kind in "SV":
+        return pa.array(values.tolist(), pa.binary())
+    return pa.array(values.astype(HELD[str(values.dtype)]) if str(values.dtype) in HELD else values)
+
+
 class ChunkPartition(InputPartition):
     def __init__(self, chunks: list[tuple[int, ...]]) -> None:
         self.chunks = chunks
@@ -234,7 +248,7 @@ class ChunkReader(DataSourceReader):
         else:
             found = (self.coords(x) for x in files)
             chunks = sorted(c for c in found if c is not None and all(x in s for x, s in zip(c, spans, strict=True)))
-        size = max(1, -(-len(chunks) // MOST_PARTITIONS))
+        size = max(1, PARTITION_CELLS // max(1, math.prod(a.chunk_size(0) if a.n_chunks else 1 for a in self.spec.grid.axes)))
         return [ChunkPartition(chunks[i : i + size]) for i in range(0, len(chunks), size)]
 
     def coords(self, key: str) -> tuple[int, ...] | None:
@@ -264,7 +278,7 @@ class ChunkReader(DataSourceReader):
         block = block[tuple(slice(lo, max(lo, hi)) for lo, hi in box)]
         at = np.indices(block.shape).reshape(block.ndim, -1)
         cols = [pa.array(i.astype(np.int64) + a.offset(c) + lo) for i, a, c, (lo, _) in zip(at, axes, chunk, box, strict=True)]
-        return pa.RecordBatch.from_arrays([*cols, pa.array(block.reshape(-1))], [*self.spec.dims, "v"])
+        return pa.RecordBatch.from_arrays([*cols, as_column(block.reshape(-1))], [*self.spec.dims, "v"])
 
 
 class ChunkFiles(DataSource):
@@ -285,9 +299,13 @@ class ChunkFiles(DataSource):
 
 
 def read_files(spark: SparkSession, folder: str) -> ArrayFrame:
-    """The array of a folder; its cells are read when a plan runs."""
+    """The array of a folder; its cells are read when a plan runs.
+
+    A frame's scan keeps the filters that were pushed to it last until others are, so every
+    plan on the cells is given one: the first coordinate isn't negative.
+    """
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(ChunkFiles)
-    return ArrayFrame(spark.read.format("chunkfiles").load(folder), spec_from_document(read_document(folder)))
-
-
+    spec = spec_from_document(read_document(folder))
+    cells = spark.read.format("chunkfiles").load(folder)
+    return ArrayFrame(cells.filter(F.col(spec.dims[0]) >= 0) if spec.dims else cells, spec)

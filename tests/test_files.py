@@ -76,6 +76,14 @@ def test_a_slice_reads_parts_of_shards(spark, tmp_path, monkeypatch):
     assert np.array_equal(select(cf.read_files(spark, folder), (slice(7, 33), slice(18, 22))).to_numpy(), a[7:33, 18:22])
 
 
+def test_selections_of_one_array_are_independent(spark, tmp_path):
+    a = np.arange(1, 101)
+    cf.write_files(from_numpy(spark, a, 10), str(tmp_path / "x"))
+    back = cf.read_files(spark, str(tmp_path / "x"))
+    for s in (slice(3, 4), slice(None), slice(0, 100, 30), slice(None), slice(95, 99), slice(None)):
+        assert np.array_equal(select(back, s).to_numpy(), a[s])
+
+
 def test_older_documents_are_read(spark, tmp_path):
     import json
     import zlib
@@ -88,3 +96,13 @@ def test_older_documents_are_read(spark, tmp_path):
         block[: len(a[2 * k : 2 * k + 2])] = a[2 * k : 2 * k + 2]
         (tmp_path / f"{k}.0").write_bytes(zlib.compress(np.diff(block.reshape(-1), prepend=0).astype("<i4").tobytes()))
     assert np.array_equal(cf.read_files(spark, str(tmp_path)).to_numpy(), a)
+
+
+@pytest.mark.parametrize("dtype", ["bool", "int8", "uint8", "uint16", "uint32", "uint64", "int64", "float16", "float32", "float64"])
+def test_element_types_round_trip(spark, tmp_path, dtype):
+    a = (np.arange(12) % 7).astype(dtype)
+    top = np.array([1], "bool") if dtype == "bool" else np.array([np.finfo(dtype).max if dtype.startswith("float") else np.iinfo(dtype).max], dtype)
+    a[3] = top[0]
+    folder = str(tmp_path / "x")
+    cf.write_files(from_numpy(spark, a, 5), folder)
+    assert [dtype == "bool" and bool(x) or x for x in (r.v for r in cf.read_files(spark, folder).cells.orderBy("d0").collect()) if x] == [x for x in a.tolist() if x]
