@@ -76,6 +76,44 @@ def fletcher32(data: bytes) -> int:
     return b << 16 | a
 
 
+#: Rotations of the hash's mixing and final steps.
+MIXING, FINAL, HASH_BASE = (4, 6, 8, 16, 19, 4), (14, 11, 25, 16, 4, 14, 24), 0xDEADBEEF
+
+
+def lookup3(data: bytes, seed: int = 0) -> int:
+    """Bob Jenkins' hash of bytes as little-endian words, twelve bytes at a time."""
+    full = 0xFFFFFFFF
+    turned = lambda x, k: (x << k | x >> (32 - k)) & full
+    x = y = z = (HASH_BASE + len(data) + seed) & full
+    n = -(-len(data) // 12)
+    words = struct.unpack(f"<{3 * n}I", data.ljust(12 * n, b"\0"))
+    for i in range(0, len(words), 3):
+        x, y, z = (x + words[i]) & full, (y + words[i + 1]) & full, (z + words[i + 2]) & full
+        for k in MIXING if i + 3 < len(words) else ():
+            x, y, z = y, (z + y) & full, ((x - z) & full) ^ turned(z, k)
+    if not data:
+        return z
+    for k in FINAL:
+        y, z, x = ((z ^ y) - turned(y, k)) & full, x, y
+    return y
+
+
+def encoded_size(n: int, codec: dict[str, Any]) -> int:
+    """Bytes that a codec makes of n bytes; codecs whose result hangs on the data have no size."""
+    name = plain_name(codec)
+    if name in ("bytes", "transpose", "shuffle", "scale_offset"):
+        return n
+    if name in ("crc32c", "crc32", "adler32", "fletcher32", "jenkins_lookup3"):
+        return n + 4
+    raise MetadataError(f"what {codec['name']} makes has no fixed size")
+
+
+def reads_parts(codecs: Sequence[dict[str, Any]]) -> bool:
+    """Whether parts of a chunk can be read alone: it is a shard, and no other codec is around it."""
+    arrays, serializer, chain = split_chain(codecs)
+    return serializer["name"] == "sharding_indexed" and not arrays and not chain
+
+
 def with_checksum(of: Callable[[bytes], int], location: str = "end") -> Coder:
     """Four bytes before or after the data, checked and dropped on the way back."""
     if location not in ("start", "end"):
@@ -122,6 +160,7 @@ CODECS: dict[str, Callable[..., Coder]] = {
     "crc32": lambda location="start": with_checksum(zlib.crc32, location),
     "adler32": lambda location="start": with_checksum(zlib.adler32, location),
     "fletcher32": lambda: with_checksum(fletcher32),
+    "jenkins_lookup3": lambda initval=0, prefix=None: with_checksum(lambda x: lookup3((prefix or b"") + x, initval)),
     "shuffle": lambda elementsize=4: (lambda x: shuffled(x, elementsize), lambda x: unshuffled(x, elementsize)),
 }
 

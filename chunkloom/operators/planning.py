@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..grid import FixedAxis, Grid
-from .levels import running_sum
+from .levels import previous, running_sum
 from .selection import expand_ellipsis, is_integer, normalized_index, slice_bounds
 
 
@@ -79,3 +79,10 @@ def coordinate_groups(points: DataFrame, dims: Sequence[str], sizes: Sequence[in
 
 def accessed_chunks(cells: DataFrame, dims: Sequence[str], sizes: Sequence[int]) -> DataFrame:
     return cells.select(*(F.call_function("div", F.col(d), F.lit(n).cast("long")).alias(f"c{k}") for k, (d, n) in enumerate(zip(dims, sizes, strict=True)))).distinct()
+
+
+def order_of(df: DataFrame, position: str, value: str) -> DataFrame:
+    """One row (direction): increasing, decreasing or unordered, as the values go in order of position; equal neighbours are both."""
+    before = previous(df.select(F.col(position).alias("p"), F.col(value).alias("x")), "p", "x", "y").filter("y is not null")
+    up, down = F.coalesce(F.bool_and(F.col("x") >= F.col("y")), F.lit(True)), F.coalesce(F.bool_and(F.col("x") <= F.col("y")), F.lit(True))
+    return before.agg(F.when(up, "increasing").when(down, "decreasing").otherwise("unordered").alias("direction"))

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import cellcodecs
+from ..functions import cellcodecs, requests
 from ..grid import FixedAxis, Grid, VaryingAxis, chunk_key_column, morton_code, shard_sizes
 from ..model import ArrayFrame, from_vectors
 from ..operators import hierarchy, metadata, planning, selection, writing
@@ -181,6 +181,13 @@ def plan_coordinate_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planning.coordinate_groups(table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("d0")), ["d0"], [700])
 
 
+@query
+def plan_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = orders(spark, sf_dir).cells.withColumn("back", -F.col("d0")).withColumn("price", F.col("v"))
+    named = [planning.order_of(a, "d0", c).withColumn("of", F.lit(c)) for c in ("d0", "back", "price")]
+    return named[0].unionByName(named[1]).unionByName(named[2])
+
+
 @query
 def grid_regular_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = Grid((FixedAxis(700, table(spark, sf_dir, "events").count()),)).frame(spark)
@@ -499,6 +506,26 @@ def store_get_many(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.TableStore(df).get_many(wanted).select("key", F.hex("value").alias("bytes"))
 
 
+@query
+def store_valid_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which of many keys name a chunk of the vectors' grid: some are beyond it, some are spelled otherwise."""
+    a = vectors(spark, sf_dir)
+    row, col = F.call_function("div", F.col("vec_id"), F.lit(10).cast("long")), F.col("vec_id") % 6
+    key = F.concat(F.when(F.col("vec_id") % 7 == 0, "c/0").otherwise("c/"), row.cast("string"), F.lit("/"), col.cast("string"))
+    df = table(spark, sf_dir, "embeddings").select("vec_id", key.alias("key"))
+    return df.withColumn("valid", requests.is_chunk_key(F.col("key"), a.spec.grid))
+
+
+@query
+def http_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a server answers to Range headers of six kinds."""
+    k, c = F.col("o_orderkey"), lambda x: x.cast("string")
+    forms = [F.concat(F.lit("bytes="), c(k % 50), F.lit("-"), c(k % 70)), F.concat(F.lit("bytes="), c(k % 300), F.lit("-")), F.concat(F.lit("bytes=-"), c(k % 5)), F.lit("items=1-2"), F.lit("bytes=1-2,4-5"), F.lit("bytes=x-3")]
+    header = F.element_at(F.array(*forms), (k % 6 + 1).cast("int"))
+    df = table(spark, sf_dir, "orders").select(k.alias("d0"), requests.range_request(header, F.col("o_custkey") % 200).alias("r"))
+    return df.select("d0", F.col("r.status").cast("long").alias("status"), "r.start", "r.stop")
+
+
 @query
 def store_list_dir(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = table(spark, sf_dir, "documents").select(F.concat("source", F.lit("/"), "doc_id").alias("key"), F.lit(None).cast("binary").alias("value"))

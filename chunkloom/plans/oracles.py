@@ -155,4 +155,10 @@ ORACLES: dict[str, str] = {
     "lazy_oindex": 'WITH m AS (SELECT vec_id AS d0, generate_subscripts(embedding,1)-1 AS d1, unnest(embedding) AS v FROM embeddings) , r(o0,d0) AS (VALUES (0,14),(1,10),(2,14)) SELECT CAST(o0 AS BIGINT) AS o0, CAST(d1//16 AS BIGINT) AS o1, v FROM m JOIN r USING (d0) WHERE d1%16=0',
     # S8.4
     "lazy_vindex": 'WITH m AS (SELECT vec_id AS d0, generate_subscripts(embedding,1)-1 AS d1, unnest(embedding) AS v FROM embeddings) , s(o0,d0,d1) AS (VALUES (0,5,0),(1,99,63),(2,5,0)) SELECT CAST(o0 AS BIGINT) AS o0, v FROM s JOIN m USING (d0,d1)',
+    # S2.5
+    "plan_order": 'WITH o AS (SELECT o_totalprice AS v, lag(o_totalprice) OVER (ORDER BY o_orderkey) AS w FROM orders) SELECT \'increasing\' AS direction, \'d0\' AS "of" UNION ALL SELECT \'decreasing\',\'back\' UNION ALL SELECT CASE WHEN bool_and(v>=w) THEN \'increasing\' WHEN bool_and(v<=w) THEN \'decreasing\' ELSE \'unordered\' END, \'price\' FROM o WHERE w IS NOT NULL',
+    # S10.3
+    "store_valid_keys": "SELECT vec_id, (CASE WHEN vec_id%7=0 THEN 'c/0' ELSE 'c/' END)||(vec_id//10)||'/'||(vec_id%6) AS key, (vec_id%7<>0 AND vec_id//10 < ((SELECT count(*) FROM embeddings)+99)//100 AND vec_id%6 < 4) AS valid FROM embeddings",
+    # S10.2
+    "http_range": 'WITH t AS (SELECT o_orderkey AS k, o_custkey%200 AS n, o_orderkey%6 AS f, o_orderkey%50 AS a, o_orderkey%70 AS b, o_orderkey%300 AS c, o_orderkey%5 AS s FROM orders), u AS (SELECT *, CASE WHEN f>=3 THEN 200 WHEN f=0 THEN CASE WHEN a<=b AND a<n THEN 206 ELSE 416 END WHEN f=1 THEN CASE WHEN c<n THEN 206 ELSE 416 END ELSE CASE WHEN s>0 AND n>0 THEN 206 ELSE 416 END END AS status FROM t) SELECT k AS d0, CAST(status AS BIGINT) AS status, CAST(CASE WHEN status=416 THEN NULL WHEN f>=3 THEN 0 WHEN f=0 THEN a WHEN f=1 THEN c ELSE greatest(0,n-s) END AS BIGINT) AS start, CAST(CASE WHEN status=416 THEN NULL WHEN f=0 THEN least(n,b+1) ELSE n END AS BIGINT) AS stop FROM u',
 }

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
 
 from ..errors import ArrayNotFoundError, ContainsArrayError
-from ..functions.bytecodecs import ABSENT, build_shard, decode_array, decode_bytes, encode_array, encode_bytes, encoded_type, pack_strings, shard_index, split_chain, unpack_strings
+from ..functions.bytecodecs import ABSENT, build_shard, decode_array, decode_bytes, encode_array, encode_bytes, encoded_type, pack_strings, reads_parts, shard_index, split_chain, unpack_strings
 from ..grid import chunk_key, morton_coords, parse_chunk_key
 from ..model import HELD, SPARK_TYPES, ArrayFrame, ArraySpec
 from ..operators.metadata import DOCUMENT, OLD_DOCUMENTS, document_from_spec, migrated, spec_from_document
@@ -271,7 +271,7 @@ class ChunkReader(DataSourceReader):
         box = [(max(0, lo - a.offset(c)), min(a.data_size(c), hi - a.offset(c))) for a, c, (lo, hi) in zip(axes, chunk, self.bounds.values(), strict=True)]
         fs, path = store_of(self.folder)
         with fs.open_input_file(f"{path}/{key_of(self.doc, chunk)}") as f:
-            if len(codecs) == 1 and codecs[0]["name"] == "sharding_indexed":
+            if reads_parts(codecs):
                 block = decode_shard(lambda at, n: f.read_at(n, at), f.size(), sizes, self.spec.dtype, codecs[0]["configuration"], self.spec.fill, box)
             else:
                 block = decode_block(f.read(), sizes, self.spec.dtype, codecs, self.spec.fill)
