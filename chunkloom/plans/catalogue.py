@@ -578,6 +578,20 @@ def lazy_oindex(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lazy.LazyArray(vectors(spark, sf_dir))[10:90].oindex(([4, 0, 4], slice(0, 64, 16))).result().cells
 
 
+@query
+def lazy_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunks that a strided view of a list of rows reads."""
+    a = vectors(spark, sf_dir)
+    t = lazy.IndexTransform.identity(a.shape)[0:100, 0:64:2].oindex(([5, 0, 99, 5], slice(0, 16)))
+    return t.chunks(spark, a.spec.grid)
+
+
+@query
+def lazy_within(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = events(spark, sf_dir)
+    return lazy.IndexTransform.identity(a.shape)[::-1].within([(100, 900)]).applied(a, ["o0"])
+
+
 @query
 def lazy_vindex(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lazy.LazyArray(vectors(spark, sf_dir)).vindex([5, 99, 5], [0, 63, 0]).result().cells

@@ -14,10 +14,11 @@ from dataclasses import dataclass, replace
 from typing import Any
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import BoundsError, SelectionError
+from ..grid import Grid
 from ..model import ArrayFrame
 from ..operators import selection as sel
 
@@ -242,8 +243,85 @@ class IndexTransform:
             maps[m.axis] = Affine(k, -m.offset * m.stride, m.stride)
         return IndexTransform(Domain(tuple(a for a, _ in box), tuple(b for _, b in box)), tuple(maps))
 
+    def within(self, box: Sequence[tuple[int, int]]) -> IndexTransform:
+        """The part of the domain whose readings lie in a box ([lo, hi) by axis of what is read); a table along one axis
+        keeps the entries that do, counted anew from 0."""
+        lo, hi = list(self.domain.lo), list(self.domain.hi)
+        kept: dict[int, np.ndarray] = {}
+        for m, (a, b) in zip(self.maps, box, strict=True):
+            if isinstance(m, Constant):
+                if not a <= m.offset < b:
+                    hi = list(lo)
+            elif isinstance(m, Affine):
+                ends = [-((m.offset - a) // m.stride), -((m.offset - b) // m.stride)] if m.stride > 0 else [(m.offset - b) // -m.stride + 1, (m.offset - a) // -m.stride + 1]
+                lo[m.axis] = max(lo[m.axis], ends[0])
+                hi[m.axis] = max(lo[m.axis], min(hi[m.axis], ends[1]))
+            elif len(m.axes) == 1:
+                v = m.offset + m.stride * m.table
+                kept[m.axes[0]] = kept.get(m.axes[0], np.ones(len(v), bool)) & (a <= v) & (v < b)
+            else:
+                raise SelectionError("a table along several axes has no part that is a box")
+        if any(isinstance(m, Affine) and m.axis in kept for m in self.maps):
+            raise SelectionError("an axis of a table is read as an interval too")
+        if any(a >= b for a, b in zip(lo, hi, strict=True)):
+            hi = list(lo)
+            kept = {k: np.zeros_like(v) for k, v in kept.items()}
+        for k, keep in kept.items():
+            lo[k], hi[k] = 0, int(keep.sum())
+        maps = tuple(replace(m, table=m.table[kept[m.axes[0]]]) if isinstance(m, Lookup) else m for m in self.maps)
+        return IndexTransform(Domain(tuple(lo), tuple(hi), self.domain.labels), maps)
+
     # -- running
 
+    def chunks(self, spark: SparkSession, grid: Grid) -> DataFrame:
+        """(c0 and on, n, whole): the chunks that are read, how many elements of the domain each serves, and whether all
+        cells of it are read, each once.
+
+        Maps that hang on the same axes are counted together, over their coordinates; what
+        hangs on different axes is a product of such counts, each a row per chunk of its axes.
+        """
+        out = spark.range(1).select(F.lit(1).cast("long").alias("n"), F.lit(True).alias("whole"))
+        groups: list[tuple[set[int], list[int]]] = []
+        for k, m in enumerate(self.maps):
+            axes, own = set(axes_of(m)), [k]
+            for g in [g for g in groups if g[0] & axes]:
+                groups.remove(g)
+                axes, own = axes | g[0], g[1] + own
+            groups.append((axes, own))
+        for axes, own in groups:
+            order = sorted(axes)
+            shape = [self.domain.shape[k] for k in order]
+            df = spark.range(math.prod(shape))
+            coords = dict(zip(order, sel.unraveled(F.col("id"), shape), strict=True)) if order else {}
+            df = df.select(*(coords[k].alias(f"a{k}") for k in order)) if order else df
+            for k in sorted(own):
+                m = self.maps[k]
+                if isinstance(m, Constant):
+                    df = df.withColumn(f"r{k}", F.lit(m.offset).cast("long"))
+                elif isinstance(m, Affine):
+                    df = df.withColumn(f"r{k}", (F.col(f"a{m.axis}") + self.domain.lo[m.axis]) * m.stride + m.offset)
+                else:
+                    flat = (m.offset + m.stride * np.broadcast_to(m.table, [self.domain.shape[x] for x in m.axes])).reshape(-1)
+                    at = F.lit(0).cast("long")
+                    for x in m.axes:
+                        at = at * self.domain.shape[x] + F.col(f"a{x}")
+                    places = spark.createDataFrame(list(enumerate(flat.tolist())), f"place long, r{k} long")
+                    df = df.withColumn("place", at).join(F.broadcast(places) if len(flat) <= sel.BROADCAST_ENTRIES else places, "place").drop("place")
+            read = [f"r{k}" for k in sorted(own)]
+            df = df.groupBy(*(grid.axes[k].chunk_of(F.col(f"r{k}")).alias(f"c{k}") for k in sorted(own)), *read).agg(F.count(F.lit(1)).alias("m"))
+            by = [f"c{k}" for k in sorted(own)]
+            df = df.groupBy(*by).agg(F.sum("m").alias("m"), F.max("m").alias("most"), F.count(F.lit(1)).alias("cells"))
+            for k in sorted(own):
+                sizes = Grid((grid.axes[k],)).frame(spark).select(F.col("c0").alias(f"c{k}"), F.col("data0").alias(f"d{k}"))
+                df = df.join(sizes, f"c{k}")
+            full = F.lit(1).cast("long")
+            for k in sorted(own):
+                full = full * F.col(f"d{k}")
+            df = df.select(*by, "m", ((F.col("most") == 1) & (F.col("cells") == full)).alias("w"))
+            out = out.join(df).withColumn("n", F.col("n") * F.col("m")).withColumn("whole", F.col("whole") & F.col("w")).drop("m", "w")
+        unread = math.prod(self.domain.shape[k] for k in set(range(self.domain.ndim)).difference(*(axes for axes, _ in groups)))
+        return out.filter(F.lit(unread > 0)).select(*(f"c{k}" for k in range(len(self.maps))), (F.col("n") * unread).alias("n"), (F.col("whole") & F.lit(unread == 1)).alias("whole"))
+
     def applied(self, a: ArrayFrame, names: Sequence[str] | None = None) -> DataFrame:
         """(domain coordinates, values): intervals and steps as filters, tables as joins."""
         names = list(names or (f"o{k}" for k in range(self.domain.ndim)))

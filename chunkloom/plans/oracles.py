@@ -161,4 +161,8 @@ ORACLES: dict[str, str] = {
     "store_valid_keys": "SELECT vec_id, (CASE WHEN vec_id%7=0 THEN 'c/0' ELSE 'c/' END)||(vec_id//10)||'/'||(vec_id%6) AS key, (vec_id%7<>0 AND vec_id//10 < ((SELECT count(*) FROM embeddings)+99)//100 AND vec_id%6 < 4) AS valid FROM embeddings",
     # S10.2
     "http_range": 'WITH t AS (SELECT o_orderkey AS k, o_custkey%200 AS n, o_orderkey%6 AS f, o_orderkey%50 AS a, o_orderkey%70 AS b, o_orderkey%300 AS c, o_orderkey%5 AS s FROM orders), u AS (SELECT *, CASE WHEN f>=3 THEN 200 WHEN f=0 THEN CASE WHEN a<=b AND a<n THEN 206 ELSE 416 END WHEN f=1 THEN CASE WHEN c<n THEN 206 ELSE 416 END ELSE CASE WHEN s>0 AND n>0 THEN 206 ELSE 416 END END AS status FROM t) SELECT k AS d0, CAST(status AS BIGINT) AS status, CAST(CASE WHEN status=416 THEN NULL WHEN f>=3 THEN 0 WHEN f=0 THEN a WHEN f=1 THEN c ELSE greatest(0,n-s) END AS BIGINT) AS start, CAST(CASE WHEN status=416 THEN NULL WHEN f=0 THEN least(n,b+1) ELSE n END AS BIGINT) AS stop FROM u',
+    # S8.5
+    "lazy_chunks": 'WITH r(d0) AS (VALUES (5),(0),(99),(5)), c AS (SELECT unnest(range(0,16))*2 AS d1) SELECT CAST(d0//100 AS BIGINT) AS c0, CAST(d1//16 AS BIGINT) AS c1, count(*) AS n, false AS whole FROM r, c GROUP BY 1,2',
+    # S8.10
+    "lazy_within": 'SELECT -event_id AS o0, value FROM events WHERE event_id>=100 AND event_id<900',
 }

@@ -76,7 +76,7 @@ class MemoryStore:
         return (k for k in sorted(self.held) if k.startswith(prefix))
 
 
-class WrapperStore:
+class AroundStore:
     """Another store; every call passes through ``around``, which subclasses change."""
 
     def __init__(self, base: Any) -> None:
@@ -90,7 +90,7 @@ class WrapperStore:
         return (lambda *args, **named: self.around(name, found, *args, **named)) if callable(found) else found
 
 
-class LoggingStore(WrapperStore):
+class LoggedStore(AroundStore):
     """Logs each call with its seconds, and counts them."""
 
     def __init__(self, base: Any, logger: logging.Logger | None = None) -> None:
@@ -106,7 +106,7 @@ class LoggingStore(WrapperStore):
             self.logger.info("%s %s %.6f s", name, args[:1], time.perf_counter() - began)
 
 
-class LatencyStore(WrapperStore):
+class SlowStore(AroundStore):
     """Waits before each read and write, as a far store does."""
 
     def __init__(self, base: Any, get_seconds: float = 0.0, set_seconds: float = 0.0) -> None:

@@ -20,8 +20,8 @@ def store(request, tmp_path):
         "uri": lambda: stores.UriStore(f"file://{tmp_path}"),
         "memory": stores.MemoryStore,
         "folder": lambda: FolderStore(str(tmp_path)),
-        "logging": lambda: stores.LoggingStore(stores.MemoryStore()),
-        "latency": lambda: stores.LatencyStore(stores.MemoryStore(), 0.001, 0.001),
+        "logging": lambda: stores.LoggedStore(stores.MemoryStore()),
+        "latency": lambda: stores.SlowStore(stores.MemoryStore(), 0.001, 0.001),
     }[request.param]()
 
 
@@ -42,7 +42,7 @@ def test_every_store_keeps_values(store):
 
 
 def test_logged_calls_are_counted(caplog):
-    s = stores.LoggingStore(stores.MemoryStore({"k": b"v"}))
+    s = stores.LoggedStore(stores.MemoryStore({"k": b"v"}))
     with caplog.at_level(logging.INFO, "chunkloom.store"):
         s.get("k")
         s.get("l")
@@ -118,3 +118,56 @@ def test_sizes_and_parts():
         bytecodecs.encoded_size(10, {"name": "gzip"})
     shard = {"name": "sharding_indexed", "configuration": {}}
     assert bytecodecs.reads_parts([shard]) and not bytecodecs.reads_parts([shard, crc]) and not bytecodecs.reads_parts([plain])
+
+
+def test_arrays_and_groups_are_saved_and_opened(spark, tmp_path):
+    from chunkloom.errors import ContainsArrayError, ContainsGroupError, GroupNotFoundError
+    from chunkloom.model import from_numpy
+    from chunkloom.sources.opening import load, open_any, open_group, save
+
+    a, b = np.arange(6).reshape(2, 3), np.array([1.5, 2.5])
+    one, many = str(tmp_path / "one"), f"file://{tmp_path}/many"
+    save(one, from_numpy(spark, a, 2))
+    save(many, from_numpy(spark, a, 2), b=from_numpy(spark, b, 1))
+    assert np.array_equal(load(spark, one), a) and np.array_equal(open_any(spark, one).to_numpy(), a)
+    got = load(spark, many)
+    assert set(got) == {"arr_0", "b"} and np.array_equal(got["arr_0"], a) and np.array_equal(got["b"], b)
+    assert set(open_group(spark, many)) == {"arr_0", "b"}
+    for folder, error in ((one, ContainsArrayError), (many, ContainsGroupError)):
+        with pytest.raises(error):
+            save(folder, from_numpy(spark, a, 2))
+    with pytest.raises(GroupNotFoundError):
+        open_group(spark, one)
+    with pytest.raises(ValueError):
+        save(one)
+
+
+def test_chunks_of_transforms(spark):
+    from collections import Counter
+
+    from chunkloom.plans.lazy import IndexTransform
+
+    grid = Grid((FixedAxis(4, 10), VaryingAxis((3, 3, 4), 10)))
+    t = IndexTransform.identity([10, 10])
+    for x in (t, t[2:9], t[::-1, 1:8:3], t[5, 2:6], t.oindex([[0, 9, 9, 4], slice(0, 6)]), t.vindex([[1, 9, 1], [0, 9, 0]]), t[3:3], t[2:10].oindex([[5, 2], [0, 1, 2]])):
+        want, cells = Counter(), {}
+        d = x.domain
+        for p in np.ndindex(*d.shape):
+            r = x.apply([a + i for a, i in zip(d.lo, p)])
+            c = tuple(g.index_of(v) for g, v in zip(grid.axes, r))
+            want[c] += 1
+            cells.setdefault(c, Counter())[r] += 1
+        full = {c: np.prod([g.data_size(k) for g, k in zip(grid.axes, c)]) for c in want}
+        got = {(r.c0, r.c1): (r.n, r.whole) for r in x.chunks(spark, grid).collect()}
+        assert got == {c: (n, len(cells[c]) == full[c] and max(cells[c].values()) == 1) for c, n in want.items()}
+
+
+def test_transforms_within_a_box():
+    from chunkloom.plans.lazy import IndexTransform
+
+    t = IndexTransform.identity([10, 10])
+    for x in (t, t[2:9, ::-1], t[1::3, 8:0:-2], t[5], t.oindex([[0, 9, 9, 4], slice(0, 6)]), t[0:0]):
+        for box in ([(3, 7), (2, 9)], [(0, 10), (0, 10)], [(5, 6), (0, 1)], [(7, 7), (0, 3)]):
+            part = x.within(box)
+            points = lambda y: sorted(y.apply([a + i for a, i in zip(y.domain.lo, p)]) for p in np.ndindex(*y.domain.shape))
+            assert points(part) == [r for r in points(x) if all(a <= v < b for v, (a, b) in zip(r, box))]
