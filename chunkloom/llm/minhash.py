@@ -224,7 +224,8 @@ def tiles(buckets: DataFrame, labels: DataFrame, sizes: DataFrame) -> DataFrame:
         sides(F.sum(outside.cast("long")), F.coalesce(F.sum(F.when(outside, F.col("n"))), F.lit(0))).alias("rows"),
         sides(F.count(F.lit(1)), F.sum("n")).alias("columns"),
     )
-    member = member.join(grid, "main")
+    # both sides of the join are then plain shuffles, of which Spark splits a hot cluster's
+    member = member.join(cut(grid), "main")
     row, column = F.pmod(F.xxhash64("rep", F.lit(1)), F.col("rows")).cast("int"), F.pmod(F.xxhash64("rep", F.lit(2)), F.col("columns")).cast("int")
     along = F.transform(F.sequence(F.lit(0), F.col("columns") - 1), lambda j: F.struct(row.alias("i"), j.alias("j"), F.lit(True).alias("left"), (j == column).alias("right")))
     down = F.transform(F.sequence(F.lit(0), F.col("rows") - 1), lambda i: F.struct(i.alias("i"), column.alias("j"), F.lit(False).alias("left"), F.lit(True).alias("right")))

@@ -207,10 +207,13 @@ def test_near_duplicates_of_one_template(spark, monkeypatch):
 
 
 def test_near_duplicates_of_repeated_ids(spark):
-    x, y = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
-    for rows in ([(3, x), (5, y), (5, x + " end")], [(5, x), (5, y), (8, y + " end"), (9, x + " end")], [(None, x), (None, x + " end"), (None, y), (4, y), (4, y), (None, None), (None, "")]):
-        rows = [(i, t, None, None, 0) for i, t in rows]
-        assert Counter(near_rows(docs_frame(spark, rows))) == plain_rows(rows)
+    make = lambda k: [" ".join(f"{k}{c}{i}" for i in range(60)) for c in "ab"]
+    (x, y), (z, u), (v, w) = map(make, "pqr")
+    rows = [(3, x), (5, y), (5, x + " end")]
+    rows += [(15, z), (15, u), (18, u + " end"), (19, z + " end")]
+    rows += [(None, v), (None, v + " end"), (None, w), (24, w), (24, w), (None, None), (None, "")]
+    rows = [(i, t, None, None, 0) for i, t in rows]
+    assert Counter(near_rows(docs_frame(spark, rows))) == plain_rows(rows)
 
 
 def test_one_of_each_group_stays(spark, docs, rows):
