@@ -49,7 +49,7 @@ def store_of(folder: str) -> tuple[pafs.FileSystem, str]:
 def shared_folder(spark: SparkSession) -> str:
     """Where all executors can write: ``spark.checkpoint.dir``; a temporary folder where that is unset and Spark is one process."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found and not spark.sparkContext.master.startswith("local["):
+    if not found and spark.sparkContext.master.split("[")[0] != "local":
         raise ValueError("spark.checkpoint.dir is unset: name a folder that all executors share")
     return found or tempfile.mkdtemp(prefix="chunkloom-")
 
