@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import pickle
 import tempfile
@@ -37,6 +38,44 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def give_back() -> None:
+    """Hand what this process has freed back to the system; else a Python worker keeps the most that any task of it took."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None) if os.name == "posix" else None
+    if trim:
+        trim(0)
+
+
+def lean(work: Callable[..., Any]) -> Callable[..., Any]:
+    """``work`` on a group's table, or on a table from either side; what it leaves behind is given back after each group."""
+
+    def one(table: pa.Table) -> pa.Table:
+        try:
+            return work(table)
+        finally:
+            give_back()
+
+    def two(left: pa.Table, right: pa.Table) -> pa.Table:
+        try:
+            return work(left, right)
+        finally:
+            give_back()
+
+    return one if work.__code__.co_argcount == 1 else two
+
+
+def lean_batches(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``work`` on a partition's batches; what it leaves behind is given back at the partition's end."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from work(batches)
+        finally:
+            give_back()
+
+    return run
+
+
 def in_one_task(rows: DataFrame, make: Callable[[list[dict]], Any]) -> Any:
     """What ``make`` returns for a bounded number of rows, called in a task: the driver gets the result alone."""
 
@@ -44,7 +83,7 @@ def in_one_task(rows: DataFrame, make: Callable[[list[dict]], Any]) -> Any:
         got = [row for batch in batches for row in batch.to_pylist()]
         yield pa.RecordBatch.from_pydict({"made": pa.array([pickle.dumps(make(got))], pa.binary())})
 
-    made = rows.repartition(1).mapInArrow(work, "made binary").first()
+    made = rows.repartition(1).mapInArrow(lean_batches(work), "made binary").first()
     return pickle.loads(made["made"]) if made else make([])
 
 

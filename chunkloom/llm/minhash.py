@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, lean, lean_batches
 from .graph import components
 from .textcore import BASE, mix, shingle_sets
 
@@ -103,7 +103,7 @@ def signatures(docs: DataFrame, rules: NearRules = NearRules()) -> DataFrame:
                     ["doc_id", "text_hash", "n_shingles", "set_a", "set_b", "sig", "bands"],
                 )
 
-    return docs.select("doc_id", text_hash().alias("text_hash"), "text").mapInArrow(sign, "doc_id long, text_hash long, n_shingles long, set_a long, set_b long, sig array<long>, bands array<long>")
+    return docs.select("doc_id", text_hash().alias("text_hash"), "text").mapInArrow(lean_batches(sign), "doc_id long, text_hash long, n_shingles long, set_a long, set_b long, sig array<long>, bands array<long>")
 
 
 def full_sets(texts: DataFrame, rules: NearRules) -> DataFrame:
@@ -117,7 +117,7 @@ def full_sets(texts: DataFrame, rules: NearRules) -> DataFrame:
                 values = np.concatenate(own) if own else np.zeros(0, np.int64)
                 yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(i, j - i) for k in range(3)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], ["rep", "n", "sig", "hashes"])
 
-    return texts.select("rep", "n", "sig", "text").mapInArrow(collect, "rep long, n long, sig array<long>, hashes array<long>")
+    return texts.select("rep", "n", "sig", "text").mapInArrow(lean_batches(collect), "rep long, n long, sig array<long>, hashes array<long>")
 
 
 class Sets:
@@ -204,7 +204,7 @@ def star_links(stars: DataFrame, sets: DataFrame, rules: NearRules) -> DataFrame
             out += [(own.rep[lead], own.rep[o]) for o in others[own.linked(lead, others)]]
         return links_table(out)
 
-    return p.groupBy("block").cogroup(needed.groupBy("of")).applyInArrow(hold, "a long, b long")
+    return p.groupBy("block").cogroup(needed.groupBy("of")).applyInArrow(lean(hold), "a long, b long")
 
 
 def tiles(buckets: DataFrame, labels: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -246,7 +246,7 @@ def tile_links(placed: DataFrame, sets: DataFrame, rules: NearRules) -> DataFram
         cuts = np.concatenate([[0], np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1, [len(keys)]])
         return links_table([x for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True) for x in spanning_links(table.slice(lo, hi - lo), rules)])
 
-    return rows.groupBy("slot").applyInArrow(meet, "a long, b long")
+    return rows.groupBy("slot").applyInArrow(lean(meet), "a long, b long")
 
 
 def spanning_links(tile: pa.Table, rules: NearRules) -> list[tuple[int, int]]:

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import cut
+from .common import cut, lean
 from .textcore import BASE, chunks, column_bytes, mix, powers, word_hashes, word_spans
 
 NO_ID = np.iinfo(np.int64).max
@@ -410,10 +410,10 @@ def answers(part: Part, run: np.ndarray, start: np.ndarray, end: np.ndarray, bou
     """To every bucket that holds one of these runs, the stretches of it; with a bound, if it has texts of larger ids."""
     n = np.diff(part.at)[run]
     holder = ranges(part.at[run], n) if len(run) else np.zeros(0, np.int64)
-    start, end = np.repeat(start, n), np.repeat(end, n)
+    start, end = np.repeat(start.astype(np.uint32), n), np.repeat(end.astype(np.uint32), n)
     limit = np.repeat(bound, n) if bound is not None else np.full(len(holder), np.iinfo(np.int64).min)
     keep = part.high[holder] > limit
-    holder, start, end, limit = holder[keep], start[keep].astype(np.uint32), end[keep].astype(np.uint32), limit[keep]
+    holder, start, end, limit = holder[keep], start[keep], end[keep], limit[keep]
     rows = [(b, -1, b"", r, s, e, x) for b, r, s, e, x in grouped(part.buckets[holder], part.runs[holder].astype(np.uint32), start, end, limit)]
     return packed(rows, arrow_schema(MAIL_SCHEMA))
 
@@ -469,8 +469,8 @@ class Routed:
 def routed(docs: DataFrame, rules: Windows) -> Routed:
     texts, layout, parts, _ = bucketed(docs, rules)
     bucket = lambda table: table.column("bucket")[0].as_py()
-    keys = texts.groupBy("bucket").applyInArrow(lambda t: send_keys(load_texts(t, layout), bucket(t), rules, parts), KEY_SCHEMA)
-    hits = keys.groupBy("part").applyInArrow(find_again, MAIL_SCHEMA)
+    keys = texts.groupBy("bucket").applyInArrow(lean(lambda t: send_keys(load_texts(t, layout), bucket(t), rules, parts)), KEY_SCHEMA)
+    hits = keys.groupBy("part").applyInArrow(lean(find_again), MAIL_SCHEMA)
 
     def send(left: pa.Table, right: pa.Table) -> pa.Table:
         if left.num_rows == 0 or right.num_rows == 0:
@@ -478,20 +478,20 @@ def routed(docs: DataFrame, rules: Windows) -> Routed:
         own = load_texts(left, layout)
         return send_runs(own, bucket(left), find_runs(own, right, rules, parts))
 
-    return Routed(texts, layout, parts, hits, texts.groupBy("bucket").cogroup(hits.groupBy("bucket")).applyInArrow(send, RUN_SCHEMA))
+    return Routed(texts, layout, parts, hits, texts.groupBy("bucket").cogroup(hits.groupBy("bucket")).applyInArrow(lean(send), RUN_SCHEMA))
 
 
 def report(docs: DataFrame, rules: Windows, match: Callable[[Part], pa.Table], tell: Callable[..., pa.Table], schema: str | StructType) -> DataFrame:
     """``tell(texts, rows, starts, ends)`` of each bucket, with the stretches that ``match`` finds repeated, makes the result's rows."""
     flow = routed(docs, rules)
-    spans = flow.runs.groupBy("part").applyInArrow(lambda table: match(load_part(table, rules)), MAIL_SCHEMA)
+    spans = flow.runs.groupBy("part").applyInArrow(lean(lambda table: match(load_part(table, rules))), MAIL_SCHEMA)
     layout, parts = flow.layout, flow.parts
 
     def both(left: pa.Table, right: pa.Table) -> pa.Table:
         own = load_texts(left, layout)
         return tell(own, *union_spans(*placed(own, find_runs(own, right, rules, parts), right)))
 
-    return flow.texts.groupBy("bucket").cogroup(flow.hits.union(spans).groupBy("bucket")).applyInArrow(both, schema)
+    return flow.texts.groupBy("bucket").cogroup(flow.hits.union(spans).groupBy("bucket")).applyInArrow(lean(both), schema)
 
 
 def repeat_groups(docs: DataFrame, rules: Windows, find: Callable[[Part], Groups]) -> DataFrame:
@@ -521,8 +521,8 @@ def repeat_groups(docs: DataFrame, rules: Windows, find: Callable[[Part], Groups
         cols = [np.repeat(name, n), np.repeat(end - start, n), ids, np.full(len(at), bucket, np.int32), runs.row[at], runs.place[at] + np.repeat(start, n)]
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
 
-    mail = flow.hits.union(flow.runs.groupBy("part").applyInArrow(told, MAIL_SCHEMA))
-    found = cut(flow.texts.groupBy("bucket").cogroup(mail.groupBy("bucket")).applyInArrow(stand, "piece long, length long, doc_id long, bucket int, row long, start long"))
+    mail = flow.hits.union(flow.runs.groupBy("part").applyInArrow(lean(told), MAIL_SCHEMA))
+    found = cut(flow.texts.groupBy("bucket").cogroup(mail.groupBy("bucket")).applyInArrow(lean(stand), "piece long, length long, doc_id long, bucket int, row long, start long"))
     whole = F.coalesce("doc_id", F.lit(NO_ID))
     pieces = found.groupBy("piece").agg(F.first("length").alias("length"), F.min(F.struct("bucket", "row", "start")).alias("at"), F.count(F.lit(1)).alias("n"), (F.min(whole) != F.max(whole)).alias("several"))
     pieces = pieces.filter("n > 1" if rules.within else "several").drop("several")

@@ -25,11 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import give_back
 from .repeats import Groups, Part, Texts, Windows, answers, closed_groups, ranges, repeat_groups, report
 
 BYTES = Windows(window=50, gram=18)
 #: Bytes up to which suffixes are compared by eights; beyond, ranks of ever longer stretches are (periodic text).
 NEAR = 256
+#: Suffixes whose values are computed at once, and common-prefix lengths that are scanned at once.
+BLOCK = 1 << 16
 
 
 def big_endian(symbols: np.ndarray) -> np.ndarray:
@@ -38,21 +41,30 @@ def big_endian(symbols: np.ndarray) -> np.ndarray:
     return np.lib.stride_tricks.as_strided(padded[:8].view(">u8"), (len(symbols) + 1,), (1,)) if len(symbols) else np.zeros(1, ">u8")
 
 
+def blocks(n: int) -> Iterator[slice]:
+    """0 to n in blocks, so that what is computed on the way to a result stays small."""
+    return (slice(i, i + BLOCK) for i in range(0, n, BLOCK))
+
+
 def eight(words: np.ndarray, at: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Eight bytes at places, with zeros from ``end`` on."""
-    left = np.clip(end - at, 0, 8)
-    got = words[np.minimum(at, len(words) - 1)].astype(np.uint64)
-    shift = ((8 - left) * 8).astype(np.uint64)
-    return np.where(left == 0, np.uint64(0), (got >> np.minimum(shift, np.uint64(63))) << np.minimum(shift, np.uint64(63)))
+    out = np.empty(len(at), np.uint64)
+    for some in blocks(len(at)):
+        left = np.clip(end[some] - at[some], 0, 8)
+        got = words[np.minimum(at[some], len(words) - 1)].astype(np.uint64)
+        shift = np.minimum(((8 - left) * 8).astype(np.uint64), np.uint64(63))
+        out[some] = np.where(left == 0, np.uint64(0), (got >> shift) << shift)
+    return out
 
 
 def sort_suffixes(words: np.ndarray, start: np.ndarray, end: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """(order, group) of suffixes by up to ``depth`` bytes: group numbers equal ones. Only suffixes that still agree are sorted on."""
-    order = np.argsort(eight(words, start, np.minimum(end, start + depth)), kind="stable")
-    value = eight(words, start[order], np.minimum(end, start + depth)[order])
+    value = eight(words, start, np.minimum(end, start + depth))
+    order = np.argsort(value, kind="stable").astype(start.dtype)
+    value = value[order]
     head = np.append(True, value[1:] != value[:-1]) if len(order) else np.zeros(0, bool)
     for t in range(8, depth, 8):
-        group = np.cumsum(head) - 1
+        group = np.cumsum(head, dtype=start.dtype) - 1
         alone = head & np.append(head[1:], True)
         open_ = np.flatnonzero(~alone)
         if len(open_) == 0:
@@ -63,11 +75,18 @@ def sort_suffixes(words: np.ndarray, start: np.ndarray, end: np.ndarray, depth:
         order[open_] = at[inner]
         value, own = value[inner], group[open_]
         head[open_] = np.append(True, (value[1:] != value[:-1]) | (own[1:] != own[:-1]))
-    return order, np.cumsum(head) - 1
+    return order, np.cumsum(head, dtype=start.dtype) - 1
 
 
 def common_prefix(words: np.ndarray, a: np.ndarray, b: np.ndarray, left: np.ndarray) -> np.ndarray:
     """Bytes that suffixes at a and b share, up to ``left``."""
+    out = np.empty(len(a), left.dtype)
+    for some in blocks(len(a)):
+        out[some] = common_bytes(words, a[some], b[some], left[some])
+    return out
+
+
+def common_bytes(words: np.ndarray, a: np.ndarray, b: np.ndarray, left: np.ndarray) -> np.ndarray:
     out = np.zeros(len(a), np.int64)
     live = np.arange(len(a))
     while len(live):
@@ -84,54 +103,79 @@ def common_prefix(words: np.ndarray, a: np.ndarray, b: np.ndarray, left: np.ndar
 class Ranks:
     """Ranks of the stretches of 8, 16, 32 and so on bytes from every place of some runs, ended by the run's end."""
 
-    def __init__(self, words: np.ndarray, first: np.ndarray, last: np.ndarray) -> None:
+    def __init__(self, words: np.ndarray, first: np.ndarray, last: np.ndarray, kind: type) -> None:
         sizes = last - first
-        self.at = ranges(first, sizes)
-        self.index = np.full(len(words), -1, np.int64)
-        self.index[self.at] = np.arange(len(self.at))
-        end = np.repeat(last, sizes)
+        self.at = ranges(first, sizes).astype(kind)
+        self.index = np.full(len(words), -1, kind)
+        self.index[self.at] = np.arange(len(self.at), dtype=kind)
+        end = np.repeat(last.astype(kind), sizes)
         left = np.minimum(end - self.at, 8)
         rank = self.dense(eight(words, self.at, end), left)
-        self.levels, h = [rank], 8
+        self.levels, h = [self.narrow(rank)], 8
         while h < sizes.max(initial=0):
-            after = np.where(self.at + h < end, rank[np.minimum(np.arange(len(rank)) + h, len(rank) - 1)] + 1, 0)
+            after = np.zeros(len(rank), kind)
+            after[:-h] = rank[h:] + 1
+            after[self.at + h >= end] = 0
             rank = self.dense(rank, after)
-            self.levels.append(rank)
+            self.levels.append(self.narrow(rank))
             h *= 2
 
+    @staticmethod
+    def narrow(rank: np.ndarray) -> np.ndarray:
+        """Ranks in as few bytes as the largest needs: texts that repeat much have few."""
+        return rank.astype(np.min_scalar_type(rank.max(initial=0)))
+
     @staticmethod
     def dense(high: np.ndarray, low: np.ndarray) -> np.ndarray:
         order = np.lexsort([low, high])
-        new = np.append(False, (high[order][1:] != high[order][:-1]) | (low[order][1:] != low[order][:-1])) if len(order) else np.zeros(0, bool)
-        out = np.empty(len(order), np.int64)
-        out[order] = np.cumsum(new)
+        new = np.zeros(len(order), bool)
+        for column in (high, low):
+            column = column[order]
+            new[1:] |= column[1:] != column[:-1]
+        out = np.empty(len(order), low.dtype)
+        out[order] = np.cumsum(new, dtype=low.dtype)
         return out
 
     def common(self, a: np.ndarray, b: np.ndarray, left: np.ndarray) -> np.ndarray:
         """Bytes that suffixes at a and b share, up to ``left`` and to less than eight short of it."""
-        out = np.zeros(len(a), np.int64)
-        for k in range(len(self.levels) - 1, -1, -1):
-            for _ in range(2):
-                live = np.flatnonzero(out < left)
-                x, y = self.index[a[live] + out[live]], self.index[b[live] + out[live]]
-                same = self.levels[k][x] == self.levels[k][y]
-                out[live[same]] = np.minimum(out[live[same]] + (8 << k), left[live[same]])
+        out = np.zeros(len(a), left.dtype)
+        for some in blocks(len(a)):
+            own, most = out[some], left[some]
+            for k in range(len(self.levels) - 1, -1, -1):
+                for _ in range(2):
+                    live = np.flatnonzero(own < most)
+                    x, y = self.index[a[some][live] + own[live]], self.index[b[some][live] + own[live]]
+                    same = self.levels[k][x] == self.levels[k][y]
+                    own[live[same]] = np.minimum(own[live[same]] + (8 << k), most[live[same]])
         return out
 
 
+def stack_scan(lcp: np.ndarray, least: int, nested: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Stack scan of common-prefix lengths: the intervals (depth, first, last) of ``least`` or deeper, if ``nested`` ones are
+    wanted, and the outermost (first, last). Lengths become Python's numbers, and intervals arrays, a stretch at a time."""
+    intervals, outer, stack = [np.zeros((0, 3), np.int64)], [np.zeros((0, 2), np.int64)], []
+    lcp = np.append(lcp, 0)
+    for base in range(0, len(lcp), BLOCK):
+        inner, top_most = [], []
+        for i, depth in enumerate(lcp[base : base + BLOCK].tolist(), base):
+            left = i
+            while stack and stack[-1][0] > depth:
+                top, left = stack.pop()
+                if nested:
+                    inner.append((top, left, i))
+                if not stack and depth < least:
+                    top_most.append((left, i))
+            if depth >= least and (not stack or stack[-1][0] < depth):
+                stack.append((depth, left))
+        intervals.append(np.array(inner, np.int64).reshape(-1, 3))
+        outer.append(np.array(top_most, np.int64).reshape(-1, 2))
+    return np.concatenate(intervals), np.concatenate(outer)
+
+
 def lcp_intervals(lcp: list[int], least: int) -> tuple[list[tuple[int, int, int]], list[tuple[int, int]]]:
-    """Stack scan of common-prefix lengths: all intervals (depth, first, last) of ``least`` or deeper, and the outermost (first, last)."""
-    intervals, outer, stack = [], [], []
-    for i, depth in enumerate([*lcp, 0]):
-        left = i
-        while stack and stack[-1][0] > depth:
-            top, left = stack.pop()
-            intervals.append((top, left, i))
-            if not stack and depth < least:
-                outer.append((left, i))
-        if depth >= least and (not stack or stack[-1][0] < depth):
-            stack.append((depth, left))
-    return intervals, outer
+    """All intervals (depth, first, last) of ``least`` or deeper, and the outermost (first, last), as tuples."""
+    intervals, outer = stack_scan(np.array(lcp, np.int64), least, True)
+    return [tuple(x) for x in intervals.tolist()], [tuple(x) for x in outer.tolist()]
 
 
 @dataclass
@@ -145,56 +189,74 @@ class Tree:
     depth: np.ndarray
 
 
-def interval_tree(part: Part) -> Tree:
+def interval_tree(part: Part, nested: bool) -> Tree:
+    """The tree of a part's windows; its inner intervals only if ``nested`` ones are wanted."""
     words, window = big_endian(part.symbols), part.window
-    start, end = part.windows, part.first[part.owner + 1]
+    # places are half as wide where they fit, with room for sums of them and a stretch's length
+    kind = np.int32 if len(part.symbols) < 1 << 29 else np.int64
+    first = part.first.astype(kind)
+    start, end = part.windows.astype(kind), first[1:][part.owner]
     order, group = sort_suffixes(words, start, end, window)
-    size = np.bincount(group, minlength=1)
-    shared = order[size[group] > 1]
+    shared = order[(np.bincount(group, minlength=1) > 1)[group]]
+    del order, group
     if len(shared) == 0:
         none = np.zeros((0, 2), np.int64)
         return Tree(shared, np.zeros((0, 3), np.int64), none, none[:, 0])
     # the suffixes that share a window are sorted to their ends, for lengths beyond it
     deep, group = sort_suffixes(words, start[shared], end[shared], NEAR)
     shared = shared[deep]
-    far = np.flatnonzero((end - start)[shared] > NEAR)
+    del deep
+    start, end = start[shared], end[shared]
+    give_back()
+    far = np.flatnonzero(end - start > NEAR)
     if len(far):
         long = np.unique(part.owner[shared[far]])
-        ranks = Ranks(words, part.first[long], part.first[long + 1])
-        beyond = np.full(len(shared), -1)
-        beyond[far] = ranks.levels[-1][ranks.index[start[shared[far]] + NEAR]]
-        shared = shared[np.lexsort([beyond, group])]
-    a, b = start[shared[:-1]], start[shared[1:]]
-    left = np.minimum(end[shared[:-1]] - a, end[shared[1:]] - b)
+        ranks = Ranks(words, part.first[long], part.first[long + 1], kind)
+        beyond = np.full(len(shared), -1, kind)
+        beyond[far] = ranks.levels[-1][ranks.index[start[far] + NEAR]]
+        order = np.lexsort([beyond, group])
+        shared, start, end = shared[order], start[order], end[order]
+        del beyond, order
+    del group
+    a, b = start[:-1], start[1:]
+    left = np.minimum(end[:-1] - a, end[1:] - b)
     lcp = common_prefix(words, a, b, np.minimum(left, NEAR))
     far = np.flatnonzero((lcp == NEAR) & (left > NEAR))
     if len(far):
         more = ranks.common(a[far] + NEAR, b[far] + NEAR, left[far] - NEAR)
+        del ranks
+        give_back()
         lcp[far] += more + common_prefix(words, a[far] + NEAR + more, b[far] + NEAR + more, left[far] - NEAR - more)
-    intervals, outer = lcp_intervals(lcp.tolist(), window)
-    intervals, outer = np.array(intervals, np.int64).reshape(-1, 3), np.array(outer, np.int64).reshape(-1, 2)
-    # left extension: a run's first byte has an unknown neighbour, which counts as different from any
-    before = np.where(start[shared] == part.first[part.owner[shared]], -1 - np.arange(len(shared)), part.symbols[np.maximum(start[shared] - 1, 0)].astype(np.int64))
-    change = np.concatenate([[0], np.cumsum(before[1:] != before[:-1])])
-    depth = np.minimum.reduceat(np.append(lcp, 0), outer.reshape(-1))[::2]
-    return Tree(shared, intervals[change[intervals[:, 2]] > change[intervals[:, 1]]], outer, depth)
+    del a, b, end, left, far
+    intervals, outer = stack_scan(lcp, window, nested)
+    depth = np.minimum.reduceat(np.append(lcp, 0), outer.reshape(-1))[::2].astype(np.int64)
+    if nested:
+        # left extension: a run's first byte has an unknown neighbour, which counts as different from any
+        before = np.where(start == first[part.owner[shared]], -1 - np.arange(len(shared)), part.symbols[np.maximum(start - 1, 0)].astype(np.int64))
+        change = np.concatenate([[0], np.cumsum(before[1:] != before[:-1])])
+        intervals = intervals[change[intervals[:, 2]] > change[intervals[:, 1]]]
+    return Tree(shared, intervals, outer, depth)
 
 
 def outer_groups(part: Part) -> Groups:
     """The outermost intervals that can't be extended to the left."""
-    tree = interval_tree(part)
+    tree = interval_tree(part, nested=False)
+    give_back()
     return closed_groups(part, tree.suffix, np.repeat(np.arange(len(tree.outer)), tree.outer[:, 1] - tree.outer[:, 0] + 1), tree.depth)
 
 
 def match(part: Part) -> pa.Table:
     """Stretches that also start in a document of a smaller id: of each group all members, bounded by its least id."""
     found = outer_groups(part)
-    return answers(part, found.run, found.start, found.end, found.low[found.group])
+    run, start, end, bound = found.run, found.start, found.end, found.low[found.group]
+    del found
+    give_back()
+    return answers(part, run, start, end, bound)
 
 
 def all_groups(part: Part) -> Groups:
     """The outermost groups, and the maximal repeats that intervals within them are: longer, in fewer places."""
-    tree, outer = interval_tree(part), outer_groups(part)
+    tree, outer = interval_tree(part, nested=True), outer_groups(part)
     own = {tuple(x) for x in tree.outer.tolist()}
     nested = np.array([x for x in tree.intervals.tolist() if tuple(x[1:]) not in own], np.int64).reshape(-1, 3)
     n = nested[:, 2] - nested[:, 1] + 1

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_one_task, sampled_texts
+from .common import in_one_task, lean_batches, sampled_texts
 from .textcore import _LOWER, chunks, column_bytes
 
 #: Letters that a sign may stand for.
@@ -126,7 +126,7 @@ def trigram_counts(docs: DataFrame) -> DataFrame:
         full = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(total[full])], ["gram", "n"])
 
-    return docs.select("text").mapInArrow(count, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(lean_batches(count), "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
 def log_model(rows: list, smoothing: float = 0.1) -> np.ndarray:
@@ -598,7 +598,7 @@ def score(docs: DataFrame, model: ToxicModel, restored_text: bool = False) -> Da
                 yield pa.RecordBatch.from_arrays(cols + ([pa.array(restored, pa.string())] if restored_text else []), names)
 
     names = ["doc_id", "score", "predicted", "n_words_found"] + ["restored"] * restored_text
-    return docs.select("doc_id", "text").mapInArrow(tell, "doc_id long, score double, predicted int, n_words_found long" + ", restored string" * restored_text)
+    return docs.select("doc_id", "text").mapInArrow(lean_batches(tell), "doc_id long, score double, predicted int, n_words_found long" + ", restored string" * restored_text)
 
 
 def reject(docs: DataFrame, model: ToxicModel) -> DataFrame:
@@ -618,4 +618,4 @@ def reject(docs: DataFrame, model: ToxicModel) -> DataFrame:
                     clean[i + d] = model.score(finder.words(part[own].tobytes(), low[own])) < 0.5
             yield batch.filter(pa.array(clean))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(lean_batches(keep), docs.schema)
