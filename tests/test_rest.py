@@ -278,3 +278,19 @@ def test_catalogue_against_sql(spark):
         cols = sorted(got.columns)
         assert cols == sorted(want.columns)
         assert sorted(tuple(r[c] for c in cols) for r in got.collect()) == sorted(tuple(r[want.columns.index(c)] for c in cols) for r in want.fetchall()), name
+
+
+def test_errors_of_any_value_keep_their_chunk(spark, tmp_path):
+    """A chunk is empty if none of its events is an error, whatever the errors' values are."""
+    from chunkloom.plans import catalogue
+
+    rows = [(0, "error", 0.0), (1, "view", 0.0), (10, "view", 5.0), (11, None, 0.0), (20, "error", 0.0), (21, "error", 3.0), (30, None, 2.0), (40, "error", None)]
+    rows += [(50, "error", -0.0), (60, "error", float("nan")), (70, "error", 0.0), (71, None, 1.0), (80, "error", 4.0), (80, "view", 0.0), (None, "error", 0.0), (-15, "error", 0.0)]
+    path = str(tmp_path / "events.parquet")
+    spark.createDataFrame(rows, "event_id long, event_type string, value double").write.parquet(path)
+    con = duckdb.connect()
+    con.sql(f"create view events as select * from '{path}/*.parquet'")
+    got = [r.c0 for r in catalogue.QUERIES["arr_empty_chunk_elision"](spark, str(tmp_path)).collect()]
+    want = [r[0] for r in con.sql(catalogue.ORACLES["arr_empty_chunk_elision"]).fetchall()]
+    key = lambda c: (c is not None, c or 0)
+    assert sorted(got, key=key) == sorted(want, key=key) == [None, -1, 0, 2, 4, 5, 6, 7, 8]
